@@ -38,7 +38,7 @@ KINDS = (
     Kind("ip", _EDGE.format("0-9") + r"[0-9]++(?:\.[0-9]++){3}", "[0-9]", 0.7, r"\bip\b|address|host|server|from", True),
     Kind("card", "[0-9](?:[ -]?[0-9])++", "[0-9]", 0.8, "card|visa|master|amex|credit|payment", True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.7, "phone|call|tel|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[0-9]", 0.8, "iban|account|bank|konto|compte|cuenta", False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "[0-9]", 0.8, "iban|account|bank|konto|compte|cuenta", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social|security", False),
     Kind("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}+", "[0-9]", 0.3, "token|secret|password|passwd|api.?key|access.?key|credential", False),
 )
@@ -46,21 +46,19 @@ BOOST, LEAST, CONTEXT_CHARS = 0.4, 0.6, 40
 _CHUNK = 256
 
 
-def _running(lengths: Column) -> Column:
-    """The sum of all before each element; in chunks, so that a long array costs little more than its length."""
+def _running(values: Column, combine) -> Column:
+    """The values before each element, combined, from 0; in chunks, so that a long array costs little more than its length."""
+    zero = F.lit(0).cast("long")
 
-    def sums(part: Column) -> Column:
-        start = F.array(F.lit(0).cast("long"))
-        return F.slice(F.aggregate(part, start, lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))), F.lit(1), F.size(part))
-
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s + x)
+    def before(part: Column) -> Column:
+        return F.slice(F.aggregate(part, F.array(zero), lambda s, x: F.concat(s, F.array(combine(F.element_at(s, -1), x)))), F.lit(1), F.size(part))
 
     def of(chunks: Column) -> Column:
-        return F.flatten(F.zip_with(F.transform(chunks, sums), sums(F.transform(chunks, total)), lambda part, add: F.transform(part, lambda x: x + add)))
+        wholes = F.transform(chunks, lambda part: F.aggregate(part, zero, combine))
+        return F.flatten(F.zip_with(F.transform(chunks, before), before(wholes), lambda part, more: F.transform(part, lambda x: combine(x, more))))
 
-    n = F.size(lengths)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int")), lambda c: F.slice(lengths, c * _CHUNK + 1, F.lit(_CHUNK)))
+    n = F.size(values)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int")), lambda c: F.slice(values, c * _CHUNK + 1, F.lit(_CHUNK)))
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(let(cut, of))
 
 
@@ -106,7 +104,7 @@ def _proposals(kind: Kind, text: Column) -> Column:
         )
 
         def placed(p: Column) -> Column:
-            before = _running(F.transform(p, lambda x: x["gap"] + x["len"]))
+            before = let(F.transform(p, lambda x: x["gap"] + x["len"]), lambda v: _running(v, lambda a, b: a + b))
             score = lambda x: F.round(F.lit(kind.score) + F.when(x["near"], BOOST).otherwise(0.0), 2)
             all_spans = F.zip_with(
                 p,
@@ -153,20 +151,22 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _redacted(text: Column, found: Column) -> Column:
     """text with each group of overlapping spans replaced by <KIND> of its first one."""
-    ranked = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("s"), (-s["end"]).alias("e"), s["kind"].alias("k"))))
-    start = F.array().cast("array<struct<s:bigint,e:bigint,k:string>>")
 
-    def merge(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        more = F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))
-        wider = F.struct(last["s"].alias("s"), F.greatest(last["e"], -x["e"]).alias("e"), last["k"].alias("k"))
-        return F.when((F.size(done) > 0) & (x["s"] < last["e"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(more)))
+    def spliced(ranked: Column) -> Column:
+        ends = F.transform(ranked, lambda x: x["end"])
+
+        def pieces(covered: Column) -> Column:
+            """covered: how far the spans before each one reach."""
+            each = F.zip_with(
+                ranked,
+                covered,
+                lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(text, (at + 1).cast("int"), (x["start"] - at).cast("int")), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(""),
+            )
+            return F.concat(F.array_join(each, ""), F.substring(text, (F.array_max(ends) + 1).cast("int"), F.char_length(text)))
 
-    def spliced(m: Column) -> Column:
-        before = F.transform(m, lambda x, i: F.concat(F.substring(text, let(F.coalesce(F.get(m, i - 1)["e"], F.lit(0)), lambda a: a + 1), x["s"] - F.coalesce(F.get(m, i - 1)["e"], F.lit(0))), F.lit("<"), F.upper(x["k"]), F.lit(">")))
-        return F.concat(F.array_join(before, ""), F.substring(text, F.element_at(m, -1)["e"] + 1, F.char_length(text)))
+        return let(let(ends, lambda v: _running(v, lambda a, b: F.greatest(a, b))), pieces)
 
-    return let(F.aggregate(ranked, start, merge), spliced)
+    return let(F.sort_array(F.transform(found, lambda s: F.struct(s["start"], s["end"], s["kind"]))), spliced)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

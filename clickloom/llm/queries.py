@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import quality_rules, simhash
+from clickloom.llm import pii, quality_rules, simhash
 from clickloom.llm.shared import table
 
 
@@ -16,13 +16,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "doc_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    of = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
+    base = pii.digest(F.filter("spans", lambda s: s["base"]))
+    return found.select(F.col("id").alias("doc_id"), *[of(k.name) for k in pii.KINDS if k.own], F.sha2(base, 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_pii, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
