@@ -20,6 +20,23 @@ _SLAB, _LONG, _CACHE, _CACHED_IDS = 1 << 20, 128, 1_000_000, 1 << 23
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def strings(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as one byte array, and the places where they start, with the end of the last."""
+    return np.frombuffer(b"".join(values), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in values], dtype=np.int64)))
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one behind the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def gather(table: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> bytes:
+    """The strings at these places, joined."""
+    flat, starts = table
+    return flat[_spread(starts[at], starts[at + 1] - starts[at])].tobytes()
+
+
 class ChunkEncoder:
     """encode: distinct chunks (UTF-8) to their ids; breaks: the bytes before which a text may be cut."""
 
@@ -103,9 +120,8 @@ class ChunkEncoder:
         if len(long):
             at[long] = self._add([joined[b:e] for b, e in zip(begin[long].tolist(), end[long].tolist(), strict=True)])
         begin_ids, n_ids = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(n_ids)
-        ids = self.flat[np.repeat(begin_ids - (ends - n_ids), n_ids) + np.arange(int(ends[-1]))]
-        bounds = np.concatenate(([0], ends))[np.searchsorted(begin, np.concatenate((begins_of, [len(raw)])))]
+        ids = self.flat[_spread(begin_ids, n_ids)]
+        bounds = np.concatenate(([0], np.cumsum(n_ids)))[np.searchsorted(begin, np.concatenate((begins_of, [len(raw)])))]
         yield from (ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
         if len(self.cache) > _CACHE or self.used > _CACHED_IDS:
             self._empty()

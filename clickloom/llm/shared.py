@@ -21,14 +21,20 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(_BATCH, str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
 
-    The folder is spark.checkpoint.dir; one is made only where the session names none, as in tests.
+    The one that spark.checkpoint.dir names; one is made only where the session names none, as in tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
