@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.shared import cut
 
 
+class Forest:
+    """What links between n places of a task reach, as stars: a task need not yield all pairs of a dense group."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        root = self.root
+        while len(i):
+            a, b = root[i], root[j]
+            part = a != b
+            i, j, low, high = i[part], j[part], np.minimum(a, b)[part], np.maximum(a, b)[part]
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root[:] = root[root]
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each place that reaches a lesser one, with the least."""
+        moved = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return moved, self.root[moved]
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least node around it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bitpack, licenses, packing, pii, quality_cnn, quality_rules, simhash, sp_codec
+from clickloom.llm import bitpack, embed_dedup, licenses, packing, pii, quality_cnn, quality_rules, simhash, sp_codec
 from clickloom.llm.shared import shared_folder, table
 
 
@@ -51,13 +51,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_quality_cnn, op4_pii, op6_token_files, op7_best_fit_packing, op8_license_scan, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_quality_cnn, op4_pii, op6_token_files, op7_best_fit_packing, op8_license_scan, op9_embedding_dedup, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

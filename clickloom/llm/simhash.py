@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from clickloom.llm.components import connected_components
+from clickloom.llm.components import Forest, connected_components
 from clickloom.llm.shared import cut, small_batches
 
 SHINGLE, SEED, BUDGET, BLOCK = 3, 42, 3, 16
@@ -88,29 +88,14 @@ def trie_links(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = BU
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links as stars: each node that has a link, with the least node that it reaches."""
-    root = np.arange(n)
-    while len(i):
-        a, b = root[i], root[j]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        part = low != high
-        if not part.any():
-            break
-        i, j = i[part], j[part]
-        np.minimum.at(root, high[part], low[part])
-        while (root[root] != root).any():
-            root = root[root]
-    moved = np.flatnonzero(root != np.arange(n))
-    return moved, root[moved]
-
-
 def _join_blocks(depth: int):
     """mapInPandas over rows (key, turned, fp) sorted by key and turned; whole keys are joined, a batch's last one waits."""
 
     def links(key, turned, fp):
         i, j = trie_links(turned.view(np.uint64), key, depth)
-        a, b = _forest(len(fp), i, j)
+        forest = Forest(len(fp))
+        forest.add(i, j)
+        a, b = forest.stars()
         return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
     def run(batches):
