@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bitpack, embed_dedup, licenses, packing, pii, quality_cnn, quality_rules, simhash, sp_codec
-from clickloom.llm.shared import shared_folder, table
+from clickloom.llm import bitpack, embed_dedup, licenses, packing, pii, quality_cnn, quality_rules, simhash, sp_codec, token_rollup
+from clickloom.llm.shared import cut, shared_folder, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,21 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *[of(k.name) for k in pii.KINDS if k.own], F.sha2(base, 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: inserts of words counted with one tokenizer, the other's inserts, the deletion of
+    documents without text, and a revision of the second tokenizer's version name. A repeated commit adds nothing."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    counts = {kind: cut(token_rollup.count_tokens(docs, public_tokenizers.path(file), file.removesuffix(".json"), kind)) for kind, file in (("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json"))}
+    draft = counts["word"].withColumn("tokenizer_version", F.concat("tokenizer_version", F.lit("-draft")))
+    rollup.commit("insert-byte", token_rollup.signed(counts["byte"], 1))
+    rollup.commit("insert-word", token_rollup.signed(draft, 1))
+    rollup.commit("insert-byte", token_rollup.signed(counts["byte"], 1))
+    rollup.commit("delete-empty", token_rollup.signed(counts["byte"].where("n_chars = 0").unionByName(draft.where("n_chars = 0")), -1))
+    rollup.commit("revise-word", token_rollup.revised(draft.where("n_chars > 0"), counts["word"].where("n_chars > 0")))
+    return rollup.totals()
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     bitpack.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 49_408, 2)
@@ -61,7 +76,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_quality_cnn, op4_pii, op6_token_files, op7_best_fit_packing, op8_license_scan, op9_embedding_dedup, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_quality_cnn, op4_pii, op5_token_rollup, op6_token_files, op7_best_fit_packing, op8_license_scan, op9_embedding_dedup, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -38,9 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z lowered, all else as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores in front until df has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def words(text: Column) -> Column:

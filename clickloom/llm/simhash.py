@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from clickloom.llm.components import Forest, connected_components
-from clickloom.llm.shared import cut, small_batches
+from clickloom.llm.shared import cut, fresh_names, small_batches
 
 SHINGLE, SEED, BUDGET, BLOCK = 3, 42, 3, 16
 #: Distinct fingerprints of one block beyond which the block is dealt out anew by parts of its other bits.
@@ -192,9 +192,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one with the least text hash. A null id counts as larger than any. All columns of docs come back unchanged.
     """
     small_batches(docs.sparkSession)
-    key = F.xxhash64(F.col(text_col), F.col(text_col).isNull())
-    marked = cut(docs.select(F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("i"), key.alias("h")).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
-    stay = group_fingerprints(marked).select(F.col("component_id.i").alias("__i"), F.col("component_id.h").alias("__h")).distinct()
-    own = docs.withColumns({"__i": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "__h": key})
-    first = Window.partitionBy("__i", "__h").orderBy(F.lit(0))
-    return own.join(stay, ["__i", "__h"]).withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*[own[c] for c in docs.columns])
+    i, h, n = fresh_names(docs, "keep_id", "keep_hash", "keep_row")
+    whole_id, hash_of = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.col(text_col), F.col(text_col).isNull())
+    marked = cut(docs.select(F.struct(whole_id.alias("i"), hash_of.alias("h")).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
+    stay = group_fingerprints(marked).select(F.col("component_id.i").alias(i), F.col("component_id.h").alias(h)).distinct()
+    first = Window.partitionBy(i, h).orderBy(F.lit(0))
+    return docs.withColumns({i: whole_id, h: hash_of}).join(stay, [i, h]).withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*docs.columns)
