@@ -19,6 +19,7 @@ from clickloom.llm.shared import small_batches
 
 #: Ids after which a block closes.
 BLOCK_IDS = 1 << 16
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 _SCHEMA = "file int, block int, first long, doc_ids array<long>, sizes array<int>, width int, packed binary"
 
 
@@ -28,8 +29,8 @@ def width_of(vocabulary_size: int) -> int:
 
 
 def pack_ids(ids: np.ndarray, width: int) -> bytes:
-    if width % 8 == 0:
-        return np.ascontiguousarray(ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : width // 8]).tobytes()
+    if width in _WHOLE:
+        return ids.astype(_WHOLE[width]).tobytes()
     bits = (ids.astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -38,10 +39,8 @@ def unpack_ids(packed: bytes, width: int, start: int, count: int) -> np.ndarray:
     """count ids from the start-th on, reading only the bytes that hold them."""
     at, skip = divmod(start * width, 8)
     raw = np.frombuffer(packed, np.uint8)[at : (start * width + count * width + 7) // 8]
-    if width % 8 == 0:
-        out = np.zeros((count, 8), np.uint8)
-        out[:, : width // 8] = raw[: count * width // 8].reshape(count, width // 8)
-        return out.view("<u8")[:, 0].astype(np.uint32)
+    if width in _WHOLE:
+        return raw.view(_WHOLE[width]).astype(np.uint32)
     bits = np.unpackbits(raw, bitorder="little")[skip : skip + count * width].reshape(count, width)
     return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
 

@@ -16,7 +16,7 @@ import numpy as np
 _ODD_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 BLANKS, SPACE = b"\t\n\x0b\x0c\r ", b" "
 #: Bytes that are hashed at a time; a longer chunk is not looked up; cached chunks and ids, beyond which a cache starts anew.
-_SLAB, _LONG, _CACHE, _CACHED_IDS = 1 << 20, 128, 1_000_000, 1 << 23
+_SLAB, _LONG, _CACHE, _CACHED_IDS = 1 << 20, 128, 600_000, 1 << 23
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -61,7 +61,7 @@ class ChunkEncoder:
     def _empty(self) -> None:
         self.cache: dict[bytes, int] = {}
         self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-        self.count = 0
+        self.count, self.seen = 0, np.zeros(1 << 16, bool)
 
     def _add(self, fresh: list[bytes]) -> list[int]:
         """Places of new chunks."""
@@ -72,12 +72,28 @@ class ChunkEncoder:
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while n + 1 > len(self.starts):
             self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+            self.seen = np.concatenate((self.seen, np.zeros_like(self.seen)))
         self.flat[self.used : self.used + total] = np.fromiter((x for own in ids for x in own), np.uint32, total)
         self.starts[self.count + 1 : n + 1] = self.used + np.cumsum(sizes)
         places = list(range(self.count, n))
         self.used, self.count = self.used + total, n
         return places
 
+    def _shrink(self) -> None:
+        """Keep the chunks that more than one slab had; none, if they are most of the cache."""
+        kept = [(x, place) for x, place in self.cache.items() if self.seen[place]]
+        old, starts = self.flat, self.starts
+        self._empty()
+        if len(kept) > _CACHE // 2:
+            return
+        at = np.array([place for _, place in kept], np.int64)
+        sizes = starts[at + 1] - starts[at]
+        ids = old[_spread(starts[at], sizes)]
+        self.flat, self.used, self.count = np.concatenate((ids, np.zeros(1 << 16, np.uint32))), len(ids), len(at)
+        self.starts = np.concatenate(([0], np.cumsum(sizes), np.zeros(len(at) + (1 << 16), np.int64)))
+        self.seen = np.zeros(len(self.starts), bool)
+        self.cache = {x: k for k, (x, _) in enumerate(kept)}
+
     def _slab(self, texts: list[bytes], whole: list[bool]) -> Iterator[np.ndarray]:
         joined = b"".join(texts)
         if not joined:
@@ -112,6 +128,7 @@ class ChunkEncoder:
         get = self.cache.get
         places = [get(x) for x in names]
         fresh = [k for k, x in enumerate(places) if x is None]
+        self.seen[[x for x in places if x is not None]] = True
         new = [names[k] for k in fresh]
         for k, x, place in zip(fresh, new, self._add(new), strict=True):
             places[k] = self.cache[x] = place
@@ -124,7 +141,7 @@ class ChunkEncoder:
         bounds = np.concatenate(([0], np.cumsum(n_ids)))[np.searchsorted(begin, np.concatenate((begins_of, [len(raw)])))]
         yield from (ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
         if len(self.cache) > _CACHE or self.used > _CACHED_IDS:
-            self._empty()
+            self._shrink()
 
     def __call__(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -147,6 +164,8 @@ def _printable() -> dict[int, str]:
 
 
 _SHOWN = _printable()
+#: Most chunks: a blank, a word in Latin letters, and a mark or none.
+_plain_word = re.compile(r"[\t-\r ]([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])?").fullmatch
 
 
 class _Merges:
@@ -154,12 +173,13 @@ class _Merges:
 
     def __init__(self, model):
         self.model, self.cache = model, {}
+        self.most = _CACHE // 2
 
     def __call__(self, word: str) -> list[int]:
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) > _CACHE:
-                self.cache = {}
+            if len(self.cache) > self.most:
+                self.cache.clear()
             found = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))]
             if len(word) <= _LONG:
                 self.cache[word] = found
@@ -174,7 +194,16 @@ def _byte_level(path: str) -> ChunkEncoder:
     merges, pieces = _Merges(Tokenizer.from_file(path).model), regex.compile(public_tokenizers.PATTERN).findall
 
     def encode(chunks: list[bytes]) -> list[list[int]]:
-        return [[x for word in pieces(c.decode()) for x in merges(word)] for c in chunks]
+        out, get = [], merges.cache.get
+        for c in chunks:
+            text = c.decode()
+            if (found := _plain_word(text)) and text[0] == " ":  # a word, or a word and a mark
+                word, mark = found.groups()
+                ids = get(f" {word}") or merges(f" {word}")
+                out.append(ids + (get(mark) or merges(mark)) if mark else ids)
+            else:
+                out.append([x for word in pieces(text) for x in merges(word)])
+        return out
 
     return ChunkEncoder(encode, BLANKS, _ODD_WHITE)
 
@@ -184,12 +213,21 @@ def _word_level(path: str) -> ChunkEncoder:
 
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True  # their strings in a text are ordinary text
-    merges, pieces = _Merges(whole.model), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
+    merges, pieces = _Merges(whole.model), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+").findall
+    plain = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch  # no normal form and no lower case but the obvious one
 
     def encode(chunks: list[bytes]) -> list[list[int]]:
-        out: list = [[x for word in pieces(c.decode().lower()) for x in merges(word)] if c.isascii() else None for c in chunks]
+        texts, out, get = [c.decode() for c in chunks], [], merges.cache.get
+        for text in texts:
+            if found := _plain_word(text):
+                word, mark = found.groups()
+                word = word.lower()
+                ids = get(word) or merges(word)
+                out.append(ids + (get(mark) or merges(mark)) if mark else ids)
+            else:
+                out.append([x for word in pieces(text.lower()) for x in merges(word)] if plain(text) else None)
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(rest, whole.encode_batch_fast([chunks[k].decode() for k in rest], add_special_tokens=False), strict=True):
+        for k, x in zip(rest, whole.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = x.ids
         return out
 
