@@ -1,0 +1,51 @@
+"""The pipeline's stages, each on what the one before kept."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from clickloom.llm import pii, quality_cnn, quality_rules, simhash
+from tests.llm.test_text import _components, _fingerprint
+from tests.llm.test_tokens import _check_packing
+
+pipeline = pytest.importorskip("corpus_pipeline")
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / str(k)))
+        kept = spark.read.parquet(str(tmp_path / str(k)))
+        before, after = ({r["doc_id"]: r for r in d.collect()} for d in (docs, kept))
+        assert 0 < len(after) == kept.count()
+        if k == 0:
+            weights = quality_rules.ratio_weights(docs, labels.where("quality = 1"))
+            assert after == {r["doc_id"]: before[r["doc_id"]] for r in docs.select("doc_id", quality_rules.rules(F.col("text"), weights)["kept"].alias("k")).where("k").collect()}
+        elif k == 1:
+            scores = quality_cnn.score(docs, quality_cnn.fit(docs, labels)).collect()
+            assert after == {r["id"]: before[r["id"]] for r in scores if r["score"] >= quality_cnn.THRESHOLD}
+        elif k == 2:
+            ids = sorted(before)
+            roots = _components([_fingerprint(before[i]["text"]) for i in ids])
+            assert after == {ids[c]: before[ids[c]] for c in set(roots)}
+        else:
+            assert after.keys() == before.keys()
+            again = pii.find(kept).select("id", F.filter("spans", lambda s: s["base"]).alias("s")).where("size(s) > 0")
+            assert again.count() == 0
+            assert all(r["n_chars"] == len(r["text"]) for r in after.values())
+        docs = kept
+    packed = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    _check_packing(packed, [(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_run(spark):
+    assert pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_keep_one_is_used(spark):
+    rows = spark.createDataFrame([(2, "a b c d"), (1, "a b c d"), (1, "a b c d")], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_one(rows).collect()] == [1]
