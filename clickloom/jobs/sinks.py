@@ -7,10 +7,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from clickloom.functions.columns import sanitize_field
 from clickloom.operators.recommend import recent_items
-from clickloom.schema import LEDGER
+from clickloom.schema import INDEX, LEDGER
 
 
 def write_index(index: DataFrame, path: str, buckets: int | None = None, table: str | None = None) -> None:
@@ -28,7 +29,8 @@ def write_index(index: DataFrame, path: str, buckets: int | None = None, table:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """An index that write_index wrote with its variants; one without rows is empty."""
+    return spark.read.schema(StructType([*INDEX.fields, StructField("variant", StringType())])).parquet(path)
 
 
 def write_metadata(spark: SparkSession, path: str, metadata: Mapping[str, object]) -> None:

@@ -1,0 +1,232 @@
+"""Hand-computed cases of the session library."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from clickloom.functions.columns import key_type, parse_items, sanitize_field, session_key
+from clickloom.jobs import run, sinks
+from clickloom.operators import covisit, evaluate, fuse, prepare, recommend, sweep
+from clickloom.schema import VARIANTS, variant
+from clickloom.sources import events as sources
+
+EVENTS = "session long, aid long, ts long, type string"
+M1 = [(1, 10, 1, "clicks"), (1, 20, 2, "carts"), (1, 10, 3, "orders"), (1, 30, 4, "clicks"), (2, 20, 1, "clicks"), (2, 30, 2, "orders")]
+
+
+def scores_of(df):
+    return {(r["aid_key"], r["aid_future"]): r["score"] for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def m1(spark):
+    return spark.createDataFrame(M1, EVENTS)
+
+
+@pytest.mark.parametrize(
+    ("weights", "lookback", "want"),
+    [
+        ((1, 3, 6), 2, {(10, 10): 6, (10, 20): 3, (10, 30): 1, (20, 10): 6, (20, 30): 7}),
+        ((0, 3, 6), 2, {(10, 10): 6, (10, 20): 3, (20, 10): 6, (20, 30): 6}),
+        ((1, 0, 0), 2, {(10, 30): 1, (20, 30): 1}),
+        ((1, 3, 6), 20, {(10, 10): 6, (10, 20): 3, (10, 30): 2, (20, 10): 6, (20, 30): 7}),
+    ],
+)
+def test_scores(m1, weights, lookback, want):
+    ready = prepare.prepare(m1, dict(zip(("clicks", "carts", "orders"), weights, strict=True)))
+    assert scores_of(covisit.covisit_scores(covisit.covisit_pairs(ready, lookback))) == want
+
+
+def test_numeric_types_and_nulls(spark):
+    rows = [(s, a, t, {"clicks": 0, "carts": 1, "orders": 2}[k]) for s, a, t, k in M1] + [(None, 1, 1, 0), (1, None, 2, 0), (1, 5, None, 0)]
+    events = spark.createDataFrame(rows, "session long, aid long, ts long, type int")
+    assert scores_of(sweep.direct_scores(events, variant("base")))[20, 30] == 7
+
+
+@pytest.mark.parametrize("bad", [("view", "string"), ("0", "string"), (None, "string"), (9, "int")])
+def test_unknown_type_fails(spark, bad):
+    value, kind = bad
+    events = spark.createDataFrame([(1, 1, 1, value)], f"session long, aid long, ts long, type {kind}")
+    with pytest.raises(Exception, match="Unknown interaction types"):
+        prepare.with_type_names(events).collect()
+    with pytest.raises(ValueError, match="Unknown interaction types"):
+        prepare.check_types(events)
+
+
+def test_all_unknown_types_are_listed(spark):
+    events = spark.createDataFrame([("z",), ("a",), ("clicks",), (None,), ("a",)], "type string")
+    assert [r["type"] for r in prepare.unknown_types(events).collect()] == ["a", "null", "z"]
+
+
+def test_recency_is_strict(spark):
+    last = 1_700_000_000_000
+    events = spark.createDataFrame([(1, 1, last - 14 * 86_400_000, "clicks"), (1, 2, last - 14 * 86_400_000 + 1, "clicks"), (1, 3, last, "clicks")], EVENTS)
+    kept = prepare.filter_recent(events, prepare.recent_threshold(events).scalar())
+    assert sorted(r["aid"] for r in kept.collect()) == [2, 3]
+    assert prepare.recent_threshold(events.limit(0)).first()["threshold"] is None
+
+
+def test_folded_is_direct(spark, m1):
+    far = m1.withColumn("ts", F.col("ts") * 5 * 86_400_000)
+    folded = {}
+    for r in sweep.folded_scores(far).collect():
+        folded.setdefault(r["variant"], {})[r["aid_key"], r["aid_future"]] = r["score"]
+    for name, v in VARIANTS.items():
+        assert folded.get(name, {}) == scores_of(sweep.direct_scores(far, v)), name
+
+
+def test_merge_and_partitions(spark, m1):
+    whole = scores_of(sweep.direct_scores(m1, variant("base")))
+    parts = [sweep.direct_scores(m1.where(F.col("session") == s), variant("base")) for s in (1, 2)]
+    assert scores_of(covisit.merge_scores(*parts)) == whole
+    assert scores_of(sweep.direct_scores(m1.repartition(7).orderBy(F.rand(3)), variant("base"))) == whole
+
+
+def test_shards_do_not_pair(spark, m1):
+    split = m1.withColumn("shard", F.col("ts") > 2)
+    ready = prepare.prepare(split, variant("base").weights)
+    assert scores_of(covisit.covisit_scores(covisit.covisit_pairs(ready, 2, shard_col="shard"))) == {(10, 20): 3, (10, 30): 1, (20, 30): 6}
+
+
+def test_empty_and_single(spark):
+    none = spark.createDataFrame([], EVENTS)
+    one = spark.createDataFrame([(1, 1, 1, "clicks")], EVENTS)
+    for events in (none, one):
+        assert sweep.direct_scores(events, variant("base")).collect() == []
+        assert sweep.folded_scores(events).collect() == []
+    assert recommend.recent_items(none).collect() == []
+
+
+def index_of(m1):
+    return covisit.candidate_index(covisit.topk_per_key(sweep.direct_scores(m1, variant("base")), 100))
+
+
+def test_index_and_predictions(spark, m1):
+    index = index_of(m1)
+    assert {r["aid_key"]: (r["candidates"], r["scores"]) for r in index.collect()} == {10: ([10, 20, 30], [6, 3, 1]), 20: ([30, 10], [7, 6])}
+    history = spark.createDataFrame([(1, 10, 1, "clicks"), (1, 20, 2, "clicks"), (1, 10, 3, "clicks"), (1, 30, 4, "clicks"), (3, 30, 1, "clicks"), (3, 20, 2, "clicks")], EVENTS)
+    recent = recommend.recent_items(history)
+    assert {r["session"]: r["recent_aids"] for r in recent.collect()} == {1: [30, 10, 20], 3: [20, 30]}
+    for k, want in ((20, {1: [30, 10, 20], 3: [30, 10, 20]}), (2, {1: [30, 10], 3: [30, 10]})):
+        found = recommend.predict(recent, index, k)
+        assert {r["session"]: r["items"] for r in found.collect()} == want
+    empty = spark.createDataFrame([(9, [])], "session long, recent_aids array<long>")
+    assert recommend.predict(empty, index).first()["items"] == []
+    rows = {r["session_type"]: r["labels"] for r in recommend.submission(recommend.predict(recent, index)).collect()}
+    assert rows == {f"{s}_{t}": "30 10 20" for s in (1, 3) for t in ("clicks", "carts", "orders")}
+
+
+def test_ties_go_to_the_lesser_item(spark):
+    scores = spark.createDataFrame([(1, a, 5) for a in (9, 3, 7)], "aid_key long, aid_future long, score long")
+    assert [r["aid_future"] for r in covisit.topk_per_key(scores, 2).orderBy("rank").collect()] == [3, 7]
+
+
+def test_rank_limit_is_pushed_below_the_shuffle(m1):
+    plan = covisit.topk_per_key(sweep.direct_scores(m1, variant("base")), 100)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_recall(spark):
+    guess = spark.createDataFrame([("3_clicks", "30 10 20"), ("3_carts", "30 10 20"), ("9_clicks", "1")], "session_type string, labels string")
+    truth = spark.createDataFrame([("3_clicks", [10, 99]), ("3_carts", [20, 20]), ("3_orders", [7]), ("3_views", [1])], "session_type string, ground_truth array<long>")
+    metrics = run.score(guess, truth)
+    assert {r["event_type"]: (r["hits"], r["targets"], r["rows"], r["recall"]) for r in metrics.collect()} == {"clicks": (1, 2, 1, 0.5), "carts": (1, 2, 1, 0.5), "orders": (0, 1, 1, 0.0)}
+    assert evaluate.overall_recall(metrics).first()["overall_recall"] == pytest.approx(0.2)
+
+
+def test_recall_of_nothing(spark):
+    guess = spark.createDataFrame([], "session_type string, labels string")
+    truth = spark.createDataFrame([], "session_type string, ground_truth string")
+    metrics = run.score(guess, truth).collect()
+    assert sorted((r["event_type"], r["targets"], r["recall"]) for r in metrics) == [("carts", 0, 0.0), ("clicks", 0, 0.0), ("orders", 0, 0.0)]
+
+
+def test_twenty_places_before_repeats(spark):
+    rows = [("1_clicks", " ".join(map(str, range(25)))), ("2_clicks", " ".join(["5"] * 20 + ["6"]))]
+    guess = spark.createDataFrame(rows, "session_type string, labels string")
+    truth = spark.createDataFrame([("1_clicks", "20"), ("2_clicks", "6")], "session_type string, ground_truth string")
+    assert {r["event_type"]: r["hits"] for r in run.score(guess, truth).collect()}["clicks"] == 0
+
+
+def test_layouts(spark):
+    rows = spark.createDataFrame([(12.0, "clicks", [1.0, float("nan"), None, 2.0])], "session double, type string, labels array<double>")
+    assert evaluate.normalize_predictions(rows).first().asDict() == {"session_type": "12_clicks", "items": [1, 2]}
+    with pytest.raises(ValueError, match="need session_type"):
+        evaluate.normalize_labels(rows)
+    twice = spark.createDataFrame([("1_clicks", "1", 1), ("1_clicks", "2", 2)], "session_type string, labels string, at int")
+    assert evaluate.normalize_predictions(twice, order_col="at").first()["items"] == [2]
+    with pytest.raises(Exception, match="duplicate key"):
+        evaluate.normalize_predictions(twice).collect()
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "want"),
+    [("string", None, []), ("string", "  5  6 7 ", [5, 6, 7]), ("string", "", []), ("array<long>", [1, None, 2], [1, 2]), ("array<long>", None, []), ("long", 7, [7]), ("long", None, []), ("double", 7.0, [7])],
+)
+def test_item_lists(spark, kind, value, want):
+    df = spark.createDataFrame([(value,)], f"x {kind}")
+    assert df.select(parse_items(F.col("x"), df.schema["x"].dataType).alias("x")).first()["x"] == want
+
+
+def test_malformed_list_fails(spark):
+    df = spark.createDataFrame([("5 x",)], "x string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        df.select(parse_items(F.col("x"), df.schema["x"].dataType)).collect()
+
+
+def test_keys_and_fields(spark):
+    df = spark.createDataFrame([(12.0, "a,b\nc", "1_2_carts", "carts")], "s double, f string, k string, t string")
+    got = df.select(session_key(F.col("s"), F.col("t")).alias("a"), sanitize_field(F.col("f")).alias("b"), key_type(F.col("k")).alias("c"), key_type(F.col("t")).alias("d")).first()
+    assert tuple(got) == ("12_carts", "a;b c", "carts", "carts")
+
+
+def test_fusion_and_ranker_rows(spark):
+    a = spark.createDataFrame([(1, 5, 0.5), (1, 6, 0.1)], "session long, aid long, score double")
+    b = spark.createDataFrame([(1, 5, 0.9)], "session long, aid long, score double")
+    fused = fuse.fuse({"x": a, "y": b})
+    assert {r["aid"]: (r["best_score"], r["n_sources"], r["sources"]) for r in fused.collect()} == {5: (0.9, 2, "x,y"), 6: (0.1, 1, "x")}
+    labels = spark.createDataFrame([("1_carts", [5, 5])], "session_type string, items array<long>")
+    rows = fuse.ranker_rows(fused, labels, ("clicks", "carts"))
+    assert {(r["aid"], r["type"]): r["label"] for r in rows.collect()} == {(5, "clicks"): 0, (5, "carts"): 1, (6, "clicks"): 0, (6, "carts"): 0}
+
+
+def test_unknown_variant():
+    with pytest.raises(ValueError, match="unknown variant"):
+        variant("v99")
+
+
+def test_jobs_end_to_end(spark, m1, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        sources.read_events(spark, f"{root}/none")
+    with pytest.raises(ValueError, match="neither"):
+        sources.read_table(spark, f"{root}/x.txt")
+    m1.coalesce(1).write.parquet(f"{root}/in/train_parquet/a.parquet")
+    m1.limit(0).write.parquet(f"{root}/in/test_parquet/b.parquet")
+    m1.limit(1).write.parquet(f"{root}/in/labels.parquet")
+    assert [p.rpartition("/")[2] for p in sources.event_paths(spark, f"{root}/in")] == ["a.parquet", "b.parquet"]
+    assert len(sources.event_paths(spark, f"{root}/in", max_shards=0)) == 1
+    run.build_index(spark, f"{root}/in", f"{root}/out", ["base", "v15"])
+    run.predict(spark, f"{root}/in", f"{root}/out", f"{root}/guess")
+    rows = spark.read.option("header", True).csv(f"{root}/guess/submission").where("variant = 'base'")
+    assert {r["session_type"]: r["labels"] for r in rows.collect()}["1_clicks"] == "30 10 20"
+    guess = rows.select("session_type", "labels")
+    guess.coalesce(1).write.option("header", True).csv(f"{root}/guess.csv")
+    spark.createDataFrame([("1_clicks", "30")], "session_type string, ground_truth string").write.parquet(f"{root}/truth.parquet")
+    run.run_evaluate(spark, f"{root}/guess.csv", f"{root}/truth.parquet", f"{root}/scored")
+    assert spark.read.json(f"{root}/scored/overall").first()["overall_recall"] == pytest.approx(0.1)
+    with pytest.raises(RuntimeError, match="no pairs"):
+        run.build_index(spark, f"{root}/in/labels.parquet", f"{root}/none", ["base"])
+
+
+def test_cache_and_ledger(spark, m1, tmp_path):
+    path = str(tmp_path / "cache")
+    first = sinks.cached_recent_items(m1, path, 20).count()
+    assert sinks.cached_recent_items(m1.limit(0), path, 20).count() == first
+    assert sinks.cached_recent_items(m1.limit(0), path, 20, refresh=True).count() == 0
+    runs = spark.createDataFrame([("a,b", "train", "0.5"), ("c", "validation", "0.5")], "exp_name string, pipeline string, score string")
+    sinks.append_ledger(runs, str(tmp_path / "ledger"))
+    sinks.append_ledger(runs, str(tmp_path / "ledger"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "ledger")).collect()
+    assert len(rows) == 4 and {(r["exp_name"], r["score"]) for r in rows} == {("a;b", None), ("c", "0.5")}
