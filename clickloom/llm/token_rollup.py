@@ -82,7 +82,7 @@ class Rollup:
         path = self._path(batch)
         if self._exists(f"{path}/_SUCCESS"):
             return False
-        add_up(changes).coalesce(1).write.mode("overwrite").parquet(path)  # a row for each key
+        add_up(changes).write.mode("overwrite").parquet(path)
         return True
 
     def batches(self, names: list[str]) -> DataFrame:
