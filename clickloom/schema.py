@@ -14,6 +14,7 @@ EVENTS = StructType([StructField("session", LongType()), StructField("aid", Long
 EVENTS_BY_CODE = StructType([*EVENTS.fields[:3], StructField("type", IntegerType())])
 SCORES = StructType([StructField("aid_key", LongType()), StructField("aid_future", LongType()), StructField("score", LongType())])
 INDEX = StructType([StructField("aid_key", LongType()), StructField("candidates", ArrayType(LongType())), StructField("scores", ArrayType(LongType()))])
+#: The columns of the run ledger.
 LEDGER = StructType(
     [
         StructField(c, StringType())
