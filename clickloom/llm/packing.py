@@ -53,6 +53,14 @@ class BestFit:
         return number, self.size - space
 
 
+def place_all(lengths: np.ndarray, bins: BestFit) -> tuple[np.ndarray, np.ndarray]:
+    """Bin numbers and offsets of one batch of pieces, which arrive longest first, ties in their order."""
+    number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        number[i], offset[i] = bins.place(int(lengths[i]))
+    return number, offset
+
+
 def pieces_of(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole sequences, behind a first piece that takes what is left over."""
     first = n % size or size
@@ -70,10 +78,10 @@ def _packer(path: str, size: int, most: int):
             rows = []
             for i, ids in zip(batch["id"], encode(t or "" for t in batch["text"]), strict=True):
                 ids = np.concatenate((ids, end)).astype("<u4")
-                for piece, (at, n) in enumerate(pieces_of(len(ids), size)):
-                    number, offset = bins.place(n)
-                    rows.append((i, piece, at, n, ids[at : at + n].tobytes(), offset, base + number))
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"id": "Int64"})
+                rows += [(i, piece, at, n, ids[at : at + n].tobytes()) for piece, (at, n) in enumerate(pieces_of(len(ids), size))]
+            out = pd.DataFrame(rows, columns=COLUMNS[:5]).astype({"id": "Int64"})
+            number, out["offset"] = place_all(out["length"].to_numpy(), bins)
+            yield out.assign(sequence_id=base + number)
 
     return run
 
@@ -84,8 +92,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     vocabulary: the path of a byte-level tokenizer file, readable on every executor. A document is its ids and then
     END_ID, so that a null or empty text is one token. Returns, for each piece, id, piece (from 0), start (ids of
     the document before it), length, ids (little-endian unsigned 32-bit integers), sequence_id and offset (gapless
-    from 0 in each sequence). Only documents longer than size are cut. Each partition packs its own rows as they
-    come, so that nothing is shuffled and a lost task gives the same rows again; memory is bounded by a batch of
+    from 0 in each sequence). Only documents longer than size are cut. Each partition packs its own rows batch by
+    batch, a batch's longest first, so that nothing is shuffled and a lost task gives the same rows again; memory is bounded by a batch of
     texts and the open bins. Null ids and repeated rows are packed like others;
     an empty table gives an empty one.
     """
