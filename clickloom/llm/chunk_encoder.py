@@ -14,6 +14,8 @@ import numpy as np
 
 #: White space beyond ASCII: a text with it is not cut.
 _ODD_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Fixed value: how byte-level vocabularies of this kind part a text before merging.
+_PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLANKS, SPACE = b"\t\n\x0b\x0c\r ", b" "
 #: Bytes that are hashed at a time; a longer chunk is not looked up; cached chunks and ids, beyond which a cache starts anew.
 _SLAB, _LONG, _CACHE, _CACHED_IDS = 1 << 20, 128, 600_000, 1 << 23
@@ -187,11 +189,10 @@ class _Merges:
 
 
 def _byte_level(path: str) -> ChunkEncoder:
-    import public_tokenizers
     import regex
     from tokenizers import Tokenizer
 
-    merges, pieces = _Merges(Tokenizer.from_file(path).model), regex.compile(public_tokenizers.PATTERN).findall
+    merges, pieces = _Merges(Tokenizer.from_file(path).model), regex.compile(_PRE_TOKENS).findall
 
     def encode(chunks: list[bytes]) -> list[list[int]]:
         out, get = [], merges.cache.get
