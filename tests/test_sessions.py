@@ -230,3 +230,23 @@ def test_cache_and_ledger(spark, m1, tmp_path):
     sinks.append_ledger(runs, str(tmp_path / "ledger"))
     rows = spark.read.option("header", True).csv(str(tmp_path / "ledger")).collect()
     assert len(rows) == 4 and {(r["exp_name"], r["score"]) for r in rows} == {("a;b", None), ("c", "0.5")}
+
+
+def test_partitions_make_no_difference(spark, m1):
+    """One hot item, many partitions or one: the same index."""
+    rows = [(s, 1 if i % 2 else s * 10 + i, i, ("clicks", "carts", "orders")[(s + i) % 3]) for s in range(40) for i in range(8)]
+    events = spark.createDataFrame(rows, EVENTS)
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        index = covisit.candidate_index(covisit.topk_per_key(sweep.direct_scores(events, variant("v16")), 5))
+        found.append(sorted((r["aid_key"], r["candidates"], r["scores"]) for r in index.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and max(len(c) for _, c, _ in found[0]) == 5
+
+
+def test_longer_lookback_never_lowers_a_score(spark, m1):
+    ready = prepare.prepare(m1, variant("base").weights)
+    scores = [scores_of(covisit.covisit_scores(covisit.covisit_pairs(ready, n))) for n in (1, 2, 5, 20)]
+    assert all(b.get(k, 0) >= v for a, b in zip(scores, scores[1:], strict=False) for k, v in a.items())
