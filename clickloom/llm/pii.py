@@ -21,7 +21,8 @@ class Kind:
     """A kind of personal data. All quantifiers in pattern are possessive or end in one fixed class: no deep backtracking.
 
     needs: a string (or a class of characters, in brackets) without which a text has no match. score: of a confirmed
-    span; context: words that add BOOST if they stand before it; own: whether the span stays whatever the score.
+    span; context: words that add BOOST if they stand before it; own: whether the span stays whatever the score. group: the
+    group of pattern that is proposed; group 1 lies in a lookahead, so that a proposal may reach over the start of the next.
     """
 
     name: str
@@ -30,6 +31,7 @@ class Kind:
     score: float
     context: str
     own: bool
+    group: int = 0
 
 
 #: The first four kinds and their patterns and limits are the base of the operator's contract.
@@ -38,7 +40,7 @@ KINDS = (
     Kind("ip", _EDGE.format("0-9") + r"[0-9]++(?:\.[0-9]++){3}", "[0-9]", 0.7, r"\bip\b|address|host|server|from", True),
     Kind("card", "[0-9](?:[ -]?[0-9])++", "[0-9]", 0.8, "card|visa|master|amex|credit|payment", True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.7, "phone|call|tel|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "[0-9]", 0.8, "iban|account|bank|konto|compte|cuenta", False),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+(?![A-Za-z0-9])|(?: [A-Z0-9]{4}(?![A-Za-z0-9])){2,7}+(?: [A-Z0-9]{1,3}(?![A-Za-z0-9]))?)))[A-Z]{2}[0-9]{2}", "[0-9]", 0.8, "iban|account|bank|konto|compte|cuenta", False, 1),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social|security", False),
     Kind("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}+", "[0-9]", 0.3, "token|secret|password|passwd|api.?key|access.?key|credential", False),
 )
@@ -80,13 +82,28 @@ def _confirmed(kind: Kind, found: Column) -> Column:
         return F.when(digits.between(13, 19), F.call_function("luhn_check", F.translate(found, " -", ""))).otherwise(False)
     if kind.name == "phone":
         return digits.between(9, 15)
-    if kind.name == "iban":
-        return let(F.translate(found, " ", ""), lambda x: F.when(F.char_length(x).between(15, 34), _mod97(x) == 1).otherwise(False))
     if kind.name == "secret":
         return (digits >= 4) & (digits < F.char_length(found))
     return F.lit(True)
 
 
+def _not_inside(found: Column) -> Column:
+    """The spans that no earlier one covers."""
+    reach = let(F.transform(found, lambda s: s["end"]), lambda v: _running(v, lambda a, b: F.greatest(a, b)))
+    return F.transform(F.filter(F.arrays_zip(found.alias("s"), reach.alias("r")), lambda x: x["s"]["end"] > x["r"]), lambda x: x["s"])
+
+
+def _iban_length(found: Column) -> Column:
+    """Characters of the longest run of whole groups from the start that is an IBAN; null if none is."""
+
+    def longest(groups: Column) -> Column:
+        counts = F.sequence(F.size(groups), F.least(F.size(groups), F.lit(3)), F.lit(-1))
+        good = F.filter(counts, lambda n: let(F.array_join(F.slice(groups, F.lit(1), n), ""), lambda x: F.when(F.char_length(x).between(15, 34), _mod97(x) == 1).otherwise(False)))
+        return let(good, lambda g: F.char_length(F.array_join(F.slice(groups, F.lit(1), F.get(g, F.lit(0))), " ")))
+
+    return let(F.split(found, " "), longest)
+
+
 def _proposals(kind: Kind, text: Column) -> Column:
     """An array of the confirmed spans of a kind: kind, start, end (code points, end exclusive), score, base."""
 
@@ -97,8 +114,8 @@ def _proposals(kind: Kind, text: Column) -> Column:
             found,
             lambda g, m: F.struct(
                 F.char_length(g).cast("long").alias("gap"),
-                F.char_length(m).cast("long").alias("len"),
-                _confirmed(kind, m).alias("ok"),
+                (F.lit(4) if kind.group else F.char_length(m)).cast("long").alias("len"),
+                (_iban_length(m) if kind.group else F.when(_confirmed(kind, m), F.char_length(m))).cast("long").alias("take"),
                 F.lower(F.right(g, F.lit(CONTEXT_CHARS))).rlike(kind.context).alias("near"),
             ),
         )
@@ -112,19 +129,19 @@ def _proposals(kind: Kind, text: Column) -> Column:
                 lambda x, at: F.struct(
                     F.lit(kind.name).alias("kind"),
                     (at + x["gap"]).alias("start"),
-                    (at + x["gap"] + x["len"]).alias("end"),
+                    (at + x["gap"] + x["take"]).alias("end"),
                     F.least(F.lit(1.0), score(x)).alias("score"),
                     F.lit(kind.own).alias("base"),
-                    x["ok"].alias("ok"),
                 ),
             )
-            return F.filter(all_spans, lambda s: s["ok"] & (s["base"] | (s["score"] >= LEAST)))
+            good = F.filter(all_spans, lambda s: s["end"].isNotNull() & (s["base"] | (s["score"] >= LEAST)))
+            return let(good, _not_inside) if kind.group else good
 
         return let(pairs, placed)
 
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double,base:boolean,ok:boolean>>")
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double,base:boolean>>")
     gate = text.rlike(kind.needs) if kind.needs.startswith("[") else F.contains(text, F.lit(kind.needs))
-    matches = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(spans(m)))
+    matches = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)), lambda m: F.when(F.size(m) == 0, none).otherwise(spans(m)))
     return F.when(gate, matches).otherwise(none)
 
 
@@ -133,7 +150,7 @@ def spans(text: Column) -> Column:
 
     An array of kind, start, end, score, base. The base kinds are found leftmost and without overlap inside their
     kind, and what fails its check is dropped without a second try; spans of different kinds may overlap. The other
-    kinds need their checksum (iban) or a context word (ssn, secret) within CONTEXT_CHARS before them.
+    kinds need their checksum (iban, of whose groups in a row the longest good run from the start counts) or a context word (ssn, secret) within CONTEXT_CHARS before them.
     """
     whole = F.coalesce(text, F.lit(""))
     return let(whole, lambda t: F.concat(*[_proposals(k, t) for k in KINDS]))
