@@ -45,6 +45,10 @@ KINDS = (
     Kind("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}+", "[0-9]", 0.3, "token|secret|password|passwd|api.?key|access.?key|credential", False),
 )
 BOOST, LEAST, CONTEXT_CHARS = 0.4, 0.6, 40
+#: What may stand between two items of a list: no letter or digit but one conjunction.
+_LIST = r"(?i)^[^\p{L}\p{N}]*+(?:(?:and|or|und|oder|et|ou|y|o|e)[^\p{L}\p{N}]+)?$"
+#: So many matches of the kinds that need context words (each of 11 characters at least) cover CONTEXT_CHARS.
+_AROUND = 4
 _CHUNK = 256
 
 
@@ -104,21 +108,47 @@ def _iban_length(found: Column) -> Column:
     return let(F.split(found, " "), longest)
 
 
-def _proposals(kind: Kind, text: Column) -> Column:
+def _near(kind: Kind, gaps: Column, found: Column) -> Column:
+    """For each match: whether a context word is in the CONTEXT_CHARS of text before or after it, or before or after
+    an earlier match from which only list separators part it and those between."""
+    width = F.lit(CONTEXT_CHARS)
+    head, tail = lambda i: F.left(F.get(gaps, i), width), lambda i: F.right(F.get(gaps, i), width)
+    before = F.transform(found, lambda m, i: F.concat(tail(i), F.right(m, width)))
+    after = F.transform(found, lambda m, i: F.concat(F.left(m, width), head(i + 1)))
+
+    def own(b: Column, a: Column) -> Column:
+        def one(_, i: Column) -> Column:
+            left = F.concat(F.array_join(F.slice(b, F.greatest(i - _AROUND, F.lit(0)) + 1, F.least(i, F.lit(_AROUND))), ""), tail(i))
+            right = F.concat(head(i + 1), F.array_join(F.slice(a, i + 2, F.lit(_AROUND)), ""))
+            hit = F.lower(F.right(left, width)).rlike(kind.context) | F.lower(F.left(right, width)).rlike(kind.context)
+            return F.struct(F.when(hit, i + 1).otherwise(0).cast("long").alias("word"), F.when((i > 0) & F.get(gaps, i).rlike(_LIST), 0).otherwise(i + 1).cast("long").alias("begin"))
+
+        return F.transform(found, one)
+
+    def so_far(marks: Column, name: str) -> Column:
+        return let(F.transform(marks, lambda x: x[name]), lambda v: F.zip_with(v, _running(v, lambda a, b: F.greatest(a, b)), lambda x, y: F.greatest(x, y)))
+
+    marks = let(before, lambda b: let(after, lambda a: own(b, a)))
+    return let(marks, lambda x: F.zip_with(so_far(x, "word"), so_far(x, "begin"), lambda w, b: w >= b))
+
+
+def _proposals(kind: Kind, text: Column, around: bool) -> Column:
     """An array of the confirmed spans of a kind: kind, start, end (code points, end exclusive), score, base."""
+    around = around and kind.score < LEAST
 
     def spans(found: Column) -> Column:
-        gaps = F.split(text, kind.pattern, -1)
-        pairs = F.zip_with(
-            F.slice(gaps, F.lit(1), F.size(found)),
-            found,
-            lambda g, m: F.struct(
+        return let(F.split(text, kind.pattern, -1), lambda gaps: let(_near(kind, gaps, found) if around else F.lit(None), lambda near: of(found, gaps, near)))
+
+    def of(found: Column, gaps: Column, near: Column) -> Column:
+        def pair(g: Column, m: Column, i: Column) -> Column:
+            return F.struct(
                 F.char_length(g).cast("long").alias("gap"),
                 (F.lit(4) if kind.group else F.char_length(m)).cast("long").alias("len"),
                 (_iban_length(m) if kind.group else F.when(_confirmed(kind, m), F.char_length(m))).cast("long").alias("take"),
-                F.lower(F.right(g, F.lit(CONTEXT_CHARS))).rlike(kind.context).alias("near"),
-            ),
-        )
+                (F.get(near, i) if around else F.lower(F.right(g, F.lit(CONTEXT_CHARS))).rlike(kind.context)).alias("near"),
+            )
+
+        pairs = F.transform(found, lambda m, i: let(F.get(gaps, i), lambda g: pair(g, m, i)))
 
         def placed(p: Column) -> Column:
             before = let(F.transform(p, lambda x: x["gap"] + x["len"]), lambda v: _running(v, lambda a, b: a + b))
@@ -145,15 +175,17 @@ def _proposals(kind: Kind, text: Column) -> Column:
     return F.when(gate, matches).otherwise(none)
 
 
-def spans(text: Column) -> Column:
+def spans(text: Column, around: bool = False) -> Column:
     """All spans of a text by kind as listed in KINDS, then start; a null or empty text has none.
 
     An array of kind, start, end, score, base. The base kinds are found leftmost and without overlap inside their
     kind, and what fails its check is dropped without a second try; spans of different kinds may overlap. The other
-    kinds need their checksum (iban, of whose groups in a row the longest good run from the start counts) or a context word (ssn, secret) within CONTEXT_CHARS before them.
+    kinds need their checksum (iban, of whose groups in a row the longest good run from the start counts) or a context word (ssn, secret). Without around, that word must stand within CONTEXT_CHARS before them and behind
+    the last match of their kind; with around, anywhere in the CONTEXT_CHARS before or after them, and it holds for
+    what follows in the same list, however long.
     """
     whole = F.coalesce(text, F.lit(""))
-    return let(whole, lambda t: F.concat(*[_proposals(k, t) for k in KINDS]))
+    return let(whole, lambda t: F.concat(*[_proposals(k, t, around) for k in KINDS]))
 
 
 def digest(found: Column) -> Column:
@@ -161,9 +193,9 @@ def digest(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: bool = False) -> DataFrame:
     """(id, spans) for every row of docs; null ids and repeated rows stay."""
-    return docs.select(F.col(id_col).alias("id"), spans(F.col(text_col)).alias("spans"))
+    return docs.select(F.col(id_col).alias("id"), spans(F.col(text_col), around).alias("spans"))
 
 
 def _redacted(text: Column, found: Column) -> Column:
@@ -186,8 +218,8 @@ def _redacted(text: Column, found: Column) -> Column:
     return let(F.sort_array(F.transform(found, lambda s: F.struct(s["start"], s["end"], s["kind"]))), spliced)
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", around: bool = False) -> DataFrame:
     """docs with each span of personal data in the text replaced by its kind, as in <EMAIL>; a null text stays null."""
     text = F.col(text_col)
-    clean = let(spans(text), lambda s: F.when(F.size(s) == 0, text).otherwise(_redacted(text, s)))
+    clean = let(spans(text, around), lambda s: F.when(F.size(s) == 0, text).otherwise(_redacted(text, s)))
     return docs.withColumn(text_col, clean)

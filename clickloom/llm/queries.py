@@ -30,7 +30,7 @@ def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"))
+    found = pii.find(table(spark, sf_dir, "documents"), around=True)
     of = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     base = pii.digest(F.filter("spans", lambda s: s["base"]))
     return found.select(F.col("id").alias("doc_id"), *[of(k.name) for k in pii.KINDS if k.own], F.sha2(base, 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))

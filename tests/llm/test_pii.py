@@ -17,3 +17,24 @@ def test_spaced_iban_before_other_codes(spark):
     assert _found(spark, texts) == [[be], [es], [be], [de], [be, de, es], [], [], [be, be.replace(" ", "")]]
     docs = spark.createDataFrame([(f"to {be} EUR 500",)], "text string")
     assert pii.redact(docs).first()["text"] == "to <IBAN> EUR 500"
+
+
+def test_lists_behind_one_context_word(spark):
+    ssn, key = [f"{100 + i}-45-{6000 + i}" for i in range(300)], [f"{i:03d}" + "a1" * 20 for i in range(300)]
+    texts = [
+        f"é SSN: {ssn[0]}, {ssn[1]}", "ssn\n" + "\n".join(ssn), f"tokens: {key[0]}, {key[1]} and {key[2]}", "token " + " | ".join(key), f"{ssn[0]} is my social security number",
+        f"{key[0]} was the password", f"{ssn[0]}, {ssn[1]}", f"ssn {ssn[0]} {'x' * 50} {ssn[1]}", f"token {key[0]} commit {key[1]}", f"x {ssn[0]} y {ssn[1]} z {ssn[2]}", "ssn", f"ssn {ssn[0]} but {ssn[1]}",
+    ]
+    want = [ssn[:2], ssn, key[:3], key, ssn[:1], key[:1], [], ssn[:1], key[:1], [], [], ssn[:2]]
+    assert _found(spark, texts, around=True) == want
+
+
+def test_query_and_stage_take_the_whole_context(spark, tmp_path):
+    from corpus_pipeline import pii_stage
+
+    from clickloom.llm.queries import op4_pii
+
+    docs = spark.createDataFrame([(1, "SSN: 123-45-6789, 987-65-4321")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert op4_pii(spark, str(tmp_path)).first()["spans"] == "ssn:5:16,ssn:18:29"
+    assert pii_stage(spark, docs, str(tmp_path)).first()["text"] == "SSN: <SSN>, <SSN>"
