@@ -176,7 +176,8 @@ def _some_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from at most SAMPLE labelled rows of each class, none of them held out, at SAMPLE_CHUNKS chunks a text.
 
-    The sample is the rows with the least hash of their id among those that docs has. Classes are weighted by their share of all labelled
+    The sample is the rows with the least hash of their id among those that docs has; of rows
+    with one id the text of the least hash counts, so that at most 2 * SAMPLE rows reach the driver. Classes are weighted by their share of all labelled
     rows, so that scores are probabilities at that share. Only the text is an input. Rows with a null id or label
     are not learned from; labels of one class alone give a constant score.
     """
@@ -191,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = [present.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for c in (0, 1)]
     sample = F.broadcast(part[0].unionByName(part[1]))  # at most 2 * SAMPLE rows
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
+    chosen = chosen.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     rows = chosen.select("id", "label", "text").mapInPandas(_some_chunks, "id long, label int, length int, chunk binary").toPandas()
     if rows.empty or rows["label"].nunique() < 2:
         return constant((totals.get(1, 0) + 1) / (total + 2))

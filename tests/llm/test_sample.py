@@ -16,3 +16,9 @@ def test_sample_is_drawn_from_ids_with_a_text(spark, monkeypatch):
     monkeypatch.setattr(quality_cnn, "SAMPLE", 5)
     seen = _learned(spark, monkeypatch, [(i, f"text {i}") for i in range(40)], [(i, i % 2) for i in range(4000)])
     assert sorted(seen["label"]) == [0] * 5 + [1] * 5
+
+
+def test_hot_id_is_one_row(spark, monkeypatch):
+    docs = [(0, f"text {i}") for i in range(500)] + [(i, f"text {i}") for i in range(1, 10)]
+    seen = _learned(spark, monkeypatch, docs, [(i, i % 2) for i in range(10)])
+    assert len(seen["owner"]) == len(seen["label"]) > 1
