@@ -10,17 +10,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.chunk_encoder import encoder
-from clickloom.llm.shared import small_batches
+from clickloom.llm.shared import sliced
+from clickloom.llm.text_ids import encoder
 
 #: Ids after which a block closes.
 BLOCK_IDS = 1 << 16
 _WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 _SCHEMA = "file int, block int, first long, doc_ids array<long>, sizes array<int>, width int, packed binary"
+_ARROW = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("width", pa.int32()), ("packed", pa.binary())])
 
 
 def width_of(vocabulary_size: int) -> int:
@@ -45,56 +46,63 @@ def unpack_ids(packed: bytes, width: int, start: int, count: int) -> np.ndarray:
     return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
 
 
-def _block_writer(path: str, kind: str, end_id: int, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _block_writer(path: str, end_id: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, file = encoder(path, kind), TaskContext.get().partitionId()
+        encode, file = encoder(path), TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
-        block, first, names, held, n = 0, 0, [], [], 0
+        block, first, names, sizes, held, n = 0, 0, [], [], [], 0
 
         def closed() -> dict:
-            return {"file": file, "block": block, "first": first, "doc_ids": names, "sizes": [len(x) for x in held], "width": width, "packed": pack_ids(np.concatenate(held), width)}
+            return {"file": file, "block": block, "first": first, "doc_ids": names, "sizes": sizes, "width": width, "packed": pack_ids(np.concatenate(held), width)}
 
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
-            for name, ids in zip(batch["id"], encode(t or "" for t in batch["text"]), strict=True):
-                names.append(None if pd.isna(name) else int(name))
-                held.append(np.concatenate((ids, end)))
-                n += len(held[-1])
+            for name, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = encode.encode(text or "")
+                names.append(name)
+                sizes.append(len(ids) + 1)
+                held += [ids, end]
+                n += sizes[-1]
                 if n >= BLOCK_IDS:
                     rows.append(closed())
-                    block, first, names, held, n = block + 1, first + n, [], [], 0
+                    block, first, names, sizes, held, n = block + 1, first + n, [], [], [], 0
             if rows:
-                yield pd.DataFrame(rows)
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
         if held:
-            yield pd.DataFrame([closed()])
+            yield pa.RecordBatch.from_pylist([closed()], schema=_ARROW)
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, vocabulary_size: int, end_id: int, kind: str = "word", id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, vocabulary_size: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every document, end_id behind, into token files under path, over all files in rising order of id.
 
     vocabulary: a tokenizers file that every executor can read. Null ids come first, and rows of one id in the order
     of a hash of their text; a null or empty text is end_id alone; an empty table gives files without blocks. Texts
     are dealt out by ranges of (id, hash), so that no range holds one hot id whole.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     ordered = own.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    ordered.mapInPandas(_block_writer(vocabulary, kind, end_id, width_of(vocabulary_size)), _SCHEMA).write.parquet(path)
+    ordered.mapInArrow(_block_writer(vocabulary, end_id, width_of(vocabulary_size)), _SCHEMA).write.parquet(path)
 
 
-def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for doc_ids, sizes, width, packed, start in zip(batch["doc_ids"], batch["sizes"], batch["width"], batch["packed"], batch["start"], strict=True):
-            sizes = np.asarray(sizes, np.int64)
-            at = np.cumsum(sizes) - sizes
-            ids = [unpack_ids(packed, int(width), a, n).astype("<u4").tobytes() for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
-            yield pd.DataFrame({"id": pd.array(doc_ids, "Int64"), "start": start + at, "n_tokens": sizes, "ids": ids})
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block is unpacked once; each of its documents is a slice of the result."""
+    for batch in sliced(batches, "packed"):
+        names = batch.column("doc_ids").flatten()
+        counts = batch.column("sizes").flatten().to_numpy().astype(np.int64)
+        whole, starts = [], []
+        for sizes, width, packed, start in zip(*(batch.column(c).to_pylist() for c in ("sizes", "width", "packed", "start")), strict=True):
+            own = np.array(sizes, np.int64)
+            starts.append(start + np.cumsum(own) - own)
+            whole.append(unpack_ids(packed, width, 0, int(own.sum())))
+        ends = np.concatenate(([0], np.cumsum(counts) * 4))
+        ids = np.concatenate(whole).astype("<u4")
+        binary = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+        yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(starts)), pa.array(counts), binary.cast(pa.binary())], names=["id", "start", "n_tokens", "ids"])
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -107,4 +115,4 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row for each file
     placed = blocks.join(F.broadcast(offsets), "file").select("doc_ids", "sizes", "width", "packed", (F.col("before") + F.col("first")).alias("start"))
-    return placed.mapInPandas(_unpacked, "id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(_unpacked, "id long, start long, n_tokens long, ids binary")

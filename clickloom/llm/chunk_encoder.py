@@ -6,17 +6,12 @@ computes for all chunks at once from prefix sums; Python sees distinct chunks al
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: White space beyond ASCII: a text with it is not cut.
-_ODD_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-#: Fixed value: how byte-level vocabularies of this kind part a text before merging.
-_PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLANKS, SPACE = b"\t\n\x0b\x0c\r ", b" "
+SPACE = b" "
 #: Bytes that are hashed at a time; a longer chunk is not looked up; cached chunks and ids, beyond which a cache starts anew.
 _SLAB, _LONG, _CACHE, _CACHED_IDS = 1 << 20, 128, 600_000, 1 << 23
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -157,95 +152,3 @@ class ChunkEncoder:
                 yield from self._slab(wait, whole)
                 wait, whole, held = [], [], 0
         yield from self._slab(wait, whole)
-
-
-def _printable() -> dict[int, str]:
-    """The character that stands for each byte in byte-level vocabularies: itself where printable, else one from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) if b in plain else chr(256 + b - sum(x < b for x in plain)) for b in range(256)}
-
-
-_SHOWN = _printable()
-#: Most chunks: a blank, a word in Latin letters, and a mark or none.
-_plain_word = re.compile(r"[\t-\r ]([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])?").fullmatch
-
-
-class _Merges:
-    """Ids of pre-tokens by the library's model, cached, as most new chunks are known words beside new punctuation."""
-
-    def __init__(self, model):
-        self.model, self.cache = model, {}
-        self.most = _CACHE // 2
-
-    def __call__(self, word: str) -> list[int]:
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) > self.most:
-                self.cache.clear()
-            found = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))]
-            if len(word) <= _LONG:
-                self.cache[word] = found
-        return found
-
-
-def _byte_level(path: str) -> ChunkEncoder:
-    import regex
-    from tokenizers import Tokenizer
-
-    merges, pieces = _Merges(Tokenizer.from_file(path).model), regex.compile(_PRE_TOKENS).findall
-
-    def encode(chunks: list[bytes]) -> list[list[int]]:
-        out, get = [], merges.cache.get
-        for c in chunks:
-            text = c.decode()
-            if (found := _plain_word(text)) and text[0] == " ":  # a word, or a word and a mark
-                word, mark = found.groups()
-                ids = get(f" {word}") or merges(f" {word}")
-                out.append(ids + (get(mark) or merges(mark)) if mark else ids)
-            else:
-                out.append([x for word in pieces(text) for x in merges(word)])
-        return out
-
-    return ChunkEncoder(encode, BLANKS, _ODD_WHITE)
-
-
-def _word_level(path: str) -> ChunkEncoder:
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True  # their strings in a text are ordinary text
-    merges, pieces = _Merges(whole.model), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+").findall
-    plain = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch  # no normal form and no lower case but the obvious one
-
-    def encode(chunks: list[bytes]) -> list[list[int]]:
-        texts, out, get = [c.decode() for c in chunks], [], merges.cache.get
-        for text in texts:
-            if found := _plain_word(text):
-                word, mark = found.groups()
-                word = word.lower()
-                ids = get(word) or merges(word)
-                out.append(ids + (get(mark) or merges(mark)) if mark else ids)
-            else:
-                out.append([x for word in pieces(text.lower()) for x in merges(word)] if plain(text) else None)
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(rest, whole.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = x.ids
-        return out
-
-    return ChunkEncoder(encode, BLANKS, _ODD_WHITE)
-
-
-_KINDS = {"byte": _byte_level, "word": _word_level}
-_kept: dict[tuple[str, str], ChunkEncoder] = {}
-
-
-def encoder(path: str, kind: str) -> ChunkEncoder:
-    """The process's encoder of a tokenizers file, so that tasks of one Python worker share a cache.
-
-    kind: byte, for a byte-level vocabulary in which white space goes before a word; word, for one that lowers texts
-    and drops white space.
-    """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
-    if (path, kind) not in _kept:
-        _kept[path, kind] = _KINDS[kind](path)
-    return _kept[path, kind]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.shared import small_batches
+from clickloom.llm.shared import sliced
 
 #: The phrases and labels of the operator's contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -45,6 +45,14 @@ TEMPLATES = {
 #: the share of a template's words that gives its label.
 MIN_MATCH, MAX_GAP, LEAST_SHARE = 6, 12, 0.6
 PHRASE_SCORE = 0.5
+_ARROW = pa.schema(
+    [
+        ("id", pa.int64()),
+        ("n_words", pa.int64()),
+        ("places", pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64())]))),
+        ("spans", pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))),
+    ]
+)
 _LETTERS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -179,28 +187,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     first word, end and the covered share of each template that was met, the best chain of each. A null or empty
     text has no words. Null ids and repeated rows stay; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
     given = (PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(*given)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = words_of(text)
                 places, matches = automaton.scan(found)
-                rows.append(
-                    {
-                        "id": i,
-                        "n_words": len(found),
-                        "places": sorted(({"label": automaton.phrases[k][1], "first": at} for k, at in places), key=lambda p: (p["first"], p["label"])),
-                        "spans": [{"label": a, "first": b, "end": c, "share": d} for a, b, c, d in automaton.spans(matches)],
-                    }
-                )
-            yield pd.DataFrame(rows, columns=["id", "n_words", "places", "spans"]).astype({"id": "Int64"})
+                at = sorted((at, automaton.phrases[k][1]) for k, at in places)
+                spans = [{"label": a, "first": b, "end": c, "share": d} for a, b, c, d in automaton.spans(matches)]
+                rows.append({"id": i, "n_words": len(found), "places": [{"label": label, "first": first} for first, label in at], "spans": spans})
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     schema = "id long, n_words long, places array<struct<label:string,first:long>>, spans array<struct<label:string,first:long,end:long,share:double>>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def summary(scanned: DataFrame) -> DataFrame:

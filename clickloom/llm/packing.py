@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.chunk_encoder import encoder
-from clickloom.llm.shared import small_batches
+from clickloom.llm.shared import sliced
+from clickloom.llm.text_ids import encoder
 
 SEQUENCE, OPEN_BINS, END_ID = 2048, 512, 0
-COLUMNS = ["id", "piece", "start", "length", "ids", "offset", "sequence_id"]
+
+
 class BestFit:
     """Bounded-space online best-fit.
 
@@ -53,14 +54,6 @@ class BestFit:
         return number, self.size - space
 
 
-def place_all(lengths: np.ndarray, bins: BestFit) -> tuple[np.ndarray, np.ndarray]:
-    """Bin numbers and offsets of one batch of pieces, which arrive longest first, ties in their order."""
-    number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        number[i], offset[i] = bins.place(int(lengths[i]))
-    return number, offset
-
-
 def pieces_of(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole sequences, behind a first piece that takes what is left over."""
     first = n % size or size
@@ -68,20 +61,27 @@ def pieces_of(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
 
 
 def _packer(path: str, size: int, most: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, bins = encoder(path, "byte"), BestFit(size, most)
+        encode, bins = encoder(path), BestFit(size, most)
         base = TaskContext.get().partitionId() << 40
         end = np.array([END_ID], np.uint32)
-        for batch in batches:
-            rows = []
-            for i, ids in zip(batch["id"], encode(t or "" for t in batch["text"]), strict=True):
-                ids = np.concatenate((ids, end)).astype("<u4")
-                rows += [(i, piece, at, n, ids[at : at + n].tobytes()) for piece, (at, n) in enumerate(pieces_of(len(ids), size))]
-            out = pd.DataFrame(rows, columns=COLUMNS[:5]).astype({"id": "Int64"})
-            number, out["offset"] = place_all(out["length"].to_numpy(), bins)
-            yield out.assign(sequence_id=base + number)
+        for batch in sliced(batches):
+            owner, piece, start, length, ids, offset, sequence = ([] for _ in range(7))
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                own = np.concatenate((encode.encode(text or ""), end)).astype("<u4")
+                for k, (at, n) in enumerate(pieces_of(len(own), size)):
+                    number, place = bins.place(n)
+                    owner.append(row)
+                    piece.append(k)
+                    start.append(at)
+                    length.append(n)
+                    ids.append(own[at : at + n].tobytes())
+                    offset.append(place)
+                    sequence.append(base + number)
+            columns = [batch.column("id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(offset, pa.int64()), pa.array(sequence, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids", "offset", "sequence_id"])
 
     return run
 
@@ -89,14 +89,13 @@ def _packer(path: str, size: int, most: int):
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
     """Documents as pieces placed in sequences of at most size tokens.
 
-    vocabulary: the path of a byte-level tokenizer file, readable on every executor. A document is its ids and then
+    vocabulary: the path of a tokenizers file, readable on every executor. A document is its ids and then
     END_ID, so that a null or empty text is one token. Returns, for each piece, id, piece (from 0), start (ids of
     the document before it), length, ids (little-endian unsigned 32-bit integers), sequence_id and offset (gapless
-    from 0 in each sequence). Only documents longer than size are cut. Each partition packs its own rows batch by
-    batch, a batch's longest first, so that nothing is shuffled and a lost task gives the same rows again; memory is bounded by a batch of
-    texts and the open bins. Null ids and repeated rows are packed like others;
-    an empty table gives an empty one.
+    from 0 in each sequence). Only documents longer than size are cut. Each partition packs its own rows in the order
+    in which they come, piece by piece, so that nothing is shuffled, the size of Arrow batches makes no difference,
+    and a lost task gives the same rows again; memory is bounded by a slice of texts and the open bins. Null ids and
+    repeated rows are packed like others; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
     schema = "id long, piece int, start long, length long, ids binary, offset long, sequence_id long"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(_packer(vocabulary, size, open_bins), schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_packer(vocabulary, size, open_bins), schema)

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from clickloom.llm.shared import small_batches
 
 WIDTH, BLOCK, FILTERS, EMBEDDING = 8, 256, 32, 8
 #: Labelled rows of each class that are learned from at most, and chunks of each of their texts.
@@ -181,7 +180,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows, so that scores are probabilities at that share. Only the text is an input. Rows with a null id or label
     are not learned from; labels of one class alone give a constant score.
     """
-    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("label").alias("label"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -220,7 +218,6 @@ def scorer(model: Model):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row of docs; null ids and repeated rows stay, an empty table gives an empty one."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), scorer(model)(F.col(text_col)).alias("score"))
 
 

@@ -41,7 +41,7 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents without text, and a revision of the second tokenizer's version name. A repeated commit adds nothing."""
     docs = table(spark, sf_dir, "documents")
     rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
-    counts = {kind: cut(token_rollup.count_tokens(docs, public_tokenizers.path(file), file.removesuffix(".json"), kind)) for kind, file in (("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json"))}
+    counts = {kind: cut(token_rollup.count_tokens(docs, public_tokenizers.path(file), file.removesuffix(".json"))) for kind, file in (("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json"))}
     draft = counts["word"].withColumn("tokenizer_version", F.concat("tokenizer_version", F.lit("-draft")))
     rollup.commit("insert-byte", token_rollup.signed(counts["byte"], 1))
     rollup.commit("insert-word", token_rollup.signed(draft, 1))

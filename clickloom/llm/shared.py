@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rules: U+0020 and U+0009 to U+000D.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of text that a Python task turns into objects at a time.
+SLICE = 1 << 22
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python task holds at once: whole texts are long, so Spark's default of 10,000 rows is too many.
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of about most bytes of a column, a row at least, whatever the session's batch size is.
 
-    A value that the user has chosen stays.
+    Spark itself bounds a batch (spark.sql.execution.arrow.maxBytesPerBatch), which bounds what a task is given; a
+    slice bounds what it makes of it.
     """
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(rows))
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            if end > begin:
+                yield batch.slice(begin, end - begin)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from clickloom.llm.components import Forest, connected_components
-from clickloom.llm.shared import cut, fresh_names, small_batches
+from clickloom.llm.shared import cut, fresh_names
 
 SHINGLE, SEED, BUDGET, BLOCK = 3, 42, 3, 16
 #: Distinct fingerprints of one block beyond which the block is dealt out anew by parts of its other bits.
@@ -170,7 +170,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows stay repeated; rows with a null id are linked too, and a component of null ids alone has a null
     component_id. Other columns of docs are not read. An empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
     marked = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
     return group_fingerprints(marked, hot_block)
 
@@ -191,7 +190,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of repeated rows (equal id and text) one stays; of rows with one id and different texts that are linked, the
     one with the least text hash. A null id counts as larger than any. All columns of docs come back unchanged.
     """
-    small_batches(docs.sparkSession)
     i, h, n = fresh_names(docs, "keep_id", "keep_hash", "keep_row")
     whole_id, hash_of = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.col(text_col), F.col(text_col).isNull())
     marked = cut(docs.select(F.struct(whole_id.alias("i"), hash_of.alias("h")).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))

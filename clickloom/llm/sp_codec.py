@@ -6,12 +6,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.chunk_encoder import SPACE, ChunkEncoder, gather, strings
-from clickloom.llm.shared import small_batches
+from clickloom.llm.shared import sliced
 
 _MARK = "▁"
 _NONE = np.int64(1 << 40)  # the rank of a pair that never merges
@@ -210,20 +210,18 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     end id behind; ids_text: the same in decimal, joined by one space; decoded: the text they decode to. A null or
     empty text has the end id alone. Null ids and repeated rows stay; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for batch in batches:
-            ids = list(own.encode(t or "" for t in batch["text"]))
-            yield pd.DataFrame(
-                {
-                    "id": batch["id"],
-                    "n_tokens": [len(x) for x in ids],
-                    "ids": [x.astype("<u4").tobytes() for x in ids],
-                    "ids_text": [own.decimals(x).decode() for x in ids],
-                    "decoded": [own.decode(x) for x in ids],
-                }
-            )
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_tokens long, ids binary, ids_text string, decoded string")
+        for batch in sliced(batches):
+            ids = list(own.encode(t or "" for t in batch.column("text").to_pylist()))
+            columns = [
+                batch.column("id"),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                pa.array([own.decimals(x).decode() for x in ids], pa.string()),
+                pa.array([own.decode(x) for x in ids], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids", "ids_text", "decoded"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary, ids_text string, decoded string")

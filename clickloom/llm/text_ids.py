@@ -1,9 +1,9 @@
 """Whole texts to the ids that the tokenizers library gives for them, added tokens included, at less cost.
 
-Two kinds of vocabulary have a short way: byte-level ones whose ids are their merge order (tiktoken merges these), and
-ones with word ends that lower texts and drop white space (words that were met before are looked up, others merged by
-tiktoken). Texts outside their limits go to the library whole, as do texts that hold the string of an added token, and all texts of other
-vocabularies.
+Two kinds of vocabulary have a short way: byte-level ones, and ones with word ends that lower texts and drop white
+space. In both, a text is parted into words that no token crosses; each word goes to the library's model once and is
+then looked up. Words of characters whose classes are not plain go to the whole library, with what stands around them
+up to the next white space, and so do texts of all other vocabularies. Added tokens part a text first, as in the library.
 """
 
 from __future__ import annotations
@@ -11,23 +11,26 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: How vocabularies of these two kinds part a text.
-_BYTE_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: how vocabularies with word ends part a text, in their files.
 _WORD_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-#: A run of white space that is too long for tiktoken's matcher.
-_LONG_BLANK = re.compile(r"(?<!\s)\s{4096}")
-#: No normal form and no lower case but the obvious one; the words of such a text, lowered; what parts any text.
-_PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
-_plain_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+").findall
-_BLANKS = re.compile("[\t-\r ]+")
-#: A character that no plain text has.
-_WORD_END = "\ue000"
+#: Classes of plain characters: letters, digits and white space; the rest of _PLAIN is neither. None has another normal form.
+_L, _N, _B = "A-Za-zªµºÀ-ÖØ-öø-ÿĀ-įı-ſ", "0-9²³¹¼½¾", "\t-\r "
+_PLAIN = re.compile("[\x00-\x84\x86-\x9f\xa1-\xffĀ-įı-ſ‐-‧€]*").fullmatch
+#: The two ways to part a text, for plain characters.
+_byte_words = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_B}{_L}{_N}]+|[{_B}]+(?![^{_B}])|[{_B}]+").findall
+_word_words = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_B}{_L}{_N}]+").findall
+#: A text in chunks that each begin where white space (Unicode's, which never changes) follows something else.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_chunks = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
+#: A longer text is parted like this first, so that the lists of its words stay short.
+_SEGMENT, _gap = 1 << 20, re.compile(f"[^{_WHITE}](?=[{_WHITE}])").search
 #: Words of one generation of a cache; a longer word is not kept.
-_CACHED, _LONG = 300_000, 128
+_CACHED, _LONG = 250_000, 128
 
 
 def _printable() -> dict[int, str]:
@@ -58,6 +61,15 @@ class _Cache(dict):
         return found
 
 
+def _segments(text: str) -> Iterator[str]:
+    """text in parts of about _SEGMENT characters, each but the first from white space behind something else on."""
+    begin = 0
+    while found := _gap(text, begin + _SEGMENT):
+        yield text[begin : found.end()]
+        begin = found.end()
+    yield text[begin:]
+
+
 class TextEncoder:
     """Ids of texts by a tokenizers file."""
 
@@ -68,82 +80,62 @@ class TextEncoder:
         with open(path, encoding="utf-8") as f:
             given = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.added = [x["content"] for x in given["added_tokens"]]
-        odd = any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in given["added_tokens"])
-        self.short = None if odd else self._byte_level(given) or self._word_level(given)
+        added = {x["content"]: np.array([x["id"]], np.uint32) for x in given["added_tokens"]}
+        exact = not any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in given["added_tokens"])
+        parted = exact and self._parted(given)
+        self.short, self.added = None, added
+        if parted:
+            words, lowered = parted
+            self.part_at = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+            self.short = self._short(words, lowered)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _byte_level(self, given: dict) -> Callable[[str], np.ndarray] | None:
-        model, parts = given["model"], given["pre_tokenizer"] or {}
-        vocabulary, merges = model["vocab"], [m if isinstance(m, str) else "".join(m) for m in model["merges"]]
-        fits = parts.get("type") == "ByteLevel" and parts["use_regex"] and not parts["add_prefix_space"] and not given["normalizer"]
-        if not fits or model["end_of_word_suffix"] or any(vocabulary[m.replace(" ", "")] != 256 + k for k, m in enumerate(merges)):
-            return None
-        import tiktoken
-
-        byte = {c: b for b, c in _SHOWN.items()}
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in self.added}
-        fast = tiktoken.Encoding("byte-level", pat_str=_BYTE_PIECES, mergeable_ranks=ranks, special_tokens={})
-
-        def short(text: str) -> np.ndarray:
-            if len(text) >= 4096 and _LONG_BLANK.search(text):
-                return self._whole(text)
-            return np.array(fast.encode_ordinary(text), np.uint32)
-
-        return short
-
-    def _word_level(self, given: dict) -> Callable[[str], np.ndarray] | None:
-        model, parts, form = given["model"], (given["pre_tokenizer"] or {}).get("pretokenizers", []), (given["normalizer"] or {}).get("normalizers", [])
-        fits = [x["type"] for x in form] == ["NFC", "Replace", "Lowercase"] and form[1]["pattern"] == {"Regex": r"\s+"} and form[1]["content"] == " "
-        fits = fits and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": _WORD_PIECES} and parts[0]["invert"] and parts[0]["behavior"] == "Removed"
-        if not fits or parts[1]["use_regex"] or parts[1]["add_prefix_space"] or model["end_of_word_suffix"] != "</w>":
+    def _parted(self, given: dict) -> tuple[Callable[[str], list[str]], bool] | None:
+        """How a plain text is parted into words, and whether it is lowered first; nothing for other vocabularies."""
+        model, parts, form = given["model"], given["pre_tokenizer"] or {}, given["normalizer"] or {}
+        if model["type"] != "BPE" or given["post_processor"] and given["post_processor"]["type"] != "ByteLevel" or given["truncation"]:
             return None
-        words = _Cache(self._word_merges(model["vocab"], model["merges"]))
-        others = _Cache(lambda chunk: self._whole(chunk).tobytes())  # chunks between blanks
+        if parts.get("type") == "ByteLevel" and parts["use_regex"] and not parts["add_prefix_space"] and not form:
+            return _byte_words, False
+        steps, forms = parts.get("pretokenizers", []), form.get("normalizers", [])
+        fits = [x["type"] for x in forms] == ["NFC", "Replace", "Lowercase"] and forms[1]["pattern"] == {"Regex": r"\s+"} and forms[1]["content"] == " "
+        fits = fits and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _WORD_PIECES} and steps[0]["invert"] and steps[0]["behavior"] == "Removed"
+        return (_word_words, True) if fits and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"] else None
+
+    def _short(self, parted: Callable[[str], list[str]], lowered: bool) -> Callable[[str], np.ndarray]:
+        merges = self.library.model.tokenize
+
+        def merged(word: str) -> bytes:
+            shown = word if lowered and word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_SHOWN)
+            return array("I", [x.id for x in merges(shown)]).tobytes()
+
+        word = _Cache(merged).__getitem__
+        other = _Cache(lambda chunk: self._whole(chunk).tobytes()).__getitem__
+        if lowered:
+            plain = lambda text: b"".join(map(word, parted(text.lower())))
+        else:
+            plain = lambda text: b"".join(map(word, parted(text)))
+
+        def raw(text: str) -> bytes:
+            return plain(text) if _PLAIN(text) else b"".join(plain(c) if _PLAIN(c) else other(c) for c in _chunks(text))
 
         def short(text: str) -> np.ndarray:
-            if _PLAIN(text):
-                raw = b"".join(map(words.__getitem__, _plain_words(text.lower())))
-            else:
-                raw = b"".join(b"".join(map(words.__getitem__, _plain_words(c.lower()))) if _PLAIN(c) else others[c] for c in _BLANKS.split(text))
-            return np.frombuffer(raw, "<u4")
+            return np.frombuffer(raw(text) if len(text) <= _SEGMENT else b"".join(map(raw, _segments(text))), "<u4")
 
         return short
 
-    def _word_merges(self, vocabulary: dict[str, int], merges: list) -> Callable[[str], bytes]:
-        """A word of plain text to its raw ids.
-
-        The end of a word is a character of its own to tiktoken: its three bytes are merged first, then with the byte
-        before them, as word ends belong to the last byte from the start; then come the merges of the file.
-        """
-        byte, end = {c: b for b, c in _SHOWN.items()}, _WORD_END.encode()
-        ids, ranks = [], {}
-        for b in range(256):
-            ranks[bytes([b])] = len(ids)
-            ids.append(vocabulary[_SHOWN[b]])
-        for k in (2, 3):
-            ranks[end[:k]] = len(ids)
-            ids.append(0)  # never left: each word has a byte before its end
-        for b in range(256):
-            ranks[bytes([b]) + end] = len(ids)
-            ids.append(vocabulary[f"{_SHOWN[b]}</w>"])
-        for pair in merges:
-            token = "".join(pair.split(" ") if isinstance(pair, str) else pair)
-            ranks[bytes(byte[c] for c in token.removesuffix("</w>")) + (end if token.endswith("</w>") else b"")] = len(ids)
-            ids.append(vocabulary[token])
-        import tiktoken
-
-        fast = tiktoken.Encoding("word-level", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        table = np.array(ids, "<u4")
-        return lambda word: table[fast.encode_ordinary(word + _WORD_END)].tobytes()
+    def encode(self, text: str) -> np.ndarray:
+        if self.short is None:
+            return self._whole(text)
+        if not any(x in text for x in self.added):
+            return self.short(text)
+        return np.concatenate([self.added[x] if x in self.added else self.short(x) for x in self.part_at(text)])
 
     def __call__(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        short, added = self.short, self.added
-        for text in texts:
-            yield self._whole(text) if short is None or any(x in text for x in added) else short(text)
+        return map(self.encode, texts)
 
 
 _kept: dict[str, TextEncoder] = {}

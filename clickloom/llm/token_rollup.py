@@ -10,36 +10,36 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.chunk_encoder import encoder
-from clickloom.llm.shared import small_batches
+from clickloom.llm.shared import sliced
+from clickloom.llm.text_ids import encoder
 
 KEYS = ["source", "lang", "tokenizer_version"]
 TOTALS = ["n_docs", "n_tokens", "n_chars"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_chars long"
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, version: str, kind: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, version: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, lang, tokenizer_version, n_tokens, n_chars) for every row of docs.
 
     vocabulary: a tokenizers file that every executor can read. A null or empty text has no token; a missing source
     or lang column counts as null, and null is a group of its own.
     """
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary, kind)
-        for batch in batches:
-            n = np.fromiter(map(len, encode(t or "" for t in batch["text"])), np.int64, len(batch))
-            yield batch.drop(columns="text").assign(tokenizer_version=version, n_tokens=n, n_chars=batch["text"].map(lambda t: len(t or "")).astype("int64"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary).encode
+        for batch in sliced(batches):
+            n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array(n, pa.int64()), batch.column("n_chars")], names=["doc_id", "source", "lang", "n_tokens", "n_chars"])
 
     group = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("source", "lang")]
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), *group, F.col(text_col).alias("text"))
-    return own.mapInPandas(run, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, n_chars long")
+    n_chars = F.coalesce(F.char_length(text_col), F.lit(0)).cast("long").alias("n_chars")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), *group, n_chars, F.col(text_col).alias("text"))
+    counted = own.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long, n_chars long")
+    return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), "n_tokens", "n_chars")
 
 
 def signed(counts: DataFrame, sign: int) -> DataFrame:

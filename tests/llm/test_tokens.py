@@ -7,14 +7,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from clickloom.llm import bitpack, packing, queries, sp_codec, token_rollup
-from clickloom.llm.chunk_encoder import encoder
+from clickloom.llm import bitpack, licenses, packing, queries, sp_codec, text_ids, token_rollup
+from clickloom.llm.shared import sliced
+from clickloom.llm.text_ids import encoder
 
 SF = "/root/testdata/sf0.001"
 SP, BYTE, WORDS = (public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -34,23 +36,76 @@ def documents(spark):
 
 def _library(path):
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     return lambda t: own.encode(t, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORDS, "word")])
-def test_chunk_encoder(odd, path, kind, monkeypatch):
-    texts, whole = _texts(odd), _library(path)
-    encode = encoder(path, kind)
-    want = [whole(t) for t in texts]
+ADDED = ["<|endoftext|>", "<|startoftext|>"]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_text_encoder(odd, path, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = _texts(odd) + ["".join(rng.choice([*ALPHABET, *ADDED, "<|end", "'ll", "’", "œ", "ſ", "²", "ª", "\xa0", "\u2009"], n)) for n in rng.integers(1, 60, 1500)]
+    texts += [f"a {x} b" for x in ADDED] + [x * 2 + "b" + x for x in ADDED] + ["<|endoftext|><|startoftext|> ", " x <|endoftext|>  <|endoftext|>\n"]
+    whole = _library(path)
+    encode, want = encoder(path), [whole(t) for t in texts]
+    assert encode.short is not None
     assert [x.tolist() for x in encode(texts)] == want
-    monkeypatch.setattr("clickloom.llm.chunk_encoder._CACHE", 50)  # starts anew all the time
-    monkeypatch.setattr("clickloom.llm.chunk_encoder._SLAB", 500)
+    monkeypatch.setattr("clickloom.llm.text_ids._CACHED", 50)  # starts anew all the time
+    monkeypatch.setattr("clickloom.llm.text_ids._SEGMENT", 7)
     for _ in range(2):
         assert [x.tolist() for x in encode(texts)] == want
     assert list(encode([])) == []
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_plain_characters_are_of_the_library_s_classes(path):
+    """Every plain character beside letters, digits, blanks and marks: the parting is the library's."""
+    plain = [chr(c) for c in range(0x2100) if text_ids._PLAIN(chr(c))]
+    texts = [f"ab{c}cd {c}{c} 1{c}2{c}. {c}" for c in plain]
+    whole = _library(path)
+    assert [x.tolist() for x in encoder(path)(texts)] == [whole(t) for t in texts]
+
+
+def test_other_vocabularies_go_to_the_library(tmp_path):
+    other = Tokenizer.from_file(BYTE)
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    own = encoder(str(tmp_path / "other.json"))
+    assert own.short is None and own.encode("some words <|endoftext|>").tolist() == other.encode("some words <|endoftext|>", add_special_tokens=False).ids
+
+
+BIG = [(None, "a b"), ((1 << 60) + 1, "c <|endoftext|> d"), ((1 << 60) + 3, "mit license"), (5, None)]
+
+
+def test_ids_are_exact(spark, tmp_path):
+    """A null beside ids that no double holds, in one batch."""
+    docs = spark.createDataFrame(BIG, "doc_id long, text string").coalesce(1)
+    bitpack.write_tokens(docs, str(tmp_path / "t"), WORDS, 49_408, 2)
+    found = [sp_codec.round_trip(docs, SP), bitpack.read_tokens(spark, str(tmp_path / "t")), packing.pack(docs, BYTE), licenses.scan(docs)]
+    for df in found:
+        assert Counter(r["id"] for r in df.collect()) == Counter(i for i, _ in BIG)
+    assert {r["doc_id"] for r in token_rollup.count_tokens(docs, BYTE, "v").collect()} == {i for i, _ in BIG}
+
+
+def test_batches_make_no_difference(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").coalesce(1)
+    key, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    for n in ("7", "10000"):
+        spark.conf.set(key, n)
+        found.append(sorted(map(tuple, packing.pack(docs, BYTE).collect())))
+    spark.conf.set(key, before)
+    assert found[0] == found[1]
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (3, 0, 50, 1, 1, 1)] + [None], "n": range(7)})
+    parts = list(sliced([batch], most=10))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist() and len(parts) == 2
+    assert list(sliced([batch.slice(0, 0)])) == []
+
+
 def test_sentencepiece(odd):
     texts, library, own = _texts(odd) + ["▁▁ a ▁", "aaaaaaaaaaaaaaaaaaaa"], sentencepiece.SentencePieceProcessor(model_file=SP), sp_codec.codec(SP)
     for text, ids in zip(texts, own.encode(texts), strict=True):
