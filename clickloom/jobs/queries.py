@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.functions.columns import join_items, parse_items
+from clickloom.functions.columns import join_items
 from clickloom.jobs.sinks import ledger_rows as as_ledger
 from clickloom.operators import covisit, evaluate, fuse, prepare, recommend, sweep
 from clickloom.schema import EVENT_TYPES, RECALL_WEIGHTS, VARIANTS, variant
@@ -156,14 +156,14 @@ def overall_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.overall_recall(_recall(spark, sf_dir))
 
 
-def _sweep_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recommend.submission(sweep.sweep(_history(spark, sf_dir)), by=("variant",))
-    guess = found.select("variant", "session_type", parse_items(F.col("labels"), found.schema["labels"].dataType).alias("items"))
-    return sweep.leaderboard(guess, evaluate.normalize_labels(_truth(spark, sf_dir)))
+def variant_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.leaderboard(_history(spark, sf_dir), evaluate.normalize_labels(_truth(spark, sf_dir)))
 
 
-def variant_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sweep_recall(spark, sf_dir)
+def sweep_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations of three variants, which differ in weights, lookback and recency."""
+    found = sweep.sweep(_history(spark, sf_dir), [VARIANTS[n] for n in ("v12", "v14", "v17")])
+    return found.select("variant", "session", join_items(F.col("items")).alias("labels"))
 
 
 def folded_sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (session_events, unknown_types, type_weights, recent_threshold, recent_events, ordered_events, covisit_pairs_l2)
     more = (
         covisit_scores_lineitem, merge_scores, covisit_topk_100, covisit_topk_300, candidate_index, recent_items, predictions, predictions_lineitem, submission_rows,
-        normalized_predictions, normalized_labels, recall_by_type, overall_recall, folded_sweep_scores, variant_leaderboard, ledger_rows, fused_candidates, ranker_rows,
+        normalized_predictions, normalized_labels, recall_by_type, overall_recall, folded_sweep_scores, sweep_predictions, variant_leaderboard, ledger_rows, fused_candidates, ranker_rows,
     )
     scores = {f"covisit_scores_{n}": _scores(n) for n in ("base", "v12", "v13", "v14", "v15", "v16", "v17", "v18")}
     return {f.__name__: f for f in plain} | scores | {f.__name__: f for f in more}
@@ -299,6 +299,9 @@ def oracle_sql() -> dict[str, str]:
     out["folded_sweep_scores"] = f"WITH {_EV}, {every} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, * FROM s_{n}" for n in VARIANTS)
     boards = ", ".join(f"{_scores_sql(n, 'hist', f's_{n}')}, {_top_sql(v.topk, f's_{n}', f't_{n}')}, {_guess_sql(f't_{n}', f'g_{n}')}, {_recall_sql(f'g_{n}', f'r_{n}')}" for n, v in VARIANTS.items())
     out["variant_leaderboard"] = f"WITH {_EV}, {_HISTORY}, {_TRUTH}, {_TYPES}, {_recent_sql('hist')}, {boards} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, {_overall_sql(f'r_{n}')}" for n in VARIANTS)
+    three = ("v12", "v14", "v17")
+    lists = ", ".join(f"{_scores_sql(n, 'hist', f's_{n}')}, {_top_sql(VARIANTS[n].topk, f's_{n}', f't_{n}')}, {_guess_sql(f't_{n}', f'g_{n}')}" for n in three)
+    out["sweep_predictions"] = f"WITH {_EV}, {_HISTORY}, {_recent_sql('hist')}, {lists} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, session, {items()} AS labels FROM g_{n} GROUP BY session" for n in three)
     pooled = "pooled AS (SELECT session, aid, CAST(1.0 AS DOUBLE) / place AS score, 'covisit' AS source FROM guess UNION ALL SELECT session, aid, CAST(1.0 AS DOUBLE) / place, 'recent' FROM recent)"
     fused = "fused AS (SELECT session, aid, max(score) AS best_score, count(DISTINCT source) AS n_sources, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM pooled GROUP BY 1, 2)"
     out["fused_candidates"] = f"{held}, {pooled}, {fused} SELECT * FROM fused"

@@ -1,48 +1,76 @@
-"""The three jobs: build an index, recommend, evaluate.
+"""The jobs: build an index, recommend, evaluate, compare all variants, fuse candidates, label them for a ranker.
 
-    python -m clickloom.jobs.run index --events IN --out DIR [--variant NAME ...] [--max-shards N] [--type-codes]
-    python -m clickloom.jobs.run predict --events IN --index DIR --out DIR [--topk N]
+    python -m clickloom.jobs.run index --events IN --out DIR [--variant NAME ...] [--max-shards N] [--per-shard]
+        [--clicks N] [--carts N] [--orders N] [--lookback N] [--topk N]
+    python -m clickloom.jobs.run predict --events IN --index DIR --out DIR [--topk N] [--versions NAME ...] [--refresh-cache]
     python -m clickloom.jobs.run evaluate --predictions FILE --labels FILE --out DIR
+    python -m clickloom.jobs.run leaderboard --events HISTORY --labels FILE --out DIR [--variant NAME ...]
+    python -m clickloom.jobs.run fuse --events IN --index DIR --out DIR [--versions NAME ...]
+    python -m clickloom.jobs.run ranker-rows --candidates DIR --labels FILE --out DIR
+
+With --ledger DIR, index and evaluate add a line to the run ledger (--exp-name, --config, --notes describe the run).
 """
 
 from __future__ import annotations
 
 import argparse
+import dataclasses
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.jobs import sinks
-from clickloom.operators import evaluate, prepare, recommend, sweep
-from clickloom.schema import TOP_ITEMS, VARIANTS, variant
-from clickloom.sources.events import read_events, read_table
+from clickloom.operators import evaluate, fuse, prepare, recommend, sweep
+from clickloom.schema import EVENT_TYPES, LEDGER, TOP_ITEMS, VARIANTS, Variant, variant
+from clickloom.sources.events import fingerprint, read_events, read_table
+
+#: Parameters of a variant that a run may set otherwise.
+OVERRIDES = ("clicks", "carts", "orders", "lookback", "topk")
 
 
-def build_index(spark: SparkSession, events_path: str, out: str, names: list[str], max_shards: int | None = None, type_codes: bool = False) -> None:
-    """The index of the named variants; the time threshold is that of all shards, also where only some are read.
+def build_index(spark: SparkSession, events_path: str, out: str, chosen: list[Variant], max_shards: int | None = None, type_codes: bool | None = None, per_shard: bool = False) -> None:
+    """The index of some variants; the time threshold is that of all shards, also where only some are read.
 
-    One name is counted by itself; several share a pass. No pairs at all is an error.
+    One variant is counted by itself; several share a pass. per_shard: events pair inside one file only. No pairs at
+    all is an error.
     """
-    events = read_events(spark, events_path, max_shards, type_codes)
-    chosen = [variant(n) for n in names]
+    shard = "shard" if per_shard else None
+    events = read_events(spark, events_path, max_shards, type_codes, shard)
     limit = prepare.recent_threshold(prepare.with_keys(read_events(spark, events_path, None, type_codes))).scalar() if any(v.recent for v in chosen) else None
     if len(chosen) == 1:
-        scores = sweep.direct_scores(events, chosen[0], limit).withColumn("variant", F.lit(names[0]))
+        scores = sweep.direct_scores(events, chosen[0], limit, shard).withColumn("variant", F.lit(chosen[0].name))
     else:
-        scores = sweep.folded_scores(events, chosen, limit)
+        scores = sweep.folded_scores(events, chosen, limit, shard)
     sinks.write_index(sweep.folded_index(scores, chosen), f"{out}/index")
     if sinks.read_index(spark, f"{out}/index").limit(1).count() == 0:
         raise RuntimeError("no pairs were generated")
-    sinks.write_metadata(spark, f"{out}/metadata", {"variants": [vars(v) for v in chosen], "events": events_path, "max_shards": max_shards})
+    sinks.write_metadata(spark, f"{out}/metadata", {"variants": [vars(v) for v in chosen], "events": events_path, "max_shards": max_shards, "per_shard": per_shard})
 
 
-def predict(spark: SparkSession, events_path: str, index_path: str, out: str, topk: int = TOP_ITEMS, type_codes: bool = False) -> None:
-    events = prepare.with_keys(read_events(spark, events_path, None, type_codes))
+def _index(spark: SparkSession, index_path: str, versions: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """An index cut to the named variants, or to all that it has; one that it lacks is an error."""
     index = sinks.read_index(spark, f"{index_path}/index")
-    recent = sinks.cached_recent_items(events, f"{out}/sessions", topk)
-    names = [r["variant"] for r in index.select("variant").distinct().collect()]  # partition folders, as many as variants
-    each = recent.withColumn("variant", F.explode(F.array(*[F.lit(n) for n in sorted(names)])))
-    sinks.write_submission(recommend.submission(recommend.predict(each, index, topk, by=("variant",)), by=("variant",)), f"{out}/submission")
+    known = {r["variant"] for r in index.select("variant").distinct().collect()}  # partition folders, as many as variants
+    names = sorted(known if versions is None else set(versions))
+    if missing := [n for n in names if n not in known]:
+        raise FileNotFoundError(f"no index of {', '.join(missing)} under {index_path}")
+    return index.where(F.col("variant").isin(*names)) if names else index, names
+
+
+def _recommended(spark: SparkSession, events_path: str, index_path: str, cache: str, topk: int, type_codes: bool | None, versions: list[str] | None, refresh: bool) -> tuple[DataFrame, DataFrame]:
+    """Recent items by session, and (variant, session, items)."""
+    events = prepare.with_keys(read_events(spark, events_path, None, type_codes))
+    index, names = _index(spark, index_path, versions)
+    recent = sinks.cached_recent_items(events, cache, topk, fingerprint(spark, events_path), refresh)
+    each = recent.withColumn("variant", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))
+    return recent, recommend.predict(each, index, topk, by=("variant",))
+
+
+def predict(spark: SparkSession, events_path: str, index_path: str, out: str, topk: int = TOP_ITEMS, type_codes: bool | None = None, versions: list[str] | None = None, refresh: bool = False) -> None:
+    """Submissions by variant. Recent items are kept under out for a later call on the same files, unless refreshed."""
+    _, found = _recommended(spark, events_path, index_path, f"{out}/sessions", topk, type_codes, versions, refresh)
+    sinks.write_submission(recommend.submission(found, by=("variant",)), f"{out}/submission")
 
 
 def score(predictions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -50,35 +78,92 @@ def score(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     return evaluate.recall_by_type(evaluate.normalize_predictions(predictions), evaluate.normalize_labels(labels))
 
 
-def run_evaluate(spark: SparkSession, predictions_path: str, labels_path: str, out: str) -> None:
-    metrics = score(read_table(spark, predictions_path), read_table(spark, labels_path))
-    sinks.write_metrics(metrics, f"{out}/recall")
+def run_evaluate(spark: SparkSession, predictions_path: str, labels_path: str, out: str) -> float:
+    """Metrics by type and the overall recall under out; returns the latter."""
+    sinks.write_metrics(score(read_table(spark, predictions_path), read_table(spark, labels_path)), f"{out}/recall")
     sinks.write_metrics(evaluate.overall_recall(spark.read.json(f"{out}/recall")), f"{out}/overall")
+    return spark.read.json(f"{out}/overall").first()["overall_recall"]
 
 
-def main(args: list[str] | None = None) -> None:
+def run_leaderboard(spark: SparkSession, events_path: str, labels_path: str, out: str, chosen: list[Variant], topk: int = TOP_ITEMS, type_codes: bool | None = None) -> None:
+    """(variant, overall_recall) under out, of recommendations from the history at events_path."""
+    labels = evaluate.normalize_labels(read_table(spark, labels_path))
+    sinks.write_metrics(sweep.leaderboard(read_events(spark, events_path, None, type_codes), labels, chosen, topk), f"{out}/leaderboard")
+
+
+def run_fuse(spark: SparkSession, events_path: str, index_path: str, out: str, topk: int = TOP_ITEMS, type_codes: bool | None = None, versions: list[str] | None = None, refresh: bool = False) -> None:
+    """Candidates of each variant and of the recent items in one table under out."""
+    recent, found = _recommended(spark, events_path, index_path, f"{out}/sessions", topk, type_codes, versions, refresh)
+    names = _index(spark, index_path, versions)[1]
+    sources = {n: fuse.predictions_as_candidates(found.where(F.col("variant") == n)) for n in names}
+    sources["recent"] = fuse.predictions_as_candidates(recent.select("session", F.col("recent_aids").alias("items")))
+    sinks.write_candidates(fuse.fuse(sources), f"{out}/candidates")
+
+
+def run_ranker_rows(spark: SparkSession, candidates_path: str, labels_path: str, out: str) -> None:
+    """The fused candidates by event type, with their labels, under out."""
+    labels = evaluate.normalize_labels(read_table(spark, labels_path))
+    sinks.write_candidates(fuse.ranker_rows(spark.read.parquet(f"{candidates_path}/candidates"), labels, EVENT_TYPES), f"{out}/ranker_rows")
+
+
+def note_run(spark: SparkSession, ledger: str, pipeline: str, score: float | None = None, exp_name: str = "", config_path: str = "", notes: str = "") -> None:
+    """A line in the ledger for a run that has ended well."""
+    now = datetime.now().strftime("%Y-%m-%d %H:%M:%S")
+    row = {"timestamp": now, "exp_name": exp_name, "pipeline": pipeline, "status": "completed", "config_path": config_path, "enable_convisitation": "1", "enable_nn": "0", "enable_fusion": "0", "enable_ranker": "0", "score": "" if score is None else str(score), "notes": notes}
+    sinks.append_ledger(spark.createDataFrame([row], LEDGER), ledger)
+
+
+def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser()
     jobs = top.add_subparsers(dest="job", required=True)
-    index, guess, check = (jobs.add_parser(x) for x in ("index", "predict", "evaluate"))
-    for p in (index, guess):
-        p.add_argument("--events", required=True)
-        p.add_argument("--type-codes", action="store_true")
-    for p in (index, guess, check):
+    own = {name: jobs.add_parser(name) for name in ("index", "predict", "evaluate", "leaderboard", "fuse", "ranker-rows")}
+    for name, p in own.items():
         p.add_argument("--out", required=True)
-    index.add_argument("--variant", nargs="+", default=["base"], choices=list(VARIANTS))
-    index.add_argument("--max-shards", type=int)
-    guess.add_argument("--index", required=True)
-    guess.add_argument("--topk", type=int, default=TOP_ITEMS)
-    check.add_argument("--predictions", required=True)
-    check.add_argument("--labels", required=True)
-    a = top.parse_args(args)
+        if name in ("index", "predict", "leaderboard", "fuse"):
+            p.add_argument("--events", required=True)
+            p.add_argument("--type-codes", action=argparse.BooleanOptionalAction, help="by default the type column tells")
+        if name in ("index", "leaderboard"):
+            p.add_argument("--variant", nargs="+", default=["base"] if name == "index" else list(VARIANTS), choices=list(VARIANTS))
+        if name in ("predict", "fuse"):
+            p.add_argument("--index", required=True)
+            p.add_argument("--versions", nargs="+")
+            p.add_argument("--refresh-cache", action="store_true")
+        if name in ("predict", "fuse", "leaderboard"):
+            p.add_argument("--topk", type=int, default=TOP_ITEMS)
+        if name in ("evaluate", "leaderboard", "ranker-rows"):
+            p.add_argument("--labels", required=True)
+        if name in ("index", "evaluate"):
+            p.add_argument("--ledger")
+            for x in ("--exp-name", "--config", "--notes"):
+                p.add_argument(x, default="")
+    own["index"].add_argument("--max-shards", type=int)
+    own["index"].add_argument("--per-shard", action="store_true")
+    for x in OVERRIDES:
+        own["index"].add_argument(f"--{x}", type=int)
+    own["evaluate"].add_argument("--predictions", required=True)
+    own["ranker-rows"].add_argument("--candidates", required=True)
+    return top
+
+
+def main(args: list[str] | None = None) -> None:
+    a = _parser().parse_args(args)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    reached = None
     if a.job == "index":
-        build_index(spark, a.events, a.out, a.variant, a.max_shards, a.type_codes)
+        changed = {x: getattr(a, x) for x in OVERRIDES if getattr(a, x) is not None}
+        build_index(spark, a.events, a.out, [dataclasses.replace(variant(n), **changed) for n in a.variant], a.max_shards, a.type_codes, a.per_shard)
     elif a.job == "predict":
-        predict(spark, a.events, a.index, a.out, a.topk, a.type_codes)
+        predict(spark, a.events, a.index, a.out, a.topk, a.type_codes, a.versions, a.refresh_cache)
+    elif a.job == "evaluate":
+        reached = run_evaluate(spark, a.predictions, a.labels, a.out)
+    elif a.job == "leaderboard":
+        run_leaderboard(spark, a.events, a.labels, a.out, [variant(n) for n in a.variant], a.topk, a.type_codes)
+    elif a.job == "fuse":
+        run_fuse(spark, a.events, a.index, a.out, a.topk, a.type_codes, a.versions, a.refresh_cache)
     else:
-        run_evaluate(spark, a.predictions, a.labels, a.out)
+        run_ranker_rows(spark, a.candidates, a.labels, a.out)
+    if getattr(a, "ledger", None):
+        note_run(spark, a.ledger, "train" if a.job == "index" else "validation", reached, a.exp_name, a.config, a.notes)
 
 
 if __name__ == "__main__":

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from clickloom.functions.columns import sanitize_field
 from clickloom.operators.recommend import recent_items
-from clickloom.schema import INDEX, LEDGER
+from clickloom.schema import INDEX, LEDGER, RECENT
 
 
 def write_index(index: DataFrame, path: str, buckets: int | None = None, table: str | None = None) -> None:
@@ -39,11 +39,16 @@ def write_metadata(spark: SparkSession, path: str, metadata: Mapping[str, object
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def cached_recent_items(events: DataFrame, path: str, topk: int, refresh: bool = False) -> DataFrame:
-    """recent_items, kept under path by topk; an older copy is used unless refresh is set."""
-    spark, at = events.sparkSession, f"{path}/top{topk}"
-    recent_items(events, topk).write.mode("overwrite" if refresh else "ignore").parquet(at)
-    return spark.read.parquet(at)
+def cached_recent_items(events: DataFrame, path: str, topk: int, source: str, refresh: bool = False) -> DataFrame:
+    """recent_items, kept under path by topk and by source, which tells inputs apart (fingerprint of their files).
+
+    An older copy is used if it was written to its end, which its success mark tells, and unless refresh is set.
+    """
+    spark, at = events.sparkSession, f"{path}/top{topk}-{source}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if refresh or not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        recent_items(events, topk).write.mode("overwrite").parquet(at)
+    return spark.read.schema(RECENT).parquet(at)
 
 
 def write_submission(rows: DataFrame, path: str) -> None:
@@ -52,6 +57,10 @@ def write_submission(rows: DataFrame, path: str) -> None:
     (writer.partitionBy("variant") if "variant" in rows.columns else writer).csv(path)
 
 
+def write_candidates(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").parquet(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
@@ -64,4 +73,5 @@ def ledger_rows(runs: DataFrame) -> DataFrame:
 
 
 def append_ledger(runs: DataFrame, path: str) -> None:
+    """Adds files to the ledger's folder: runs that end at the same time do not overwrite each other."""
     ledger_rows(runs).write.mode("append").option("header", True).option("emptyValue", "").csv(path)

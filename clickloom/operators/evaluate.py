@@ -69,6 +69,39 @@ def recall_by_type(predictions: DataFrame, labels: DataFrame, by: Sequence[str]
     return long.withColumn("recall", F.when(F.col("targets") > 0, F.col("hits") / F.col("targets")).otherwise(F.lit(0.0)))
 
 
+def truth_by_session(labels: DataFrame) -> DataFrame:
+    """(session, clicks, carts, orders): the true items of a session by type, null without a label of that type, from
+    labels (session_type, items). session: what stands before the last underscore, null where that is no number;
+    such labels stay rows of their own."""
+    kind = key_type(F.col("session_type"))
+    own = F.expr("try_cast(left(session_type, length(session_type) - length(substring_index(session_type, '_', -1)) - 1) AS bigint)")
+    known = labels.select(own.alias("session"), kind.alias("kind"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.when(own.isNull(), F.col("session_type")).alias("odd"))
+    return known.where(F.col("kind").isin(*EVENT_TYPES)).groupBy("session", "odd").agg(*[F.max(F.when(F.col("kind") == t, F.col("items"))).alias(t) for t in EVENT_TYPES]).drop("odd")
+
+
+def recall_of_lists(both: DataFrame, lists: Sequence[str], name: str) -> DataFrame:
+    """(name, event_type, hits, targets, rows, weight, recall) of several predictions at once.
+
+    both: a row for each session of truth_by_session, with a column of predicted items for each of lists, null for
+    none. All hits are sums side by side in one aggregation, so that no row is repeated by type or by list.
+    """
+    none = F.array().cast("array<bigint>")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint")
+    sums = [total(F.size(F.coalesce(t, none))).alias(f"{t}_targets") for t in EVENT_TYPES] + [total(F.when(F.col(t).isNotNull(), 1)).alias(f"{t}_rows") for t in EVENT_TYPES]
+    for k, c in enumerate(lists):
+        guess = F.slice(F.coalesce(c, none), 1, TOP_ITEMS)
+        sums += [total(F.size(F.array_intersect(guess, F.coalesce(t, none)))).alias(f"{t}_hits_{k}") for t in EVENT_TYPES]
+    kinds = F.array(
+        *[
+            F.struct(F.lit(c).alias(name), F.lit(t).alias("event_type"), F.col(f"{t}_hits_{k}").alias("hits"), F.col(f"{t}_targets").alias("targets"), F.col(f"{t}_rows").alias("rows"), F.lit(RECALL_WEIGHTS[t]).alias("weight"))
+            for k, c in enumerate(lists)
+            for t in EVENT_TYPES
+        ]
+    )
+    long = both.agg(*sums).select(F.explode(kinds).alias("k")).select("k.*")
+    return long.withColumn("recall", F.when(F.col("targets") > 0, F.col("hits") / F.col("targets")).otherwise(F.lit(0.0)))
+
+
 def overall_recall(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, overall_recall): the weighted sum of the three recalls, added in the order of the types."""
     one = metrics.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("event_type") == t, F.col("recall"))), F.lit(0.0)).alias(t) for t in EVENT_TYPES])

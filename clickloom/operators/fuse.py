@@ -17,7 +17,7 @@ def fuse(sources: Mapping[str, DataFrame]) -> DataFrame:
     tagged = [df.select("session", "aid", F.col("score").cast("double").alias("score"), F.lit(name).alias("source")) for name, df in sources.items()]
     names = F.array_sort(F.collect_set("source"))
     both = reduce(DataFrame.unionByName, tagged)
-    return both.groupBy("session", "aid").agg(F.max("score").alias("best_score"), F.countDistinct("source").alias("n_sources"), F.array_join(names, ",").alias("sources"))
+    return both.groupBy("session", "aid").agg(F.max("score").alias("best_score"), F.size(F.collect_set("source")).cast("bigint").alias("n_sources"), F.array_join(names, ",").alias("sources"))
 
 
 def predictions_as_candidates(predictions: DataFrame) -> DataFrame:

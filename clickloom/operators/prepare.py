@@ -11,6 +11,10 @@ from clickloom.functions.columns import known_type, normalize_type, type_weight
 from clickloom.schema import DAY_MS, RECENT_DAYS
 
 
+#: Unknown types that an error message names.
+NAMED = 100
+
+
 def with_keys(events: DataFrame) -> DataFrame:
     """Events whose session, item and time are known: nulls would all meet in one window."""
     return events.where("session IS NOT NULL AND aid IS NOT NULL AND ts IS NOT NULL")
@@ -33,10 +37,15 @@ def unknown_types(events: DataFrame) -> DataFrame:
 
 
 def check_types(events: DataFrame) -> DataFrame:
-    """events; an unknown type is an error that names all of them."""
-    found = [r["type"] for r in unknown_types(events).limit(100).collect()]  # a report
-    if found:
-        raise ValueError(f"Unknown interaction types: {found}")
+    """events; an unknown type is an error that tells how many there are, and names the first NAMED of them in order.
+
+    The message alone is short; unknown_types has all of them.
+    """
+    unknown = unknown_types(events)
+    n = unknown.count()
+    if n:
+        found = [r["type"] for r in unknown.limit(NAMED).collect()]
+        raise ValueError(f"Unknown interaction types: {found}" + (f" and {n - NAMED} more" if n > NAMED else ""))
     return events
 
 

@@ -12,27 +12,29 @@ from clickloom.operators import covisit, evaluate, prepare, recommend
 from clickloom.schema import TOP_ITEMS, VARIANTS, Variant
 
 
-def direct_scores(events: DataFrame, v: Variant, threshold: int | Column | None = None) -> DataFrame:
-    """Scores of one variant. Where it wants recent events alone and no threshold is given, it is found from events."""
+def direct_scores(events: DataFrame, v: Variant, threshold: int | Column | None = None, shard_col: str | None = None) -> DataFrame:
+    """Scores of one variant. Where it wants recent events alone and no threshold is given, it is found from events.
+    With shard_col, events pair inside one file only."""
     if v.recent and threshold is None:
         threshold = prepare.recent_threshold(events).scalar()
     ready = prepare.prepare(events, v.weights, threshold if v.recent else None)
-    return covisit.covisit_scores(covisit.covisit_pairs(ready, v.lookback))
+    return covisit.covisit_scores(covisit.covisit_pairs(ready, v.lookback, shard_col=shard_col))
 
 
-def folded_scores(events: DataFrame, variants: Iterable[Variant] = VARIANTS.values(), threshold: int | Column | None = None) -> DataFrame:
+def folded_scores(events: DataFrame, variants: Iterable[Variant] = VARIANTS.values(), threshold: int | Column | None = None, shard_col: str | None = None) -> DataFrame:
     """(variant, aid_key, aid_future, score) of all variants from one scan, one window and one aggregation.
 
     Pairs of a short lookback are those of the longest at a small lag; dropping old events before pairing is keeping
     pairs whose key is recent, as time orders a session. Each variant is a conditional sum beside the others, not a
     row: most pairs of a wide item space are distinct, and rows would multiply the shuffle. Variants of equal
-    weights, lookback and recency share a sum, which is null just where the variant has no pair.
+    weights, lookback and recency share a sum, which is null just where the variant has no pair. With shard_col, events
+    pair inside one file only.
     """
     variants = list(variants)
     if any(v.recent for v in variants) and threshold is None:
         threshold = prepare.recent_threshold(prepare.with_keys(events)).scalar()
     ready = prepare.with_type_names(prepare.with_keys(events))
-    pairs = covisit.covisit_pairs(ready, max(v.lookback for v in variants), keep=("type",))
+    pairs = covisit.covisit_pairs(ready, max(v.lookback for v in variants), keep=("type",), shard_col=shard_col)
     if any(v.recent for v in variants):
         pairs = pairs.withColumn("is_recent", F.col("key_ts") > threshold)
     shared: dict[tuple, str] = {}
@@ -50,28 +52,53 @@ def folded_scores(events: DataFrame, variants: Iterable[Variant] = VARIANTS.valu
     return wide.select(F.explode(rows).alias("r"), "aid_key", "aid_future").select("r.variant", "aid_key", "aid_future", "r.score").where("score IS NOT NULL")
 
 
+def _ranked(scores: DataFrame, variants: list[Variant], most: int | None = None) -> DataFrame:
+    """scores with rank, each variant's own number of candidates, most at most."""
+    of = lambda v: v.topk if most is None else min(v.topk, most)
+    own = F.lit(0)
+    for v in variants:
+        own = F.when(F.col("variant") == v.name, of(v)).otherwise(own)
+    best = Window.partitionBy("variant", "aid_key").orderBy(F.desc("score"), "aid_future")
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(map(of, variants))).where(F.col("rank") <= own)
+
+
 def folded_index(scores: DataFrame, variants: Iterable[Variant] = VARIANTS.values()) -> DataFrame:
     """(variant, aid_key, candidates, scores), each variant with its own number of candidates."""
+    return covisit.candidate_index(_ranked(scores, list(variants)), ("variant", "aid_key"))
+
+
+def wide_index(scores: DataFrame, variants: Iterable[Variant] = VARIANTS.values(), topk: int = TOP_ITEMS) -> DataFrame:
+    """(aid_key, and for each variant a column of that name): candidates of all variants side by side, topk at most."""
     variants = list(variants)
-    most = F.lit(0)
-    for v in variants:
-        most = F.when(F.col("variant") == v.name, v.topk).otherwise(most)
-    best = Window.partitionBy("variant", "aid_key").orderBy(F.desc("score"), "aid_future")
-    widest = max(v.topk for v in variants)
-    ranked = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= widest).where(F.col("rank") <= most)
-    return covisit.candidate_index(ranked, ("variant", "aid_key"))
+    of = lambda v: F.array_sort(F.collect_list(F.when(F.col("variant") == v.name, F.struct("rank", "aid_future"))))["aid_future"].alias(v.name)
+    return _ranked(scores, variants, topk).groupBy("aid_key").agg(*[of(v) for v in variants])
+
+
+def _listed(sessions: DataFrame, history: DataFrame, variants: list[Variant], topk: int, threshold: int | Column | None) -> DataFrame:
+    """sessions (with recent_aids), and for each variant a column of that name: what it recommends."""
+    index = wide_index(folded_scores(history, variants, threshold), variants, topk)
+    joined = sessions.withColumn("aid_key", F.get("recent_aids", F.lit(0))).join(index, "aid_key", "left")
+    none = F.array().cast("array<bigint>")
+    lists = {v.name: F.slice(F.array_distinct(F.concat(F.coalesce(v.name, none), F.coalesce("recent_aids", none))), 1, topk) for v in variants}
+    return joined.withColumns(lists).drop("aid_key")
 
 
 def sweep(history: DataFrame, variants: Iterable[Variant] = VARIANTS.values(), topk: int = TOP_ITEMS, threshold: int | Column | None = None) -> DataFrame:
     """(variant, session, items): recommendations of every variant for every session of history."""
     variants = list(variants)
-    index = folded_index(folded_scores(history, variants, threshold), variants)
-    recent = recommend.recent_items(prepare.with_keys(history), topk)
-    each = recent.withColumn("variant", F.explode(F.array(*[F.lit(v.name) for v in variants])))
-    return recommend.predict(each, index, topk, by=("variant",))
+    found = _listed(recommend.recent_items(prepare.with_keys(history), topk), history, variants, topk, threshold)
+    rows = F.explode(F.array(*[F.struct(F.lit(v.name).alias("variant"), F.col(v.name).alias("items")) for v in variants])).alias("r")
+    return found.select("session", rows).select("r.variant", "session", "r.items")
 
 
-def leaderboard(predictions: DataFrame, labels: DataFrame, variants: Iterable[Variant] = VARIANTS.values()) -> DataFrame:
-    """(variant, overall_recall) from predictions (variant, session_type, items) and labels (session_type, items)."""
-    each = labels.withColumn("variant", F.explode(F.array(*[F.lit(v.name) for v in variants])))
-    return evaluate.overall_recall(evaluate.recall_by_type(predictions, each, by=("variant",)), by=("variant",))
+def leaderboard(history: DataFrame, labels: DataFrame, variants: Iterable[Variant] = VARIANTS.values(), topk: int = TOP_ITEMS, threshold: int | Column | None = None) -> DataFrame:
+    """(variant, overall_recall) of the recommendations from history against labels (session_type, items).
+
+    A session is one row throughout: its true items by type and its recent items meet by session, then the candidates
+    of all variants by its newest item; each variant's hits are sums beside the others.
+    """
+    variants = list(variants)
+    truth = evaluate.truth_by_session(labels)
+    sessions = truth.join(recommend.recent_items(prepare.with_keys(history), topk), "session", "left")
+    names = [v.name for v in variants]
+    return evaluate.overall_recall(evaluate.recall_of_lists(_listed(sessions, history, variants, topk, threshold), names, "variant"), by=("variant",))

@@ -11,9 +11,10 @@ EVENT_TYPES = ("clicks", "carts", "orders")
 RECALL_WEIGHTS = {"clicks": 0.10, "carts": 0.30, "orders": 0.60}
 
 EVENTS = StructType([StructField("session", LongType()), StructField("aid", LongType()), StructField("ts", LongType()), StructField("type", StringType())])
-EVENTS_BY_CODE = StructType([*EVENTS.fields[:3], StructField("type", IntegerType())])
+EVENTS_BY_CODE = StructType([*EVENTS.fields[:3], StructField("type", IntegerType())])  # narrower integers are read as well
 SCORES = StructType([StructField("aid_key", LongType()), StructField("aid_future", LongType()), StructField("score", LongType())])
 INDEX = StructType([StructField("aid_key", LongType()), StructField("candidates", ArrayType(LongType())), StructField("scores", ArrayType(LongType()))])
+RECENT = StructType([StructField("session", LongType()), StructField("recent_aids", ArrayType(LongType()))])
 #: The columns of the run ledger.
 LEDGER = StructType(
     [

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from clickloom.schema import EVENTS, EVENTS_BY_CODE
 
@@ -30,13 +33,31 @@ def event_paths(spark: SparkSession, path: str, max_shards: int | None = None) -
     return found if max_shards is None else found[: max(1, max_shards)]
 
 
-def read_events(spark: SparkSession, path: str, max_shards: int | None = None, type_codes: bool = False, shard_col: str | None = None) -> DataFrame:
+def fingerprint(spark: SparkSession, path: str, max_shards: int | None = None) -> str:
+    """A digest of the files of an input: their paths, sizes and times. A changed, added or lost file changes it."""
+    digest = hashlib.sha256()
+    conf = spark._jsc.hadoopConfiguration()
+    for shard in event_paths(spark, path, max_shards):
+        at = spark._jvm.org.apache.hadoop.fs.Path(shard)
+        files, found = at.getFileSystem(conf).listFiles(at, True), []
+        while files.hasNext():
+            x = files.next()
+            found.append(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}\n")
+        digest.update("".join(sorted(found)).encode())
+    return digest.hexdigest()[:32]
+
+
+def read_events(spark: SparkSession, path: str, max_shards: int | None = None, type_codes: bool | None = None, shard_col: str | None = None) -> DataFrame:
     """Events of all shards: session, aid, ts, type; only these columns are read.
 
-    type_codes: the type column holds 0, 1, 2 and not names. shard_col adds the path of each row's file, for
-    operators that must not pair across files.
+    type_codes: the type column holds 0, 1, 2 and not names; by default the column's own type in the first shard tells.
+    A shard of the other kind fails when it is read. shard_col adds the path of each row's file, for operators that
+    must not pair across files.
     """
-    events = spark.read.schema(EVENTS_BY_CODE if type_codes else EVENTS).parquet(*event_paths(spark, path, max_shards))
+    paths = event_paths(spark, path, max_shards)
+    if type_codes is None:
+        type_codes = isinstance(spark.read.parquet(paths[0]).schema["type"].dataType, IntegralType)
+    events = spark.read.schema(EVENTS_BY_CODE if type_codes else EVENTS).parquet(*paths)
     return events.withColumn(shard_col, F.col("_metadata.file_path")) if shard_col else events
 
 

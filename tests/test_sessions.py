@@ -207,7 +207,7 @@ def test_jobs_end_to_end(spark, m1, tmp_path):
     m1.limit(1).write.parquet(f"{root}/in/labels.parquet")
     assert [p.rpartition("/")[2] for p in sources.event_paths(spark, f"{root}/in")] == ["a.parquet", "b.parquet"]
     assert len(sources.event_paths(spark, f"{root}/in", max_shards=0)) == 1
-    run.build_index(spark, f"{root}/in", f"{root}/out", ["base", "v15"])
+    run.build_index(spark, f"{root}/in", f"{root}/out", [variant("base"), variant("v15")])
     run.predict(spark, f"{root}/in", f"{root}/out", f"{root}/guess")
     rows = spark.read.option("header", True).csv(f"{root}/guess/submission").where("variant = 'base'")
     assert {r["session_type"]: r["labels"] for r in rows.collect()}["1_clicks"] == "30 10 20"
@@ -217,14 +217,27 @@ def test_jobs_end_to_end(spark, m1, tmp_path):
     run.run_evaluate(spark, f"{root}/guess.csv", f"{root}/truth.parquet", f"{root}/scored")
     assert spark.read.json(f"{root}/scored/overall").first()["overall_recall"] == pytest.approx(0.1)
     with pytest.raises(RuntimeError, match="no pairs"):
-        run.build_index(spark, f"{root}/in/labels.parquet", f"{root}/none", ["base"])
+        run.build_index(spark, f"{root}/in/labels.parquet", f"{root}/none", [variant("base")])
 
 
-def test_cache_and_ledger(spark, m1, tmp_path):
+def test_session_cache_belongs_to_its_input(spark, m1, tmp_path):
+    m1.coalesce(1).write.parquet(f"{tmp_path}/a/train_parquet/x.parquet")
+    m1.where("session = 2").coalesce(1).write.parquet(f"{tmp_path}/b/train_parquet/x.parquet")
+    one, two = (sources.fingerprint(spark, f"{tmp_path}/{x}") for x in "ab")
+    assert one != two and one == sources.fingerprint(spark, f"{tmp_path}/a")
     path = str(tmp_path / "cache")
-    first = sinks.cached_recent_items(m1, path, 20).count()
-    assert sinks.cached_recent_items(m1.limit(0), path, 20).count() == first
-    assert sinks.cached_recent_items(m1.limit(0), path, 20, refresh=True).count() == 0
+    first = sinks.cached_recent_items(m1, path, 20, one)
+    assert first.count() == 2
+    assert sinks.cached_recent_items(m1.where("session = 2"), path, 20, two).count() == 1
+    assert sinks.cached_recent_items(m1.limit(0), path, 20, one).count() == 2  # the copy is used
+    assert sinks.cached_recent_items(m1.limit(0), path, 20, one, refresh=True).count() == 0
+    (tmp_path / "cache" / f"top20-{two}" / "_SUCCESS").unlink()  # as an aborted write leaves it
+    assert sinks.cached_recent_items(m1, path, 20, two).count() == 2
+    m1.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/b/train_parquet/x.parquet")
+    assert sources.fingerprint(spark, f"{tmp_path}/b") != two
+
+
+def test_ledger(spark, tmp_path):
     runs = spark.createDataFrame([("a,b", "train", "0.5"), ("c", "validation", "0.5")], "exp_name string, pipeline string, score string")
     sinks.append_ledger(runs, str(tmp_path / "ledger"))
     sinks.append_ledger(runs, str(tmp_path / "ledger"))
@@ -232,6 +245,55 @@ def test_cache_and_ledger(spark, m1, tmp_path):
     assert len(rows) == 4 and {(r["exp_name"], r["score"]) for r in rows} == {("a;b", None), ("c", "0.5")}
 
 
+def test_command_line(spark, m1, tmp_path):
+    """Every job as it is called from a shell, each on what the one before wrote."""
+    root, zone = str(tmp_path), spark.conf.get("spark.sql.session.timeZone")
+    coded = m1.selectExpr("session", "aid", "ts", "CASE type WHEN 'clicks' THEN 0 WHEN 'carts' THEN 1 ELSE 2 END AS type")
+    coded.selectExpr("session", "aid", "ts", "CAST(type AS TINYINT) AS type").coalesce(1).write.parquet(f"{root}/in/train_parquet/a.parquet")
+    spark.createDataFrame([("1_clicks", [20]), ("2_orders", [20, 77])], "session_type string, ground_truth array<long>").write.parquet(f"{root}/truth.parquet")
+    job = lambda *a: run.main([x.replace("@", root) for x in a])
+    job("index", "--events", "@/in", "--out", "@/ix", "--variant", "base", "v16", "--ledger", "@/ledger", "--exp-name", "first,run")
+    job("predict", "--events", "@/in", "--index", "@/ix", "--out", "@/guess", "--versions", "base", "--refresh-cache")
+    with pytest.raises(FileNotFoundError, match="v13"):
+        job("predict", "--events", "@/in", "--index", "@/ix", "--out", "@/guess2", "--versions", "base", "v13")
+    found = spark.read.option("header", True).csv(f"{root}/guess/submission")
+    assert {r["variant"] for r in found.collect()} == {"base"}
+    found.select("session_type", "labels").coalesce(1).write.option("header", True).csv(f"{root}/guess.csv")
+    job("evaluate", "--predictions", "@/guess.csv", "--labels", "@/truth.parquet", "--out", "@/scored", "--ledger", "@/ledger", "--exp-name", "first,run")
+    job("leaderboard", "--events", "@/in", "--labels", "@/truth.parquet", "--out", "@/board", "--variant", "base", "v16")
+    reached = spark.read.json(f"{root}/scored/overall").first()["overall_recall"]
+    board = {r["variant"]: r["overall_recall"] for r in spark.read.json(f"{root}/board/leaderboard").collect()}
+    assert board.keys() == {"base", "v16"} and board["base"] == pytest.approx(reached) and reached == pytest.approx(0.1 + 0.6 * 0.5)
+    lines = spark.read.option("header", True).csv(f"{root}/ledger").collect()
+    assert {(r["pipeline"], r["exp_name"], r["status"], r["score"]) for r in lines} == {("train", "first;run", "completed", None), ("validation", "first;run", "completed", str(reached))}
+    job("fuse", "--events", "@/in", "--index", "@/ix", "--out", "@/fused")
+    fused = {(r["session"], r["aid"]): r["sources"] for r in spark.read.parquet(f"{root}/fused/candidates").collect()}
+    assert fused[1, 30] == "base,recent,v16"
+    job("ranker-rows", "--candidates", "@/fused", "--labels", "@/truth.parquet", "--out", "@/rows")
+    rows = spark.read.parquet(f"{root}/rows/ranker_rows").collect()
+    assert len(rows) == 3 * len(fused) and {(r["session"], r["aid"], r["type"]) for r in rows if r["label"]} == {(1, 20, "clicks"), (2, 20, "orders")}
+    # other weights, lookback and number of candidates
+    job("index", "--events", "@/in", "--out", "@/ix2", "--clicks", "0", "--lookback", "1", "--topk", "1", "--max-shards", "1")
+    assert {(r["aid_key"], tuple(r["candidates"]), tuple(r["scores"])) for r in sinks.read_index(spark, f"{root}/ix2/index").collect()} == {(10, (20,), (3,)), (20, (10,), (6,))}
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_pairs_inside_single_files(spark, m1, tmp_path):
+    for k in (1, 2):
+        m1.where(f"session = 1 AND ts {'<=' if k == 1 else '>'} 2").coalesce(1).write.parquet(f"{tmp_path}/in/train_parquet/{k}.parquet")
+    for per_shard, want in ((False, {(10, 20): 3, (10, 10): 6, (20, 10): 6, (10, 30): 1, (20, 30): 1}), (True, {(10, 20): 3, (10, 30): 1})):
+        for names in (["base"], ["base", "v15"]):
+            run.build_index(spark, f"{tmp_path}/in", f"{tmp_path}/out", [variant(n) for n in names], per_shard=per_shard)
+            rows = sinks.read_index(spark, f"{tmp_path}/out/index").where("variant = 'base'").collect()
+            assert {(r["aid_key"], b): s for r in rows for b, s in zip(r["candidates"], r["scores"], strict=True)} == want
+
+
+def test_many_unknown_types(spark):
+    events = spark.range(250).selectExpr("concat('t', lpad(id, 3, '0')) AS type")
+    with pytest.raises(ValueError, match="'t000'.*'t099'.* and 150 more"):
+        prepare.check_types(events)
+
+
 def test_partitions_make_no_difference(spark, m1):
     """One hot item, many partitions or one: the same index."""
     rows = [(s, 1 if i % 2 else s * 10 + i, i, ("clicks", "carts", "orders")[(s + i) % 3]) for s in range(40) for i in range(8)]
