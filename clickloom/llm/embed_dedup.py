@@ -4,6 +4,11 @@ Vectors are projected on many Gaussian directions, and each projection is sorted
 fixed half-width is laid in each sorted projection; the windows that a pair shares are counted, and pairs that pass a
 count are verified by their cosine. Width and count are set from the recall that is wanted: for a pair at distance d
 the difference of a projection is normal with deviation d.
+
+Where a label has more vectors than a cell should hold, further directions cut it in halves, several at once, into
+cells of about that size, and windows are laid inside cells alone. A near pair may stand on two sides of a cut, so
+there are several such grids, as many as the recall wants. Each doubling of a label costs one more cut, and so a fixed
+factor of grids: the work for a label of n vectors grows as n to the power of about 1.2.
 """
 
 from __future__ import annotations
@@ -12,19 +17,29 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from clickloom.llm.components import Forest, connected_components
 from clickloom.llm.shared import cut
 
 COSINE, PROJECTIONS, RECALL = 0.93, 32, 0.9995
-#: Deviations that the strips of the first projection span, rows of a tile, and rows that are compared at a time.
-STRIP_SIGMAS, TILE, _BLOCK = 4.0, 4096, 256
+#: Vectors that a cell holds on average at most; the share of pairs at the cosine that some grid keeps together; rows
+#: that are compared at a time.
+CELL, GRID_RECALL, _BLOCK = 4096, 0.999, 256
 _SEED = 11
 
 
+def grids(n: int, cosine: float = COSINE, cell: int = CELL) -> tuple[int, int]:
+    """(grids, cuts of each) for a label of n vectors. A cut parts a pair with a probability of its angle over pi."""
+    cuts = max(0, math.ceil(math.log2(max(1, n) / cell)))
+    together = (1 - math.acos(cosine) / math.pi) ** cuts
+    return (1, 0) if not cuts else (math.ceil(math.log(1 - GRID_RECALL) / math.log(1 - together)), cuts)
+
+
 def least_count(m: int, p: float, recall: float) -> int:
     """The largest count that a binomial of m trials at p reaches with this probability."""
     below, term = 0.0, [math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(m + 1)]
@@ -76,112 +91,137 @@ def near_pairs(a: np.ndarray, b: np.ndarray, cosine: float = COSINE, m: int = PR
         yield i[sure] + at, j[sure]
 
 
-def _strips(cosine: float):
-    width = STRIP_SIGMAS * window(cosine)
+def cells(units: np.ndarray, count: int, cuts: int) -> np.ndarray:
+    """(vectors, grids): the cell of each unit vector in each grid, as the bits of its sides."""
+    if not cuts:
+        return np.zeros((len(units), count), np.int64)
+    ways = np.random.default_rng([_SEED, 1, units.shape[1]]).normal(size=(count * cuts, units.shape[1]))
+    sides = (units @ ways.T >= 0).reshape(len(units), count, cuts)
+    return sides @ (np.int64(1) << np.arange(cuts, dtype=np.int64))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _with_cells(cosine: float, cell: int):
+    """mapInArrow: adds the cells of each vector, by the number of its label's vectors in column n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            strip = np.zeros(len(batch), np.int64)
-            sizes = batch["vec"].map(len).to_numpy()
-            for dim in np.unique(sizes):
-                own = np.flatnonzero(sizes == dim)
-                strip[own] = np.floor(unit(np.stack(batch["vec"].iloc[own].to_numpy())) @ _directions(int(dim), 1)[:, 0] / width)
-            yield batch.assign(strip=strip, dim=sizes.astype(np.int32))
+            found = [None] * batch.num_rows
+            shapes = np.stack([batch.column(c).to_numpy() for c in ("dim", "n")], axis=1)
+            for shape in np.unique(shapes, axis=0):
+                own = np.flatnonzero((shapes == shape).all(axis=1))
+                for i, x in zip(own.tolist(), cells(unit(_matrix(batch.column("vec").take(pa.array(own)))), *grids(int(shape[1]), cosine, cell)).tolist(), strict=True):
+                    found[i] = x
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"])
 
     return run
 
 
-_KEY = ["label", "dim", "sa", "ia", "sb", "ib"]
+_KEY = ["name", "dim", "grid", "cell", "ta", "tb"]
+
+
+def _edges(batch: pa.RecordBatch) -> list[int]:
+    """The places where the key changes, first and end included."""
+    differ = np.zeros(batch.num_rows - 1, bool)
+    for c in _KEY:
+        x = batch.column(c)
+        differ |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(differ) + 1).tolist(), batch.num_rows]
 
 
 def _join_tiles(cosine: float):
-    """mapInPandas over rows of tile pairs, those of a pair together: links by node, and stars of what they join."""
-
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        same = bool((rows["sa"].iat[0] == rows["sb"].iat[0]) and (rows["ia"].iat[0] == rows["ib"].iat[0]))
-        rows = rows.sort_values("node", kind="stable")
-        vectors, copies, node = unit(np.stack(rows["vec"].to_numpy())), rows["copies"].to_numpy(), rows["node"].to_numpy()
-        left = np.flatnonzero((rows["side"] == 0).to_numpy())
-        right = left if same else np.flatnonzero((rows["side"] == 1).to_numpy())
-        links, forest = np.zeros(len(rows), np.int64), Forest(len(rows))
+    """mapInArrow over rows sorted by _KEY: links by node, and stars of what they join."""
+
+    def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        if rows.num_rows < 2:
+            return
+        rows = rows.take(pa.array(np.argsort(rows.column("node").to_numpy(), kind="stable")))
+        node, copies, side = (rows.column(c).to_numpy() for c in ("node", "copies", "side"))
+        same, grid = rows.column("ta")[0].as_py() == rows.column("tb")[0].as_py(), rows.column("grid")[0].as_py()
+        vectors, where = unit(_matrix(rows.column("vec").combine_chunks())), _matrix(rows.column("cells").combine_chunks())[:, :grid]
+        left = np.flatnonzero(side == 0)
+        right = left if same else np.flatnonzero(side == 1)
+        links, forest = np.zeros(len(node), np.int64), Forest(len(node))
         if len(left) and len(right):
             for i, j in near_pairs(vectors[left], vectors[right], cosine):
                 if same:
                     i, j = i[i < j], j[i < j]
                 i, j = left[i], right[j]
-                links += np.bincount(i, copies[j], len(rows)).astype(np.int64) + np.bincount(j, copies[i], len(rows)).astype(np.int64)
+                new = ~(where[i] == where[j]).any(axis=1)  # else an earlier grid has this pair
+                i, j = i[new], j[new]
+                links += np.bincount(i, copies[j], len(links)).astype(np.int64) + np.bincount(j, copies[i], len(links)).astype(np.int64)
                 forest.add(i, j)
         found = np.flatnonzero(links)
-        return pd.DataFrame({"node": node[found], "links": links[found], "root": node[forest.root[found]]})
+        if len(found):
+            yield pa.RecordBatch.from_pydict({"node": node[found], "links": links[found], "root": node[forest.root[found]]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wait: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
-            edges = np.flatnonzero((batch[_KEY].to_numpy()[1:] != batch[_KEY].to_numpy()[:-1]).any(axis=1)) + 1
-            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
-                part = batch.iloc[begin:end]
-                now = tuple(part[_KEY].iloc[0])
+            if not batch.num_rows:
+                continue
+            edges = _edges(batch)
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                now = [batch.column(c)[begin].as_py() for c in _KEY]
                 if wait and now != key:
-                    yield joined(pd.concat(wait, ignore_index=True))
+                    yield from joined(wait)
                     wait = []
                 key = now
-                wait.append(part)
+                wait.append(batch.slice(begin, end - begin))
         if wait:
-            yield joined(pd.concat(wait, ignore_index=True))
+            yield from joined(wait)
 
     return run
 
 
-def _tiles(points: DataFrame, tile: int) -> DataFrame:
-    """Each point at the pairs of tiles that it belongs to.
+def _dealt(points: DataFrame, cell: int) -> DataFrame:
+    """Each point at its cell of every grid; cells of more than twice the size that is meant are cut into tiles by a
+    hash, and a point goes to each pair of tiles that its own belongs to."""
+    key = _KEY[:4]
+    placed = points.select("name", "dim", F.posexplode("cells").alias("grid", "cell"), "node", "vec", "copies", "cells")
+    hot = points.select("name", "dim", F.posexplode("cells").alias("grid", "cell")).groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > 2 * cell)
+    parts = F.coalesce(F.ceil(F.col("size") / cell), F.lit(1)).cast("int")
+    own = placed.join(hot, key, "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = (F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return each.select(*key, *pair, "node", "vec", "copies", "cells")
 
-    A strip's points are dealt into tiles by a hash; a near pair stands in one strip or two neighbouring ones.
-    """
-    sizes = points.groupBy("label", "dim", "strip").agg(F.ceil(F.count("*") / tile).cast("int").alias("k"))
-    around = sizes.groupBy("label", "dim").agg(F.map_from_entries(F.collect_list(F.struct("strip", "k"))).alias("ks"))  # a label's strips are a few
-    at = points.join(around, ["label", "dim"]).withColumn("k", F.element_at("ks", F.col("strip")))
-    own = at.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    count = lambda s: F.coalesce(F.try_element_at("ks", s), F.lit(0))
-    upto = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
-    s, i, zero = F.col("strip"), F.col("i"), F.lit(0)
-    place = lambda sa, ia, sb, ib, side: F.struct(sa.alias("sa"), ia.alias("ia"), sb.alias("sb"), ib.alias("ib"), F.lit(side).alias("side"))
-    places = F.concat(
-        F.transform(upto(i, F.col("k")), lambda j: place(s, i, s, j, 0)),
-        F.transform(upto(zero, count(s + 1)), lambda j: place(s, i, s + 1, j, 0)),
-        F.transform(upto(zero, i), lambda j: place(s, j, s, i, 1)),
-        F.transform(upto(zero, count(s - 1)), lambda j: place(s - 1, j, s, i, 1)),
-    )
-    return own.select("label", "dim", "node", "vec", "copies", F.explode(places).alias("p")).select("label", "dim", "p.*", "node", "vec", "copies")
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tile: int = TILE) -> DataFrame:
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, cell: int = CELL) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of vectors.
 
-    Rows are linked where labels are equal and not null, vectors have one length, and their cosine in double
-    precision is cosine or more; each such pair is found with a probability of RECALL at least, none below is. Equal
-    vectors of a label are one node with a number of copies. n_links: other rows linked directly; component_id: the
+    Rows are linked where labels are equal (in their own type) and not null, vectors have one length, and their cosine
+    in double precision is cosine or more; each such pair is found with a probability of RECALL at least in a label of
+    up to cell vectors, of RECALL * GRID_RECALL in a larger one; none below is. Equal vectors of a label are one node
+    with a number of copies. n_links: other rows linked directly; component_id: the
     least id that is reachable, the row's own included; kept: whether that is the row's id. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing. A row with a null id is linked too; a
     component of null ids alone has a null component_id, and kept is then true. Repeated rows are rows of their own.
     """
-    spark = vectors.sparkSession
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = F.col("vec")
     sound = F.size(v) > 0
     sound &= F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vec"), F.col(label_col).cast("long").alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double") + 0.0).alias("vec"), F.col(label_col).alias("label"))
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)) & F.col("label").isNotNull())
-    nodes = rows.where("sound").groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
-    schema = "label long, vec array<double>, least long, copies long, node long, strip long, dim int"
-    points = cut(nodes.select("label", "vec", "least", "copies", "node").mapInPandas(_strips(cosine), schema))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _tiles(points, tile).repartition(n, *_KEY).sortWithinPartitions(*_KEY)
-    found = cut(dealt.mapInPandas(_join_tiles(cosine), "node long, links long, root long"))
+    good = rows.where("sound").select("id", "label", "vec", F.xxhash64(F.lit(1), v).alias("h"), F.xxhash64(F.lit(2), v).alias("g"), F.size(v).alias("dim"))
+    sizes = good.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    nodes = good.groupBy("label", "h", "g", "dim", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies")).join(sizes, ["label", "dim"])
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), F.col("label").cast("string").alias("name"), "label", "h", "g", "dim", "n", "vec", "least", "copies")
+    points = cut(nodes.mapInArrow(_with_cells(cosine, cell), StructType([*nodes.schema.fields, StructField("cells", ArrayType(LongType()))])))
+    dealt = _dealt(points, cell).repartition(n, *_KEY).sortWithinPartitions(*_KEY)
+    found = cut(dealt.mapInArrow(_join_tiles(cosine), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = points.select("node", "label", "vec", "least", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = points.select("node", "label", "h", "g", "least", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = known.join(named, "root").select("label", "vec", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = rows.where("sound").join(by_node, ["label", "vec"]).select("id", "n_links", "component_id")
+    by_node = known.join(named, "root").select("label", "h", "g", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = good.select("id", "label", "h", "g").join(by_node, ["label", "h", "g"]).select("id", "n_links", "component_id")
     alone = rows.where("NOT sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
