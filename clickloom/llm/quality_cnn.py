@@ -12,16 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
 WIDTH, BLOCK, FILTERS, EMBEDDING = 8, 256, 32, 8
-#: Labelled rows of each class that are learned from at most, and chunks of each of their texts.
-SAMPLE, SAMPLE_CHUNKS = 1500, 6
+#: Of each class at most so many labelled rows are learned from, each with its whole text, of so many bytes together at
+#: most; rows of texts over LONGEST bytes are not drawn.
+SAMPLE, SAMPLE_BYTES, LONGEST = 1000, 1 << 24, 1 << 20
 THRESHOLD = 0.3
-_SLAB = 1 << 18
+_SLAB, _SLAB_CHUNKS = 1 << 18, 512
 
 
 @dataclass
@@ -32,9 +33,9 @@ class Model:
     out: np.ndarray  # (FILTERS,)
     offset: float
 
-    def tables(self) -> np.ndarray:
+    def tables(self, kind: type = np.float32) -> np.ndarray:
         """(WIDTH / 2, 65536, FILTERS): what each pair of bytes adds to each filter at each place of a window."""
-        one = (self.embedding @ self.filters).astype(np.float32)
+        one = (self.embedding @ self.filters).astype(kind)
         return (one[0::2, :, None, :] + one[1::2, None, :, :]).reshape(WIDTH // 2, 65536, FILTERS)
 
 
@@ -93,54 +94,77 @@ def _logits(texts: list[bytes], model: Model, tables: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 14, seed: int = 7) -> Model:
-    """Fit by Adam. chunks: (n, 2 * BLOCK + WIDTH) bytes, zero-padded; lengths: bytes of each; owner: its document's
-    place in label and weight."""
-    rng = np.random.default_rng(seed)
-    prior = float((label * weight).sum() / weight.sum())
-    p = {
+def _tops(raw: np.ndarray, lengths: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each chunk and filter the best window's place, in byte pairs, and its value; a slab of chunks at a time."""
+    best, top = np.zeros((len(raw), FILTERS), np.int64), np.zeros((len(raw), FILTERS))
+    for at in range(0, len(raw), _SLAB_CHUNKS):
+        part = slice(at, at + _SLAB_CHUNKS)
+        codes = np.ascontiguousarray(raw[part]).view(">u2").astype(np.intp)
+        z = tables[0].take(codes[:, :BLOCK], axis=0)
+        for k in range(1, WIDTH // 2):
+            z += tables[k].take(codes[:, k : k + BLOCK], axis=0)
+        z[np.arange(BLOCK)[None, :] >= ((lengths[part] + 1) // 2)[:, None]] = -np.inf
+        best[part] = z.argmax(axis=1)
+        top[part] = np.take_along_axis(z, best[part][:, None, :], axis=1)[:, 0]
+    return best, top
+
+
+def loss_and_gradient(p: dict[str, np.ndarray], raw: np.ndarray, lengths: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, kind: type = np.float32) -> tuple[float, dict[str, np.ndarray]]:
+    """The weighted mean cross entropy of some documents, and its gradient by parameter.
+
+    raw: (n, 2 * BLOCK + WIDTH) bytes of chunks, zero-padded; lengths: bytes of each; owner: its document's place in
+    label and weight; every document has a chunk, one of length 0 where its text is empty.
+    """
+    best, top = _tops(raw, lengths, Model(p["embedding"], p["filters"], p["bias"], p["out"], float(p["offset"])).tables(kind))
+    top = np.where(np.isfinite(top), top + p["bias"], 0)
+    h, share = np.maximum(top, 0), 1 / np.bincount(owner, minlength=len(label))[owner]
+    logit = np.bincount(owner, (h @ p["out"]) * share, minlength=len(label)) + p["offset"]
+    loss = float((weight * (np.logaddexp(0, logit) - label * logit)).sum() / weight.sum())
+    wrong = weight * (1 / (1 + np.exp(-logit)) - label) / weight.sum()
+    dchunk = wrong[owner] * share
+    dh = dchunk[:, None] * p["out"] * (top > 0)
+    dt = np.zeros(WIDTH * 256 * FILTERS)
+    for at in range(0, len(raw), _SLAB_CHUNKS):
+        part = slice(at, at + _SLAB_CHUNKS)
+        places = 2 * best[part][:, None, :] + np.arange(WIDTH)[None, :, None]
+        seen = raw[part][np.arange(len(places))[:, None, None], places].astype(np.int64)  # (chunk, place, filter)
+        flat = (np.arange(WIDTH)[None, :, None] * 256 + seen) * FILTERS + np.arange(FILTERS)
+        dt += np.bincount(flat.ravel(), np.broadcast_to(dh[part][:, None, :], flat.shape).ravel(), minlength=len(dt))
+    dt = dt.reshape(WIDTH, 256, FILTERS)
+    return loss, {
+        "embedding": np.einsum("kbf,kef->be", dt, p["filters"]),
+        "filters": np.einsum("be,kbf->kef", p["embedding"], dt),
+        "bias": dh.sum(axis=0),
+        "out": h.T @ dchunk,
+        "offset": np.array(wrong.sum()),
+    }
+
+
+def start(prior: float, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """Parameters before training; prior: the weighted share of label 1."""
+    return {
         "embedding": rng.normal(0, 0.3, (256, EMBEDDING)),
         "filters": rng.normal(0, 0.25, (WIDTH, EMBEDDING, FILTERS)),
         "bias": np.zeros(FILTERS),
         "out": rng.normal(0, 0.1, FILTERS),
         "offset": np.array(np.log(prior / (1 - prior))),
     }
+
+
+def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 10, seed: int = 7) -> Model:
+    """Fit by Adam; the arguments are those of loss_and_gradient for all documents."""
+    rng = np.random.default_rng(seed)
+    p = start(float((label * weight).sum() / weight.sum()), rng)
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     by_doc = np.split(np.argsort(owner, kind="stable"), np.cumsum(np.bincount(owner, minlength=len(label)))[:-1])
-    # an even start for windows: a whole chunk has BLOCK of them
-    step, places = 0, np.arange(BLOCK)
+    step = 0
     for epoch in range(epochs):
         rate = 0.01 * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
         for batch in np.array_split(rng.permutation(len(label)), max(1, len(label) // 48)):
             rows = np.concatenate([by_doc[d] for d in batch])
-            counts = np.array([len(by_doc[d]) for d in batch])
-            mine = np.repeat(np.arange(len(batch)), counts)
-            raw = chunks[rows]
-            codes = np.ascontiguousarray(raw).view(">u2").astype(np.intp)
-            tables = Model(**{k: (v if v.ndim else float(v)) for k, v in p.items()}).tables()
-            z = sum(tables[k].take(codes[:, k : k + BLOCK], axis=0) for k in range(WIDTH // 2))
-            z[places[None, :] >= ((lengths[rows] + 1) // 2)[:, None]] = -np.inf
-            best = z.argmax(axis=1)
-            top = np.take_along_axis(z, best[:, None, :], axis=1)[:, 0] + p["bias"]
-            top[~np.isfinite(top)] = 0
-            h = np.maximum(top, 0)
-            share = 1 / counts[mine]
-            logit = np.bincount(mine, (h @ p["out"]) * share, minlength=len(batch)) + p["offset"]
-            wrong = weight[batch] * (1 / (1 + np.exp(-logit)) - label[batch]) / weight[batch].sum()
-            dchunk = wrong[mine] * share
-            dh = dchunk[:, None] * p["out"] * (top > 0)
-            at = 2 * best[:, None, :] + np.arange(WIDTH)[None, :, None]
-            seen = raw[np.arange(len(rows))[:, None, None], at].astype(np.int64)  # (chunk, place, filter)
-            flat = (np.arange(WIDTH)[None, :, None] * 256 + seen) * FILTERS + np.arange(FILTERS)
-            dt = np.bincount(flat.ravel(), np.broadcast_to(dh[:, None, :], flat.shape).ravel(), minlength=WIDTH * 256 * FILTERS).reshape(WIDTH, 256, FILTERS)
-            grad = {
-                "embedding": np.einsum("kbf,kef->be", dt, p["filters"]),
-                "filters": np.einsum("be,kbf->kef", p["embedding"], dt),
-                "bias": dh.sum(axis=0),
-                "out": h.T @ dchunk,
-                "offset": np.array(wrong.sum()),
-            }
+            mine = np.repeat(np.arange(len(batch)), [len(by_doc[d]) for d in batch])
+            _, grad = loss_and_gradient(p, chunks[rows], lengths[rows], mine, label[batch], weight[batch])
             step += 1
             for k, g in grad.items():
                 g = g + 1e-4 * p[k] * (k != "offset")
@@ -161,46 +185,45 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _some_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def chunks_of(raw: bytes) -> tuple[list[bytes], list[int]]:
+    """All chunks of a text, zero-padded, and their lengths; an empty text has one of length 0."""
     size = 2 * BLOCK + WIDTH
-    for batch in batches:
-        for i, label, text in zip(batch["id"], batch["label"], batch["text"], strict=True):
-            raw = (text or "").encode()
-            last = max(0, (len(raw) - 1) // BLOCK - 1)
-            places = sorted({round(x) for x in np.linspace(0, last, SAMPLE_CHUNKS)})
-            found = [raw[at * BLOCK :][:size] for at in places]
-            yield pd.DataFrame({"id": i, "label": label, "length": [min(len(x), 2 * BLOCK) for x in found], "chunk": [x.ljust(size, b"\0") for x in found]})
+    found = [raw[at * BLOCK :][:size] for at in range(max(1, (len(raw) - 1) // BLOCK))]
+    return [x.ljust(size, b"\0") for x in found], [min(len(x), 2 * BLOCK) for x in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learn from at most SAMPLE labelled rows of each class, none of them held out, at SAMPLE_CHUNKS chunks a text.
+    """Learn from at most SAMPLE labelled rows of each class, none of them held out, with their whole texts.
 
-    The sample is the rows with the least hash of their id among those that docs has; of rows
-    with one id the text of the least hash counts, so that at most 2 * SAMPLE rows reach the driver. Classes are weighted by their share of all labelled
-    rows, so that scores are probabilities at that share. Only the text is an input. Rows with a null id or label
-    are not learned from; labels of one class alone give a constant score.
+    The sample is the rows with the least hash of their id among those that docs has, as long as their texts have
+    SAMPLE_BYTES bytes together; texts over LONGEST bytes are not drawn. Of rows with one id the text of the least hash
+    counts, so that at most 2 * SAMPLE rows and 2 * SAMPLE_BYTES bytes reach the driver. Classes are weighted by their
+    share of all labelled rows that docs has, so that scores are probabilities at that share. Only the text is an
+    input. Rows with a null id or label are not learned from; labels of one class alone give a constant score.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("label").alias("label"))
-    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"), F.xxhash64(text_col).alias("h"))
+    present = known.join(sizes.groupBy("id").agg(F.min_by("size", F.struct("h", "size")).alias("size")), "id")
+    totals = {r["label"]: r["n"] for r in present.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(totals.values())
     if len(totals) < 2:
         return constant((totals.get(1, 0) + 1) / (total + 2))
-    present = known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    part = [present.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for c in (0, 1)]
-    sample = F.broadcast(part[0].unionByName(part[1]))  # at most 2 * SAMPLE rows
+    drawn = present.where(F.col("size") <= LONGEST)
+    part = [drawn.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for c in (0, 1)]  # the documented bound
+    upto = F.sum("size").over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    sample = F.broadcast(part[0].unionByName(part[1]).withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("id", "label"))  # at most 2 * SAMPLE rows
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
-    chosen = chosen.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
-    rows = chosen.select("id", "label", "text").mapInPandas(_some_chunks, "id long, label int, length int, chunk binary").toPandas()
-    if rows.empty or rows["label"].nunique() < 2:
+    rows = chosen.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), "text"))["text"].alias("text")).collect()
+    if len({r["label"] for r in rows}) < 2:
         return constant((totals.get(1, 0) + 1) / (total + 2))
-    rows = rows.sort_values(["id", "length", "chunk"], kind="stable")
-    ids, owner = np.unique(rows["id"].to_numpy(), return_inverse=True)
-    label = np.zeros(len(ids))
-    label[owner] = rows["label"]
-    weight = np.where(label == 1, totals[1] / max(1, (label == 1).sum()), totals[0] / max(1, (label == 0).sum()))
-    chunks = np.frombuffer(b"".join(rows["chunk"]), np.uint8).reshape(len(rows), -1)
-    return train(chunks, rows["length"].to_numpy(), owner, label, weight)
+    rows.sort(key=lambda r: r["id"])
+    parts = [chunks_of((r["text"] or "").encode()) for r in rows]
+    label = np.array([r["label"] for r in rows], np.float64)
+    weight = np.where(label == 1, totals[1] / (label == 1).sum(), totals[0] / (label == 0).sum())
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x, _ in parts])
+    chunks = np.frombuffer(b"".join(c for x, _ in parts for c in x), np.uint8).reshape(len(owner), -1)
+    return train(chunks, np.array([n for _, x in parts for n in x]), owner, label, weight)
 
 
 def scorer(model: Model):
