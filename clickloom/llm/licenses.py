@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,23 @@ TEMPLATES = {
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc.",
+        "licensed under the GNU Lesser General Public License, version 3",
+    ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+        "licensed under the GNU Affero General Public License, version 3",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    ],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Licensed under CC0 1.0 Universal"],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     ],
@@ -64,7 +81,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Automaton:
     """A generalised suffix automaton over the words of all templates, and of the phrases.
 
-    Each state knows, by template, where its string first ends, and which phrases are suffixes of its string.
+    Each state knows, by template, all places where its string ends, and which phrases are suffixes of its string.
     """
 
     def __init__(self, phrases: dict[str, str], templates: dict[str, list[str]]):
@@ -73,14 +90,15 @@ class Automaton:
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
         every = [w for w, _ in self.templates + self.phrases]
+        self.least = min(2, *map(len, every), 2)  # matches of fewer words say nothing
         for k, found in enumerate(every):
             state = 0
             for at, w in enumerate(found):
                 state = self._extend(state, self.ids.setdefault(w, len(self.ids)))
                 if k < len(self.templates):
-                    self.ends[state].setdefault(k, at)
+                    self.ends[state].setdefault(k, set()).add(at)
         self.outputs: list[list[int]] = [[] for _ in self.next]  # the lengths of phrases
         for k, (found, _) in enumerate(self.phrases):
             state = 0
@@ -90,10 +108,11 @@ class Automaton:
         by_length = sorted(range(1, len(self.next)), key=self.length.__getitem__)
         for s in reversed(by_length):
             for k, at in self.ends[s].items():
-                own = self.ends[self.link[s]]
-                own[k] = min(own.get(k, at), at)
+                self.ends[self.link[s]].setdefault(k, set()).update(at)
         for s in by_length:
             self.outputs[s] = self.outputs[s] + self.outputs[self.link[s]]
+        self.places: list[dict[int, list[int]]] = [{k: sorted(at) for k, at in own.items()} for own in self.ends[1:]]
+        self.places.insert(0, {})  # the empty string ends everywhere
 
     def _new(self, length: int, follow: dict[int, int], link: int) -> int:
         self.next.append(follow)
@@ -127,7 +146,7 @@ class Automaton:
     def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
         """Places (phrase, first word) and right-maximal matches (first word, words, state) of a text.
 
-        Only runs of two or more known words are stepped through: shorter ones match a single word at most.
+        Only runs of known words as long as the shortest match that counts are stepped through.
         """
         get = self.ids.get
         ids = np.array([get(w, -1) for w in found], np.int32)
@@ -135,13 +154,13 @@ class Automaton:
         edges = np.flatnonzero(known[1:] != known[:-1])
         places, matches = [], []
         for begin, end in edges.reshape(-1, 2).tolist():
-            if end - begin < 2:
+            if end - begin < self.least:
                 continue
             state = size = 0
             for at, w in enumerate(ids[begin:end].tolist(), begin):
                 grown = self.next[state].get(w)
                 if grown is None:
-                    if size > 1:
+                    if size >= self.least:
                         matches.append((at - size, size, state))
                     while grown is None:
                         state = self.link[state]
@@ -156,28 +175,37 @@ class Automaton:
                 for k in self.outputs[state]:
                     if len(self.phrases[k][0]) <= size:
                         places.append((k, at + 1 - len(self.phrases[k][0])))
-            if size > 1:
+            if size >= self.least:
                 matches.append((end - size, size, state))
         return places, matches
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, share of the template) of the best chain of each template."""
+        """(label, first word, end, share of the template) of the best chain of each template.
+
+        A chain goes on where the match also ends further on in the template, at the first such place. Of chains of
+        different labels that share more than half of their words the one that covers the most stays: one notice
+        often differs from another by a few words.
+        """
         chains: dict[int, tuple[int, int, int, int]] = {}  # first word, end, words covered, place in the template
-        best: dict[int, tuple[float, int, int]] = {}
+        best: dict[int, tuple[int, int, int]] = {}
         for begin, size, state in matches:
-            for k, at in self.ends[state].items():
-                whole = len(self.templates[k][0])
-                if size < min(MIN_MATCH, whole):
+            for k, ends in self.places[state].items():
+                if size < min(MIN_MATCH, len(self.templates[k][0])):
                     continue
                 first, end, covered, place = chains.get(k, (begin, begin, 0, -1))
-                if begin - end > MAX_GAP or at <= place:
-                    first, end, covered = begin, begin, 0
+                later = bisect.bisect_right(ends, place)
+                if begin - end > MAX_GAP or later == len(ends):
+                    first, end, covered, later = begin, begin, 0, 0
                 covered += begin + size - max(begin, end)
-                chains[k] = first, begin + size, covered, at
-                share = min(1.0, covered / whole)
-                if k not in best or share > best[k][0]:
-                    best[k] = share, first, begin + size
-        return sorted((self.templates[k][1], first, end, share) for k, (share, first, end) in best.items())
+                chains[k] = first, begin + size, covered, ends[later]
+                if k not in best or covered > best[k][0]:
+                    best[k] = covered, first, begin + size
+        kept: list[tuple[str, int, int, float]] = []
+        for k, (covered, first, end) in sorted(best.items(), key=lambda x: (-min(x[1][0], len(self.templates[x[0]][0])), x[0])):
+            label, whole = self.templates[k][1], len(self.templates[k][0])
+            if all(x == label or 2 * (min(end, b) - max(first, a)) <= end - first for x, a, b, _ in kept):
+                kept.append((label, first, end, min(1.0, covered / whole)))
+        return sorted(kept)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None) -> DataFrame:

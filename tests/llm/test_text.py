@@ -153,6 +153,60 @@ def test_classifier(spark, odd):
     assert quality_cnn.fit(docs, labels.limit(0)).offset == 0
 
 
+def _naive_logit(raw, m):
+    """One text, window by window."""
+    if not raw:
+        return m.offset
+    padded = raw + bytes(2 * quality_cnn.WIDTH)
+    value = lambda at: sum(m.embedding[padded[at + k]] @ m.filters[k] for k in range(quality_cnn.WIDTH))
+    windows = {at: value(at) for at in range(0, len(raw), 2)}
+    tops = []
+    for at in range(0, max(1, len(raw) - quality_cnn.BLOCK), quality_cnn.BLOCK):
+        own = [windows[x] for x in range(at, min(at + 2 * quality_cnn.BLOCK, len(raw)), 2)]
+        tops.append(np.maximum(np.max(own, axis=0) + m.bias, 0) @ m.out)
+    return m.offset + np.mean(tops)
+
+
+def _some_model(rng):
+    return quality_cnn.Model(**{k: v for k, v in quality_cnn.start(0.7, rng).items() if k != "offset"}, offset=0.3)
+
+
+def test_scores_against_a_naive_forward_pass(monkeypatch):
+    rng = np.random.default_rng(12)
+    model = _some_model(rng)
+    texts = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 2, 7, 8, 9, 255, 256, 257, 511, 512, 513, 514, 1024, 1500)]
+    want = [_naive_logit(t, model) for t in texts]
+    for slab in (1 << 18, 512):
+        monkeypatch.setattr(quality_cnn, "_SLAB", slab)
+        assert np.allclose(quality_cnn._logits(texts, model, model.tables()), want, atol=1e-4)
+    # what is learned from is what is scored: chunk by chunk the same value
+    for raw, logit in zip(texts, want, strict=True):
+        chunks, lengths = quality_cnn.chunks_of(raw)
+        _, top = quality_cnn._tops(np.frombuffer(b"".join(chunks), np.uint8).reshape(len(chunks), -1), np.array(lengths), model.tables(np.float64))
+        h = np.maximum(np.where(np.isfinite(top), top + model.bias, 0), 0)
+        assert np.isclose(model.offset + (h @ model.out).mean(), logit)
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(13)
+    p = quality_cnn.start(0.6, rng)
+    p["bias"] += 0.5
+    parts = [quality_cnn.chunks_of(rng.integers(0, 256, n, dtype=np.uint8).tobytes()) for n in (0, 40, 700, 1300)]
+    raw = np.frombuffer(b"".join(c for x, _ in parts for c in x), np.uint8).reshape(-1, 2 * quality_cnn.BLOCK + quality_cnn.WIDTH)
+    lengths, owner = np.array([n for _, x in parts for n in x]), np.repeat(np.arange(4), [len(x) for x, _ in parts])
+    args = raw, lengths, owner, np.array([0.0, 1, 0, 1]), np.array([1.0, 2, 1, 0.5])
+    _, grad = quality_cnn.loss_and_gradient(p, *args, kind=np.float64)
+    for name in p:
+        size = p[name].size
+        for at in rng.choice(size, min(size, 12), replace=False):
+            ends = []
+            for step in (1e-6, -1e-6):
+                moved = {k: np.array(v, np.float64) for k, v in p.items()}
+                moved[name].reshape(-1)[at] += step
+                ends.append(quality_cnn.loss_and_gradient(moved, *args, kind=np.float64)[0])
+            assert np.isclose((ends[0] - ends[1]) / 2e-6, np.array(grad[name]).reshape(-1)[at], atol=1e-6), name
+
+
 def test_held_out_rows_are_not_learned_from(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
     out = {r["doc_id"] for r in docs.where(quality_cnn.held_out(F.col("doc_id"))).collect()}
@@ -191,6 +245,37 @@ def test_licenses(spark, odd, some):
         assert [(a, n) for a, n, _ in automaton.scan(text)[1]] == expected
 
 
+def _scan(spark, texts, **given):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["id"]: r for r in licenses.scan(docs, **given).collect()}
+
+
+def test_one_word_phrases(spark):
+    got = _scan(spark, ["x copyleft y", "copyleft", "a b copyleft c d copyleft"], phrases={"copyleft": "c", "a b": "ab"}, templates={"t": ["one"]})
+    assert [[(p["label"], p["first"]) for p in got[i]["places"]] for i in range(3)] == [[("c", 1)], [("c", 0)], [("ab", 0), ("c", 2), ("c", 5)]]
+    alone = _scan(spark, ["x one y"], phrases={}, templates={"t": ["one"]})
+    assert [(s["label"], s["first"], s["end"], s["share"]) for s in alone[0]["spans"]] == [("t", 1, 2, 1.0)]
+
+
+def test_notices_are_told_apart(spark):
+    """Each notice by itself has its own label and no other; a chain goes on past words that a template repeats."""
+    texts = [(label, t) for label, notices in licenses.TEMPLATES.items() for t in notices]
+    docs = spark.createDataFrame([(i, f"head {t} tail") for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for r in licenses.summary(licenses.scan(docs)).collect():
+        label, text = texts[r["id"]]
+        assert set(r["labels"].split(",")) - set(r["base_labels"].split(",")) <= {label} and label in r["labels"].split(",") and r["score"] == 1.0, text
+    repeated = _scan(spark, ["a b c d e f x a b c d e f y"], phrases={}, templates={"t": ["a b c d e f g a b c d e f h"]})
+    assert [(s["first"], s["end"]) for s in repeated[0]["spans"]] == [(0, 13)] and repeated[0]["spans"][0]["share"] == 12 / 14
+
+
+def _license_row(text):
+    """What the query returns, from plain searches."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", _lower(text or ""))
+    at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    starts = [i for i, _ in at]
+    return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
+
+
 def _fingerprint(text):
     words = WORD.findall(_lower(text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
