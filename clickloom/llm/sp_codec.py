@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -15,6 +17,9 @@ from clickloom.llm.shared import sliced
 
 _MARK = "▁"
 _NONE = np.int64(1 << 40)  # the rank of a pair that never merges
+#: Symbols of a word from which on its merges are found through lists of places by rank, and not by rounds over all symbols.
+_LONG_WORD = 256
+codecs.register_error("clickloom-each-byte", lambda e: ("\ufffd", e.start + 1))
 
 
 class Vocabulary:
@@ -44,6 +49,7 @@ class Vocabulary:
         self.pairs, self.rank, self.whole = (left << 32 | right)[order], rank[order], whole[order]
         chars = sorted(((ord(c), s) for c, s in symbols.items() if len(c) == 1))
         self.chars, self.char_symbols = (np.array(x, np.int64) for x in zip(*chars, strict=True))
+        self.known: dict[int, tuple[int, int]] = {}  # rank and piece by pair, once they are needed one by one
         self.n, self.strange = n, n + len(symbols) + 1  # symbols from strange on are characters of no piece
         shown = {i: pieces[i].replace(_MARK, " ").encode() for i in plain} | {int(i): bytes([b]) for b, i in enumerate(self.byte)} | {model.unk_id(): " ⁇ ".encode()}
         self.marked = np.array([p.startswith(_MARK) for p in pieces])
@@ -61,14 +67,34 @@ class Vocabulary:
     def merge(self, symbols: np.ndarray, word: np.ndarray, one: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Merge until no pair is left: (symbols, word), in order.
 
-        symbols: of all words, one behind the other; word: rising. A round finds the least rank of each word and
-        merges its leftmost non-overlapping places at once; with one, only the first of them. Where a round of
-        several merges makes a pair that ranks no later, the order of merges might matter: such words are merged
-        again one by one.
+        symbols: of all words, one behind the other; word: rising. With one, one merge after the other; else several
+        at once, short words by rounds and long ones by ranks. Where several merges at once make a pair that ranks no
+        later, their order might matter: such words are merged again one by one.
         """
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        doubtful: list[np.ndarray] = []
-        given, owner = symbols, word
+        if not len(symbols):
+            return symbols, word
+        sizes = np.bincount(word)[word]
+        long = sizes >= _LONG_WORD
+        parts = []
+        for own, how in ((~long, self._by_rounds), (long, self._by_ranks)):
+            if one or not own.any():
+                continue
+            merged, of, doubtful = how(symbols[own], word[own])
+            parts.append((merged, of))
+            if len(doubtful):
+                again = np.isin(word, doubtful)
+                parts.append(self._one_by_one(symbols[again], word[again]))
+        if one:
+            parts.append(self._one_by_one(symbols, word))
+        symbols, word = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+        order = np.argsort(word, kind="stable")
+        return symbols[order], word[order]
+
+    def _by_rounds(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A round finds the least rank of each word and merges its leftmost non-overlapping places at once; words
+        without a pair leave. Also returns the words that it left out as doubtful."""
+        done: list[tuple[np.ndarray, np.ndarray]] = [(symbols[:0], word[:0])]
+        doubtful: list[np.ndarray] = [word[:0]]
         rank, whole = self._ranks(symbols, word)
         while len(symbols):
             starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
@@ -83,12 +109,7 @@ class Vocabulary:
                     break
                 starts = np.cumsum(sizes) - sizes
             here = np.flatnonzero(rank == np.repeat(least, sizes))
-            if one:
-                here = here[np.concatenate(([True], word[here[1:]] != word[here[:-1]]))]
-            else:  # in a run of touching places every second one is taken, from the left
-                run = np.concatenate(([0], np.flatnonzero(np.diff(here) != 1) + 1))
-                length = np.diff(np.concatenate((run, [len(here)])))
-                here = here[(np.arange(len(here)) - np.repeat(run, length)) % 2 == 0]
+            here = here[_alternate(np.diff(here) == 1)]
             merged_rank = rank[here]
             symbols[here] = whole[here]
             stay = np.ones(len(symbols), bool)
@@ -104,22 +125,94 @@ class Vocabulary:
             rank[touched] = _NONE
             again = again[joined]
             rank[again], whole[again] = self.look_up(symbols[again], symbols[again + 1])
-            if not one:
-                # one rank a word and round
-                of_word = np.full(int(word[-1]) + 1, -1, np.int64)
-                of_word[word[at]] = merged_rank
-                odd = again[rank[again] <= of_word[word[again]]]
-                if len(odd):
-                    bad = np.unique(word[odd])
-                    doubtful.append(bad)
-                    keep = ~np.isin(word, bad)
-                    symbols, word, rank, whole = symbols[keep], word[keep], rank[keep], whole[keep]
-        if doubtful:
-            slow = np.isin(owner, np.concatenate(doubtful))
-            done.append(self.merge(given[slow], owner[slow], one=True))
-        symbols, word = (np.concatenate([x[k] for x in done]) if done else np.zeros(0, np.int64) for k in (0, 1))
-        order = np.argsort(word, kind="stable")
-        return symbols[order], word[order]
+            # one rank a word and round
+            of_word = np.full(int(word[-1]) + 1, -1, np.int64)
+            of_word[word[at]] = merged_rank
+            odd = again[rank[again] <= of_word[word[again]]]
+            if len(odd):
+                bad = np.unique(word[odd])
+                doubtful.append(bad)
+                keep = ~np.isin(word, bad)
+                symbols, word, rank, whole = symbols[keep], word[keep], rank[keep], whole[keep]
+        return *(np.concatenate([x[k] for x in done]) for k in (0, 1)), np.concatenate(doubtful)
+
+    def _by_ranks(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _by_rounds, but rank after rank over all words, touching only the places of that rank and around them:
+        places wait in lists by rank, and symbols are chained, so that a merge costs the same in a word of any length."""
+        symbols, n = symbols.copy(), len(symbols)
+        last = np.concatenate((word[1:] != word[:-1], [True]))
+        after = np.where(last, -1, np.arange(1, n + 1))
+        before = np.where(np.concatenate(([True], last[:-1])), -1, np.arange(-1, n - 1))
+        rank, whole = self._ranks(symbols, word)
+        gone, bad = np.zeros(n, bool), np.zeros(int(word[-1]) + 1, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[np.argsort(rank[places], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[places])) + 1
+            for part in np.split(places, cuts) if len(places) else []:
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        wait(np.flatnonzero(rank < _NONE))
+        while ranks:
+            r = heapq.heappop(ranks)
+            here = np.unique(np.concatenate(waiting.pop(r)))
+            here = here[(rank[here] == r) & ~bad[word[here]]]
+            if not len(here):
+                continue
+            here = here[_alternate(after[here[:-1]] == here[1:])]
+            right = after[here]
+            symbols[here], gone[right], rank[right] = whole[here], True, _NONE
+            after[here] = after[right]
+            follow = after[here] >= 0
+            before[after[here[follow]]] = here[follow]
+            touched = np.unique(np.concatenate((here, before[here][before[here] >= 0])))
+            rank[touched] = _NONE
+            touched = touched[after[touched] >= 0]
+            rank[touched], whole[touched] = self.look_up(symbols[touched], symbols[after[touched]])
+            low = touched[rank[touched] <= r]
+            if len(low):
+                several, merges = np.unique(word[here], return_counts=True)
+                bad[np.intersect1d(several[merges > 1], word[low])] = True
+            wait(touched[rank[touched] < _NONE])
+        stay = ~gone & ~bad[word]
+        return symbols[stay], word[stay], np.flatnonzero(bad)
+
+    def _one_by_one(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least rank first, of equal ones the leftmost, by a heap."""
+        if not self.known:
+            self.known.update(zip(self.pairs.tolist(), zip(self.rank.tolist(), self.whole.tolist(), strict=True), strict=True))
+        own, of, n = symbols.tolist(), word.tolist(), len(symbols)
+        after = [k + 1 if k + 1 < n and of[k + 1] == of[k] else -1 for k in range(n)]
+        before = [k - 1 if k and of[k - 1] == of[k] else -1 for k in range(n)]
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] >= 0:
+                found = self.known.get(own[k] << 32 | own[after[k]])
+                if found:
+                    heapq.heappush(heap, (found[0], k, own[k], own[after[k]]))
+
+        for k in range(n):
+            offer(k)
+        while heap:
+            _, k, left, right = heapq.heappop(heap)
+            nxt = after[k]
+            if own[k] != left or nxt < 0 or own[nxt] != right:
+                continue
+            own[k], own[nxt] = self.known[left << 32 | right][1], -1
+            after[k] = after[nxt]
+            if after[k] >= 0:
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        merged = np.array(own, np.int64)
+        return merged[merged >= 0], word[merged >= 0]
 
     def _ranks(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, whole = np.full(len(symbols), _NONE), np.zeros(len(symbols), np.int64)
@@ -156,21 +249,16 @@ class Vocabulary:
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids. Control ids give nothing, bytes that are no UTF-8 give U+FFFD each."""
         raw = gather(self.shown, ids)
-        text = _utf8(raw)
+        text = raw.decode(errors="clickloom-each-byte")
         first = ids[(np.diff(self.shown[1])[ids] > 0)][:1]
         return text[1:] if len(first) and text.startswith(" ") and self.marked[first[0]] else text
 
 
-def _utf8(raw: bytes) -> str:
-    out = []
-    while raw:
-        try:
-            out.append(raw.decode())
-            break
-        except UnicodeDecodeError as e:
-            out.append(raw[: e.start].decode() + "�")
-            raw = raw[e.start + 1 :]
-    return "".join(out)
+def _alternate(follows: np.ndarray) -> np.ndarray:
+    """Of places in order, where follows tells which ones overlap the one before: every second one of a run, from the left."""
+    at = np.arange(len(follows) + 1)
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], ~follows)), at, 0))
+    return np.flatnonzero((at - first) % 2 == 0)
 
 
 class Codec:

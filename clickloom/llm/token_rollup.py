@@ -8,9 +8,11 @@ committed once: committing it again, whole or after a failure half-way, changes
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,48 +59,139 @@ def add_up(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS]).where(" OR ".join(f"{c} <> 0" for c in TOTALS))
 
 
-class Rollup:
-    """Committed batches under a folder that driver and executors share.
+def digest(changes: DataFrame) -> str:
+    """The same for equal rows in any order."""
+    n, total = changes.agg(F.count("*"), F.sum(F.xxhash64(*KEYS, *TOTALS).cast("decimal(38,0)"))).first()
+    return f"{n}.{total or 0}"
 
-    A batch is summed by key and written to a folder of its own, named for it. Spark writes its success mark last, so
-    a batch without the mark is none: a repeated commit writes it anew, and one with the mark is left alone.
-    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+class Rollup:
+    """Totals under a folder that driver and executors share.
 
-    def _path(self, batch: str) -> str:
-        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch) or batch.startswith(("_", ".")):
-            raise ValueError(f"no batch name: {batch!r}")
-        return f"{self.folder}/batches/batch={batch}"
+    data/ holds each batch, summed by key; commits/ a small file for each committed batch, which tells where its data
+    lie and their digest; bases/ totals with the names and digests of the batches in them. Totals are the newest base
+    and the few batches behind it, so that reading them costs the same however many batches there have been.
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    A batch counts from the moment its commit file is there. That file is created only where there is none, so of two
+    committers of one batch one wins, and the other finds it done. Whatever a crash leaves behind (data without a
+    commit file, a commit file without content, a base without its success mark) does not count.
+    """
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Whether the batch was new."""
-        path = self._path(batch)
-        if self._exists(f"{path}/_SUCCESS"):
-            return False
-        add_up(changes).write.mode("overwrite").parquet(path)
-        return True
-
-    def batches(self, names: list[str]) -> DataFrame:
-        paths = [self._path(x) for x in names if self._exists(f"{self._path(x)}/_SUCCESS")]
-        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-
-    def names(self) -> list[str]:
-        """Committed batches, by name."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batches")
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, folder: str, compact_every: int = 8):
+        self.spark, self.folder, self.compact_every = spark, folder, compact_every
+
+    def _at(self, path: str):
+        """A path as Hadoop has it, and its file system."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        at, fs = self._at(path)
+        fs.delete(at, True)
+
+    def _base(self) -> str | None:
+        """The newest complete base."""
+        at, fs = self._at("bases")
+        found = sorted((x.getPath().getName() for x in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
+        for name in found:
+            mark, fs = self._at(f"bases/{name}/_SUCCESS")
+            if fs.exists(mark):
+                return name
+        return None
+
+    def _read_base(self, base: str | None) -> DataFrame:
+        """Totals (batch null), and a row for each batch in them."""
+        schema = f"{SCHEMA}, batch string, digest string"
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/bases/{base}") if base else self.spark.createDataFrame([], schema)
+
+    def _commits(self) -> dict[str, tuple[str, str]]:
+        """(data, digest) of batches with a commit file: those since the base before last."""
+        at, fs = self._at("commits")
         if not fs.exists(at):
-            return []
-        found = [x.getPath().getName().removeprefix("batch=") for x in fs.listStatus(at)]
-        return sorted(x for x in found if self._exists(f"{self._path(x)}/_SUCCESS"))
+            return {}
+        rows = self.spark.read.text(f"{self.folder}/commits", wholetext=True).select(F.col("_metadata.file_name").alias("batch"), F.split("value", " ").alias("x")).where(F.size("x") == 2)
+        return {r["batch"]: tuple(r["x"]) for r in rows.collect()}
+
+    def _known(self, batch: str) -> str | None:
+        """The digest with which a batch was committed."""
+        if found := self._commits().get(batch):
+            return found[1]
+        row = self._read_base(self._base()).where(F.col("batch") == batch).select("digest").first()
+        return row and row["digest"]
+
+    def _claim(self, batch: str, data: str, own: str) -> bool:
+        """Create the commit file, unless there is one; one without content is what a crash left."""
+        at, fs = self._at(f"commits/{batch}")
+        if fs.exists(at) and not fs.getFileStatus(at).getLen():
+            fs.delete(at, False)
+        try:
+            out = fs.create(at, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray(f"{data} {own}".encode()))
+        out.close()
+        return self._commits().get(batch) == (data, own)
+
+    def commit(self, batch: str, changes: DataFrame) -> bool:
+        """Whether the batch was new. One that is committed already changes nothing; with other rows it is an error."""
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
+            raise ValueError(f"no batch name: {batch!r}")
+        summed = add_up(changes)
+        known = self._known(batch)
+        if known is None:
+            data = uuid.uuid4().hex
+            summed.write.parquet(f"{self.folder}/data/{data}")
+            own = digest(self._read([data]))
+            if self._claim(batch, data, own):
+                if len(self.pending()) >= self.compact_every:
+                    self.compact()
+                return True
+            self._delete(f"data/{data}")
+            known = self._known(batch)
+        else:
+            own = digest(summed)
+        if known != own:
+            raise ValueError(f"batch {batch!r} was committed with other rows")
+        return False
+
+    def _read(self, data: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/data/{x}" for x in data]) if data else self.spark.createDataFrame([], SCHEMA)
+
+    def _state(self) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+        """The newest base, and the batches that it lacks."""
+        base = self._read_base(self._base())
+        commits = self._commits()
+        inside = {r["batch"] for r in base.where(F.col("batch").isin(*commits)).select("batch").collect()} if commits else set()
+        return base, {k: v for k, v in commits.items() if k not in inside}
+
+    def pending(self) -> list[str]:
+        """Committed batches that are in no base yet, by name."""
+        return sorted(self._state()[1])
+
+    def names(self) -> DataFrame:
+        """(batch) of all committed batches."""
+        base, more = self._state()
+        return base.where("batch IS NOT NULL").select("batch").unionByName(self.spark.createDataFrame([(x,) for x in more], "batch string"))
 
     def totals(self) -> DataFrame:
         """Totals of all committed batches by source, language and tokenizer version."""
-        return add_up(self.batches(self.names()))
+        base, more = self._state()
+        return add_up(base.where("batch IS NULL").select(*KEYS, *TOTALS).unionByName(self._read([data for data, _ in more.values()])))
+
+    def compact(self) -> None:
+        """Write a base with all committed batches. Commit files and data that the base before had stay until now, so
+        that a reader which began with it can end."""
+        last = self._base()
+        base, more = self._state()
+        old = {r["batch"] for r in base.where("batch IS NOT NULL").join(self.spark.createDataFrame([(x,) for x in self._commits()], "batch string"), "batch", "left_semi").select("batch").collect()}
+        rows = self.spark.createDataFrame([(k, v[1]) for k, v in more.items()], "batch string, digest string")
+        every = base.where("batch IS NOT NULL").select("batch", "digest").unionByName(rows)
+        number = int(last.partition("-")[0]) + 1 if last else 1
+        name = f"{number:09d}-{uuid.uuid4().hex}"
+        self.totals().unionByName(every, allowMissingColumns=True).write.parquet(f"{self.folder}/bases/{name}")
+        for batch, (data, _) in self._commits().items():
+            if batch in old:
+                self._delete(f"commits/{batch}")
+                self._delete(f"data/{data}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -127,6 +129,44 @@ def test_merges_one_by_one_agree(odd):
     assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
 
 
+@pytest.mark.parametrize("least", [2, 10])
+def test_merges_by_rank_agree(monkeypatch, least):
+    monkeypatch.setattr(sp_codec, "_LONG_WORD", least)
+    v = sp_codec.codec(SP).vocabulary
+    rng = np.random.default_rng(9)
+    for symbols in (v.char_symbols[rng.integers(0, len(v.char_symbols), 6000)], v.char_symbols[np.searchsorted(v.chars, rng.choice([ord(c) for c in "aeinrst"], 6000))]):
+        word = np.sort(rng.integers(0, 200, 6000))
+        a, b = v.merge(symbols.copy(), word.copy()), v.merge(symbols.copy(), word.copy(), one=True)
+        assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
+
+
+def test_order_of_merges_that_matters():
+    """abc is a piece by a + bc, which ranks before ab: ab + c must win at once, before the next ab is merged."""
+    v = copy.copy(sp_codec.codec(SP).vocabulary)
+    a, b, c, ab, bc, abc, abca = range(7)
+    found = sorted([(a << 32 | b, 5, ab), (ab << 32 | c, 2, abc), (abc << 32 | a, 1, abca)])
+    v.pairs, v.rank, v.whole = (np.array(x, np.int64) for x in zip(*found, strict=True))
+    v.known = {}
+    symbols, word = np.array([a, b, c, a, b, c, a, b] * 50), np.zeros(400, np.int64)
+    want = v.merge(symbols.copy(), word, one=True)[0].tolist()
+    assert want[:4] == [abca, b, c, ab]
+    assert v.merge(symbols[:8].copy(), word[:8])[0].tolist() == v.merge(symbols[:8].copy(), word[:8], one=True)[0].tolist() and v.merge(symbols.copy(), word)[0].tolist() == want
+
+
+def test_long_unbroken_texts():
+    """Exact, and in time that grows about as the text does."""
+    library, own = sentencepiece.SentencePieceProcessor(model_file=SP), sp_codec.codec(SP)
+    rng = np.random.default_rng(10)
+    took = []
+    for n in (50_000, 400_000):
+        text = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n))
+        began = time.process_time()
+        (ids,) = own.encode([text])
+        took.append(time.process_time() - began)
+        assert ids.tolist() == [*library.encode(text), library.eos_id()]
+    assert took[1] < 24 * took[0]
+
+
 def test_op2(spark, documents):
     library = sentencepiece.SentencePieceProcessor(model_file=SP)
     got = {r["doc_id"]: r for r in queries.op2_sentencepiece(spark, SF).collect()}
@@ -242,16 +282,14 @@ def test_op5(spark, documents):
 
 def test_rollup_batches(spark, odd, tmp_path):
     rollup = token_rollup.Rollup(spark, str(tmp_path))
-    assert rollup.names() == [] and rollup.totals().collect() == []
+    assert rollup.names().collect() == [] and rollup.totals().collect() == []
     counts = token_rollup.count_tokens(odd, BYTE, "v1")
     assert counts.count() == odd.count()
     total = counts.agg(F.sum("n_tokens")).first()[0]
     assert rollup.commit("a", token_rollup.signed(counts, 1)) and not rollup.commit("a", token_rollup.signed(counts, 1))
     assert rollup.totals().agg(F.sum("n_docs"), F.sum("n_tokens")).first()[:] == (odd.count(), total)
-    # a batch that was left half-way has no success mark: it does not count, and is written anew
-    token_rollup.signed(counts, 1).write.parquet(f"{tmp_path}/batches/batch=b")
-    (tmp_path / "batches" / "batch=b" / "_SUCCESS").unlink()
-    assert rollup.names() == ["a"]
+    with pytest.raises(ValueError, match="other rows"):
+        rollup.commit("a", token_rollup.signed(counts, -1))
     new = counts.withColumn("tokenizer_version", F.lit("v2")).withColumn("n_tokens", F.col("n_tokens") + 1)
     assert rollup.commit("b", token_rollup.revised(counts, new))
     assert {r["tokenizer_version"] for r in rollup.totals().collect()} == {"v2"}
@@ -261,3 +299,56 @@ def test_rollup_batches(spark, odd, tmp_path):
         rollup.commit("../x", token_rollup.signed(counts, 1))
     bare = token_rollup.count_tokens(odd.select("doc_id", "text"), BYTE, "v1")
     assert bare.first()["source"] is None and token_rollup.count_tokens(odd.limit(0), BYTE, "v1").count() == 0
+
+
+def _change(spark, n, source="s"):
+    return spark.createDataFrame([(source, "en", "v", 1, n, n)], token_rollup.SCHEMA)
+
+
+def _tokens(rollup):
+    return sum(r["n_tokens"] for r in rollup.totals().collect())
+
+
+def test_rollup_keeps_totals(spark, tmp_path):
+    """Batches move into a base; totals, names, repeats and conflicts are the same before and after."""
+    rollup = token_rollup.Rollup(spark, str(tmp_path), compact_every=3)
+    for k in range(7):
+        assert rollup.commit(f"b{k}", _change(spark, 10**k))
+    assert _tokens(rollup) == 1_111_111 and len(rollup.pending()) == 1
+    assert sorted(r["batch"] for r in rollup.names().collect()) == [f"b{k}" for k in range(7)]
+    assert len(list((tmp_path / "commits").glob("b*"))) < 7  # those of the base before are gone
+    assert not rollup.commit("b0", _change(spark, 1)) and not rollup.commit("b6", _change(spark, 10**6))
+    with pytest.raises(ValueError, match="other rows"):
+        rollup.commit("b0", _change(spark, 2))
+    assert _tokens(rollup) == 1_111_111
+
+
+def test_rollup_after_a_crash(spark, tmp_path):
+    rollup = token_rollup.Rollup(spark, str(tmp_path))
+    rollup.commit("a", _change(spark, 1))
+    _change(spark, 50).write.parquet(f"{tmp_path}/data/left")  # no commit file came of it
+    (tmp_path / "commits" / "b").write_text("")  # created, not written
+    rollup.compact()
+    whole = next((tmp_path / "bases").iterdir())
+    broken = tmp_path / "bases" / "000000009-x"  # a base that was not written to its end
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(next(whole.glob("part-*.parquet")).read_bytes())
+    assert _tokens(rollup) == 1 and rollup.pending() == []
+    assert rollup.commit("b", _change(spark, 3)) and _tokens(rollup) == 4
+
+
+def test_two_committers(spark, tmp_path, monkeypatch):
+    one, two = (token_rollup.Rollup(spark, str(tmp_path)) for _ in range(2))
+    claim = one._claim
+
+    def late(batch, data, own):  # the other one commits between this one's write and its claim
+        two.commit("a", _change(spark, 5))
+        return claim(batch, data, own)
+
+    monkeypatch.setattr(one, "_claim", late)
+    assert not one.commit("a", _change(spark, 5)) and _tokens(one) == 5
+    two = token_rollup.Rollup(spark, str(tmp_path / "other"))
+    one.folder = two.folder
+    with pytest.raises(ValueError, match="other rows"):
+        one.commit("a", _change(spark, 6))
+    assert _tokens(two) == 5
