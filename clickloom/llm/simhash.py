@@ -7,7 +7,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, MapType, VariantType
 
 from clickloom.llm.components import Forest, connected_components
 from clickloom.llm.shared import cut, fresh_names
@@ -187,12 +187,14 @@ def group_fingerprints(marked: DataFrame, hot_block: int = HOT_BLOCK) -> DataFra
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without their near-duplicates: of each component the row with the least id stays.
 
-    Of repeated rows (equal id and text) one stays; of rows with one id and different texts that are linked, the
-    one with the least text hash. A null id counts as larger than any. All columns of docs come back unchanged.
+    Of repeated rows (equal id and text) one stays, where other columns differ the one whose columns have the least
+    hash; of rows with one id and different texts that are linked, the one with the least text hash. A null id counts
+    as larger than any. All columns of docs come back unchanged.
     """
     i, h, n = fresh_names(docs, "keep_id", "keep_hash", "keep_row")
     whole_id, hash_of = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.col(text_col), F.col(text_col).isNull())
     marked = cut(docs.select(F.struct(whole_id.alias("i"), hash_of.alias("h")).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
     stay = group_fingerprints(marked).select(F.col("component_id.i").alias(i), F.col("component_id.h").alias(h)).distinct()
-    first = Window.partitionBy(i, h).orderBy(F.lit(0))
+    hashed = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]  # the others have no hash
+    first = Window.partitionBy(i, h).orderBy(F.xxhash64(*hashed))
     return docs.withColumns({i: whole_id, h: hash_of}).join(stay, [i, h]).withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*docs.columns)

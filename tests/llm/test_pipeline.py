@@ -49,3 +49,11 @@ def test_run(spark):
 def test_keep_one_is_used(spark):
     rows = spark.createDataFrame([(2, "a b c d"), (1, "a b c d"), (1, "a b c d")], "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.keep_one(rows).collect()] == [1]
+
+
+def test_keep_one_takes_the_same_row_however_rows_come(spark):
+    rows = [(1, "a b c d", k, f"s{k}") for k in range(40)]
+    found = []
+    for n, order in ((1, rows), (7, rows[::-1])):
+        found.append(simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, n_chars long, source string").repartition(n)).collect())
+    assert found[0] == found[1] and len(found[0]) == 1
