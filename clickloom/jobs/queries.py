@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions.columns import join_items
+from clickloom.jobs import run, sinks
 from clickloom.jobs.sinks import ledger_rows as as_ledger
 from clickloom.operators import covisit, evaluate, fuse, prepare, recommend, sweep
 from clickloom.schema import EVENT_TYPES, RECALL_WEIGHTS, VARIANTS, variant
-from clickloom.sources.events import events_as_sessions, orders_as_sessions
+from clickloom.sources.events import events_as_sessions, fingerprint, orders_as_sessions, read_events, read_table
+from clickloom.sources.shared import fresh_folder
 
 #: Between history and truth in the evaluation queries: 2024-01-21, in ms.
 CUT = 1_705_795_200_000
@@ -198,11 +200,88 @@ def ranker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.ranker_rows(_fused(_history(spark, sf_dir)).select("session", "aid", "best_score"), labels, EVENT_TYPES)
 
 
+def _stored(spark: SparkSession, events: DataFrame) -> str:
+    """A new folder with events as an input of two shards: even sessions to train on, odd ones behind them."""
+    folder = fresh_folder(spark, "jobs")
+    for name, rest in (("train_parquet/a", 0), ("test_parquet/b", 1)):
+        events.where(F.pmod("session", F.lit(2)) == rest).write.parquet(f"{folder}/in/{name}.parquet")
+    return folder
+
+
+def read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first shard of a stored input."""
+    return read_events(spark, f"{_stored(spark, _events(spark, sf_dir))}/in", max_shards=1)
+
+
+def read_shards_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shards of an input whose types are codes, with names."""
+    code = F.when(F.col("type") == EVENT_TYPES[0], 0).when(F.col("type") == EVENT_TYPES[1], 1).otherwise(2)
+    folder = _stored(spark, _events(spark, sf_dir).withColumn("type", code.cast("tinyint")))
+    return prepare.with_type_names(read_events(spark, f"{folder}/in"))
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of two variants, as the job writes it and the next one reads it."""
+    folder = _stored(spark, _events(spark, sf_dir))
+    run.build_index(spark, f"{folder}/in", folder, [variant("base"), variant("v14")])
+    index = sinks.read_index(spark, f"{folder}/index")
+    return index.select("variant", "aid_key", join_items(F.col("candidates")).alias("candidates"), join_items(F.col("scores")).alias("scores"))
+
+
+def stored_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parameters that the index job keeps beside the index, of each variant."""
+    folder = _stored(spark, _events(spark, sf_dir))
+    run.build_index(spark, f"{folder}/in", folder, [variant("base"), variant("v14")])
+    found = spark.read.schema("variants array<struct<name:string,clicks:int,carts:int,orders:int,lookback:int,topk:int,recent:boolean>>, max_shards int").json(f"{folder}/metadata")
+    return found.select(F.explode("variants").alias("v"), "max_shards").select("v.*", "max_shards")
+
+
+def cached_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recent items from the cache of the prediction job; other events on the same files are not looked at."""
+    events, folder = _events(spark, sf_dir), _stored(spark, _events(spark, sf_dir))
+    source = fingerprint(spark, f"{folder}/in")
+    sinks.cached_recent_items(read_events(spark, f"{folder}/in"), f"{folder}/sessions", 20, source)
+    found = sinks.cached_recent_items(events.where("session < 0"), f"{folder}/sessions", 20, source)
+    return found.select("session", join_items(F.col("recent_aids")).alias("recent_aids"))
+
+
+def _submitted(spark: SparkSession, history: DataFrame) -> str:
+    """The folder of a stored input, with its index and submission."""
+    folder = _stored(spark, history)
+    run.build_index(spark, f"{folder}/in", folder, [variant("base")])
+    run.predict(spark, f"{folder}/in", folder, folder)
+    return folder
+
+
+def stored_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submission file of the prediction job, read back."""
+    return spark.read.option("header", True).schema("session_type string, labels string, variant string").csv(f"{_submitted(spark, _events(spark, sf_dir))}/submission")
+
+
+def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions from a CSV file, as the evaluation reads them."""
+    folder = _submitted(spark, _history(spark, sf_dir))
+    stored = spark.read.option("header", True).csv(f"{folder}/submission").select("session_type", "labels")
+    stored.write.option("header", True).csv(f"{folder}/guess.csv")
+    rows = evaluate.normalize_predictions(read_table(spark, f"{folder}/guess.csv"))
+    return rows.select("session_type", join_items(F.col("items")).alias("items"))
+
+
+def stored_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics that the evaluation job writes for a submission file against labels in a Parquet file."""
+    folder = _submitted(spark, _history(spark, sf_dir))
+    spark.read.option("header", True).csv(f"{folder}/submission").select("session_type", "labels").write.option("header", True).csv(f"{folder}/guess.csv")
+    _truth(spark, sf_dir).write.parquet(f"{folder}/truth.parquet")
+    run.run_evaluate(spark, f"{folder}/guess.csv", f"{folder}/truth.parquet", folder)
+    return spark.read.schema("event_type string, hits bigint, targets bigint, rows bigint, weight double, recall double").json(f"{folder}/recall")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (session_events, unknown_types, type_weights, recent_threshold, recent_events, ordered_events, covisit_pairs_l2)
     more = (
         covisit_scores_lineitem, merge_scores, covisit_topk_100, covisit_topk_300, candidate_index, recent_items, predictions, predictions_lineitem, submission_rows,
         normalized_predictions, normalized_labels, recall_by_type, overall_recall, folded_sweep_scores, sweep_predictions, variant_leaderboard, ledger_rows, fused_candidates, ranker_rows,
+        read_shards, read_shards_by_code, stored_index, stored_metadata, cached_sessions, stored_submission, stored_predictions, stored_metrics,
     )
     scores = {f"covisit_scores_{n}": _scores(n) for n in ("base", "v12", "v13", "v14", "v15", "v16", "v17", "v18")}
     return {f.__name__: f for f in plain} | scores | {f.__name__: f for f in more}
@@ -299,6 +378,17 @@ def oracle_sql() -> dict[str, str]:
     out["folded_sweep_scores"] = f"WITH {_EV}, {every} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, * FROM s_{n}" for n in VARIANTS)
     boards = ", ".join(f"{_scores_sql(n, 'hist', f's_{n}')}, {_top_sql(v.topk, f's_{n}', f't_{n}')}, {_guess_sql(f't_{n}', f'g_{n}')}, {_recall_sql(f'g_{n}', f'r_{n}')}" for n, v in VARIANTS.items())
     out["variant_leaderboard"] = f"WITH {_EV}, {_HISTORY}, {_TRUTH}, {_TYPES}, {_recent_sql('hist')}, {boards} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, {_overall_sql(f'r_{n}')}" for n in VARIANTS)
+    two = ("base", "v14")
+    ranked = ", ".join(f"{_scores_sql(n, 'ev', f's_{n}')}, {_top_sql(100, f's_{n}', f't_{n}')}" for n in two)
+    lists = f"""{items("aid_future", '"rank"')} AS candidates, {items("score", '"rank"')} AS scores"""
+    out["read_shards"] = f"WITH {_EV} SELECT session, aid, ts, type FROM ev WHERE session % 2 = 0"
+    out["read_shards_by_code"] = out["session_events"]
+    out["stored_index"] = f"WITH {_EV}, {ranked} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, aid_key, {lists} FROM t_{n} GROUP BY aid_key" for n in two)
+    named = ", ".join(f"('{n}', {VARIANTS[n].clicks}, {VARIANTS[n].carts}, {VARIANTS[n].orders}, {VARIANTS[n].lookback}, {VARIANTS[n].topk}, {VARIANTS[n].recent})" for n in two)
+    out["stored_metadata"] = f"WITH {_EV} SELECT v.*, CAST(NULL AS INTEGER) AS max_shards FROM (VALUES {named}) AS v(name, clicks, carts, orders, lookback, topk, recent) WHERE EXISTS (SELECT 1 FROM ev)"
+    out["cached_sessions"] = out["recent_items"]
+    out["stored_submission"] = f"SELECT *, 'base' AS variant FROM ({out['submission_rows']})"
+    out["stored_predictions"], out["stored_metrics"] = out["normalized_predictions"], out["recall_by_type"]
     three = ("v12", "v14", "v17")
     lists = ", ".join(f"{_scores_sql(n, 'hist', f's_{n}')}, {_top_sql(VARIANTS[n].topk, f's_{n}', f't_{n}')}, {_guess_sql(f't_{n}', f'g_{n}')}" for n in three)
     out["sweep_predictions"] = f"WITH {_EV}, {_HISTORY}, {_recent_sql('hist')}, {lists} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, session, {items()} AS labels FROM g_{n} GROUP BY session" for n in three)
