@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import bitpack, embed_dedup, licenses, packing, pii, quality_cnn, quality_rules, simhash, sp_codec, token_rollup
-from clickloom.llm.shared import cut, shared_folder, table
+from clickloom.llm.shared import cut, table
+from clickloom.sources.shared import fresh_folder
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: inserts of words counted with one tokenizer, the other's inserts, the deletion of
     documents without text, and a revision of the second tokenizer's version name. A repeated commit adds nothing."""
     docs = table(spark, sf_dir, "documents")
-    rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = token_rollup.Rollup(spark, fresh_folder(spark, "rollup"))
     counts = {kind: cut(token_rollup.count_tokens(docs, public_tokenizers.path(file), file.removesuffix(".json"))) for kind, file in (("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json"))}
     draft = counts["word"].withColumn("tokenizer_version", F.concat("tokenizer_version", F.lit("-draft")))
     rollup.commit("insert-byte", token_rollup.signed(counts["byte"], 1))
@@ -52,7 +52,7 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "tokens")
     bitpack.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 49_408, 2)
     return bitpack.read_tokens(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.sources.shared import shared_folder
+
 #: White space of the word rules: U+0020 and U+0009 to U+000D.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 #: Bytes of text that a Python task turns into objects at a time.
@@ -32,21 +33,6 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 yield batch.slice(begin, end - begin)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder: the one that spark.checkpoint.dir names.
-
-    Where the session names none, one is made on a single machine, as in tests; on a cluster that is an error, as
-    executors would not see a folder of the driver's.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)

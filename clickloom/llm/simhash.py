@@ -194,7 +194,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     i, h, n = fresh_names(docs, "keep_id", "keep_hash", "keep_row")
     whole_id, hash_of = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.col(text_col), F.col(text_col).isNull())
     marked = cut(docs.select(F.struct(whole_id.alias("i"), hash_of.alias("h")).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
-    stay = group_fingerprints(marked).select(F.col("component_id.i").alias(i), F.col("component_id.h").alias(h)).distinct()
+    rows = group_fingerprints(marked).groupBy("id").agg(F.max(F.col("component_id") == F.col("id")).alias("leads"), F.count("*").alias("n"))
+    # decided on narrow rows: whole documents only meet what goes, and the few repeated ones each other
+    rows = cut(rows.where("NOT leads OR n > 1").select(F.col("id.i").alias(i), F.col("id.h").alias(h), "leads"))
+    named = docs.withColumns({i: whole_id, h: hash_of})
     hashed = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]  # the others have no hash
     first = Window.partitionBy(i, h).orderBy(F.xxhash64(*hashed))
-    return docs.withColumns({i: whole_id, h: hash_of}).join(stay, [i, h]).withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*docs.columns)
+    repeated = named.join(rows.where("leads").select(i, h), [i, h], "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1)
+    return named.join(rows.select(i, h), [i, h], "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
