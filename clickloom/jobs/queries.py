@@ -229,11 +229,12 @@ def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parameters that the index job keeps beside the index, of each variant."""
+    """The parameters that the index job keeps beside the index, of each variant, with the number of its keys."""
     folder = _stored(spark, _events(spark, sf_dir))
     run.build_index(spark, f"{folder}/in", folder, [variant("base"), variant("v14")])
-    found = spark.read.schema("variants array<struct<name:string,clicks:int,carts:int,orders:int,lookback:int,topk:int,recent:boolean>>, max_shards int").json(f"{folder}/metadata")
-    return found.select(F.explode("variants").alias("v"), "max_shards").select("v.*", "max_shards")
+    found = spark.read.schema("variants array<struct<name:string,clicks:int,carts:int,orders:int,lookback:int,topk:int,recent:boolean>>").json(f"{folder}/metadata")
+    keys = sinks.read_index(spark, f"{folder}/index").groupBy(F.col("variant").alias("name")).agg(F.count("*").alias("n_keys"))
+    return found.select(F.explode("variants").alias("v")).select("v.*").join(keys, "name")
 
 
 def cached_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +386,7 @@ def oracle_sql() -> dict[str, str]:
     out["read_shards_by_code"] = out["session_events"]
     out["stored_index"] = f"WITH {_EV}, {ranked} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, aid_key, {lists} FROM t_{n} GROUP BY aid_key" for n in two)
     named = ", ".join(f"('{n}', {VARIANTS[n].clicks}, {VARIANTS[n].carts}, {VARIANTS[n].orders}, {VARIANTS[n].lookback}, {VARIANTS[n].topk}, {VARIANTS[n].recent})" for n in two)
-    out["stored_metadata"] = f"WITH {_EV} SELECT v.*, CAST(NULL AS INTEGER) AS max_shards FROM (VALUES {named}) AS v(name, clicks, carts, orders, lookback, topk, recent) WHERE EXISTS (SELECT 1 FROM ev)"
+    out["stored_metadata"] = f"WITH {_EV}, {ranked}, sizes AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(DISTINCT aid_key) AS n_keys FROM t_{n}" for n in two) + f") SELECT v.*, n_keys FROM (VALUES {named}) AS v(name, clicks, carts, orders, lookback, topk, recent) JOIN sizes USING (name)"
     out["cached_sessions"] = out["recent_items"]
     out["stored_submission"] = f"SELECT *, 'base' AS variant FROM ({out['submission_rows']})"
     out["stored_predictions"], out["stored_metrics"] = out["normalized_predictions"], out["recall_by_type"]
