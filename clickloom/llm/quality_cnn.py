@@ -22,6 +22,7 @@ WIDTH, BLOCK, FILTERS, EMBEDDING = 8, 256, 32, 8
 #: most; rows of texts over LONGEST bytes are not drawn.
 SAMPLE, SAMPLE_BYTES, LONGEST = 1000, 1 << 24, 1 << 20
 THRESHOLD = 0.3
+LEAST_STEPS = 300
 _SLAB, _SLAB_CHUNKS = 1 << 18, 512
 
 
@@ -152,7 +153,10 @@ def start(prior: float, rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 
 def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 10, seed: int = 7) -> Model:
-    """Fit by Adam; the arguments are those of loss_and_gradient for all documents."""
+    """Fit by Adam; the arguments are those of loss_and_gradient for all documents. Few documents are seen more often
+    than epochs times, so that there are LEAST_STEPS steps."""
+    batches = max(1, len(label) // 48)
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
     rng = np.random.default_rng(seed)
     p = start(float((label * weight).sum() / weight.sum()), rng)
     first = {k: np.zeros_like(v) for k, v in p.items()}
@@ -161,7 +165,7 @@ def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, label: np.
     step = 0
     for epoch in range(epochs):
         rate = 0.01 * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
-        for batch in np.array_split(rng.permutation(len(label)), max(1, len(label) // 48)):
+        for batch in np.array_split(rng.permutation(len(label)), batches):
             rows = np.concatenate([by_doc[d] for d in batch])
             mine = np.repeat(np.arange(len(batch)), [len(by_doc[d]) for d in batch])
             _, grad = loss_and_gradient(p, chunks[rows], lengths[rows], mine, label[batch], weight[batch])
@@ -197,9 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The sample is the rows with the least hash of their id among those that docs has, as long as their texts have
     SAMPLE_BYTES bytes together; texts over LONGEST bytes are not drawn. Of rows with one id the text of the least hash
-    counts, so that at most 2 * SAMPLE rows and 2 * SAMPLE_BYTES bytes reach the driver. Classes are weighted by their
-    share of all labelled rows that docs has, so that scores are probabilities at that share. Only the text is an
-    input. Rows with a null id or label are not learned from; labels of one class alone give a constant score.
+    counts, so that at most 2 * SAMPLE rows and 2 * SAMPLE_BYTES bytes reach the driver. Both classes weigh the same,
+    however few rows one has, so that scores are probabilities at equal shares. Only the text is an input. Rows with a null id or label are not learned from; labels of one class alone give a constant score.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("label").alias("label"))
@@ -220,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows.sort(key=lambda r: r["id"])
     parts = [chunks_of((r["text"] or "").encode()) for r in rows]
     label = np.array([r["label"] for r in rows], np.float64)
-    weight = np.where(label == 1, totals[1] / (label == 1).sum(), totals[0] / (label == 0).sum())
+    weight = np.where(label == 1, 1 / (label == 1).sum(), 1 / (label == 0).sum())
     owner = np.repeat(np.arange(len(rows)), [len(x) for x, _ in parts])
     chunks = np.frombuffer(b"".join(c for x, _ in parts for c in x), np.uint8).reshape(len(owner), -1)
     return train(chunks, np.array([n for _, x in parts for n in x]), owner, label, weight)
