@@ -81,11 +81,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, vocabulary_size: i
 
     vocabulary: a tokenizers file that every executor can read. Null ids come first, and rows of one id in the order
     of a hash of their text; a null or empty text is end_id alone; an empty table gives files without blocks. Texts
-    are dealt out by ranges of (id, hash), so that no range holds one hot id whole.
+    are dealt out by ranges of (id, hash, place in the input), so that no range holds one hot id whole, nor all copies
+    of one row. They are encoded behind that shuffle: packed ids are no smaller than the compressed texts.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    ordered = own.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("place"), F.col(text_col).alias("text"))
+    ordered = own.repartitionByRange(n, "id", "h", "place").sortWithinPartitions("id", "h").select("id", "text")
     ordered.mapInArrow(_block_writer(vocabulary, end_id, width_of(vocabulary_size)), _SCHEMA).write.parquet(path)
 
 

@@ -209,6 +209,15 @@ def test_token_files_edges(spark, odd, tmp_path):
         assert ids == sorted(ids) and all(r["id"] is None for r in rows[: len(rows) - len(ids)])
 
 
+def test_copies_of_one_row_are_dealt_out(spark, tmp_path):
+    docs = spark.range(0, 4000, 1, 8).selectExpr("7L AS doc_id", "'the same words' AS text")
+    bitpack.write_tokens(docs, str(tmp_path / "t"), WORDS, 49_408, 2)
+    files = [r["n"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy("file").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert sum(files) == 4000 and len(files) > 1 and max(files) < 2500
+    rows = bitpack.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r["start"] for r in rows] == list(range(0, 4 * 4000, 4))
+
+
 def _check_packing(rows, texts):
     """rows by id, piece; texts: (id, text), ids distinct."""
     whole, by_id, sequences = _library(BYTE), {}, {}
