@@ -283,7 +283,7 @@ def _fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def _components(fps):
+def _components(fps, budget=3):
     root = list(range(len(fps)))
 
     def find(i):
@@ -293,7 +293,7 @@ def _components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if (fps[i] ^ fps[j]).bit_count() <= budget:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(fps))]
@@ -312,6 +312,71 @@ def test_simhash(spark, odd, some):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def _wide(text):
+    """The wide fingerprint as one number of 256 bits."""
+    words = WORD.findall(_lower(text or ""))
+    shingles = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+    first, full, out = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles], (1 << 64) - 1, 0
+    for k in range(4):
+        lane = []
+        for z in first:
+            if k:
+                z = (z + k * 0x9E3779B97F4A7C15) & full
+                z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & full
+                z = ((z ^ z >> 27) * 0x94D049BB133111EB) & full
+                z ^= z >> 31
+            lane.append(z)
+        out = out << 64 | sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in lane) > len(lane))
+    return out
+
+
+def _near_copies(rng, words, changed):
+    """A text of random words and copies of it, each with so many words changed one by one."""
+    base = rng.integers(0, 10_000, words)
+    out = [base]
+    for n in changed:
+        copy = base.copy()
+        copy[rng.choice(words, n, replace=False)] = rng.integers(10_000, 20_000, n)
+        out.append(copy)
+    return [" ".join(f"w{x}" for x in t) for t in out]
+
+
+def _wide_groups(spark, texts, **options):
+    marked = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", simhash.wide_fingerprint_udf("text").alias("fp"))
+    return {r["id"]: r["component_id"] for r in simhash.group_wide(marked, **options).collect()}
+
+
+def test_wide_rule(spark, odd, some):
+    """One bucket, or one in tiles: all pairs as by brute force. More buckets: nothing else, and nearly all of them."""
+    rng = np.random.default_rng(31)
+    texts = [r["text"] for r in some.limit(120).collect()] + [r["text"] for r in odd.collect()]
+    texts += [t for _ in range(12) for t in _near_copies(rng, 200, (1, 3, 6, 9, 12, 20))]
+    fps = [_wide(t) for t in texts]
+    roots = _components(fps, simhash.WIDE_BUDGET)
+    want = dict(enumerate(roots))
+    assert len(set(roots)) < len(texts) - 30
+    assert _wide_groups(spark, texts, cell=1 << 20) == want
+    assert _wide_groups(spark, texts, cell=1 << 20, hot_block=30) == want
+    some_found = _wide_groups(spark, texts, cell=8)
+    assert all(want[c] == want[i] for i, c in some_found.items())
+    assert sum(some_found[i] == c for i, c in want.items()) >= 0.97 * len(texts)
+    assert [simhash.wide_fingerprint(t) for t in texts] == [[f >> 64 * k & ((1 << 64) - 1) for k in (3, 2, 1, 0)] for f in fps]
+    assert simhash.keep_one(odd.limit(0), wide=True).count() == 0
+
+
+def test_near_copies_are_found_and_others_stay(spark):
+    """Five-word similarities of 0.8 and more against at most a half, in 3,000 texts."""
+    rng = np.random.default_rng(32)
+    texts = [t for _ in range(1000) for t in _near_copies(rng, 240, (int(rng.integers(1, 6)),))]  # a changed word costs five shingles
+    for _ in range(500):  # half of the words in common
+        a, b = (rng.integers(0, 10_000, 240) for _ in range(2))
+        b[:120] = a[:120]
+        texts += [" ".join(f"w{x}" for x in t) for t in (a, b)]
+    found = _wide_groups(spark, texts)
+    assert np.mean([found[2 * i + 1] == 2 * i for i in range(1000)]) >= 0.95
+    assert all(found[i] == i for i in range(2000, 3000))
+
+
 def test_links_of_hot_blocks(spark):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
