@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.llm import pii, quality_cnn, quality_rules, simhash
-from tests.llm.test_text import _components, _fingerprint
+from tests.llm.test_text import _components, _wide
 from tests.llm.test_tokens import _check_packing
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -30,7 +30,7 @@ def test_stages(spark, tmp_path):
             assert after == {r["id"]: before[r["id"]] for r in scores if r["score"] >= quality_cnn.THRESHOLD}
         elif k == 2:
             ids = sorted(before)
-            roots = _components([_fingerprint(before[i]["text"]) for i in ids])
+            roots = _components([_wide(before[i]["text"]) for i in ids], simhash.WIDE_BUDGET)
             assert after == {ids[c]: before[ids[c]] for c in set(roots)}
         else:
             assert after.keys() == before.keys()
