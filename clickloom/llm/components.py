@@ -25,6 +25,12 @@ class Forest:
             while (root[root] != root).any():
                 root[:] = root[root]
 
+    def connects(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        """For pairs of ranges of places: whether all places of both reach one."""
+        root = self.root
+        steps = np.concatenate(([0], np.cumsum(root[1:] != root[:-1])))
+        return (steps[a1 - 1] == steps[a0]) & (steps[b1 - 1] == steps[b0]) & (root[a0] == root[b0])
+
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         """Each place that reaches a lesser one, with the least."""
         moved = np.flatnonzero(self.root != np.arange(len(self.root)))

@@ -86,14 +86,14 @@ def _wide_fingerprints(texts: pd.Series) -> pd.Series:
 wide_fingerprint_udf = F.pandas_udf(_wide_fingerprints, ArrayType(LongType()))
 
 
-def trie_pieces(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = BUDGET, fresh: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pieces(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = BUDGET, known: Callable[..., np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of pairs of one group whose keys differ in at most budget bits, piece by piece.
 
     keys: uint64, or rows of several, rising and distinct inside a group; group: one value a row, equal ones together.
     Members of a group agree in the first depth bits of their keys. A trie node is a range of the sorted keys. All
     groups start as pairs (node, itself) at that depth; one step takes each pair to the pairs of its children, adds a
     bit to the differences where the two sides part, and drops pairs over the budget. Pairs of single keys are decided
-    at once; fresh may spare some of them. Where even the largest difference that is left fits the budget, all keys of
+    at once. known tells which pairs of ranges need no look, as all their keys are connected by now. Where even the largest difference that is left fits the budget, all keys of
     both nodes hang on the first one: enough for components. Pairs wait on a stack in pieces of bounded size, the
     deepest first.
     """
@@ -109,12 +109,12 @@ def trie_pieces(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = B
             half = len(a0) // 2
             stack += [(depth, *(x[part] for x in (a0, a1, b0, b1, err))) for part in (slice(half), slice(half, None))]
             continue
+        if known:
+            new = ~known(a0, a1, b0, b1)
+            a0, a1, b0, b1, err = (x[new] for x in (a0, a1, b0, b1, err))
         same = a0 == b0
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
         i, j = a0[single & ~same], b0[single & ~same]
-        if fresh:
-            new = fresh(i, j)
-            i, j = i[new], j[new]
         hit = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1) <= budget
         yield i[hit], j[hit]
         whole = ~single & (err + total - depth <= budget)
@@ -253,7 +253,7 @@ def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         lanes = rows.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
         order = np.lexsort((*lanes.T[::-1], group))
         lanes, node, forest = lanes[order], rows.column("node").to_numpy()[order], Forest(len(order))
-        for i, j in trie_pieces(lanes, group, 0, WIDE_BUDGET, lambda i, j: forest.root[i] != forest.root[j]):
+        for i, j in trie_pieces(lanes, group, 0, WIDE_BUDGET, forest.connects):
             forest.add(i, j)
         a, b = forest.stars()
         return pa.RecordBatch.from_pydict({"a": node[a], "b": node[b]})

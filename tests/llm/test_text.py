@@ -364,6 +364,30 @@ def test_wide_rule(spark, odd, some):
     assert simhash.keep_one(odd.limit(0), wide=True).count() == 0
 
 
+def test_connected_ranges_are_spared(spark):
+    """4,000 near copies among other texts in one bucket: few pairs are looked at, and all hang together."""
+    rng = np.random.default_rng(33)
+    base = rng.integers(0, 1 << 63, simhash.LANES, dtype=np.uint64)
+    copies = np.repeat(base[None, :], 4000, axis=0)
+    for row in copies:
+        for b in rng.integers(0, 256, 15):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    lanes = np.unique(np.concatenate((copies, rng.integers(0, 1 << 63, (200, simhash.LANES), dtype=np.uint64))), axis=0)
+    forest, looked = simhash.Forest(len(lanes)), 0
+
+    def known(a0, a1, b0, b1):
+        nonlocal looked
+        out = forest.connects(a0, a1, b0, b1)
+        looked += int((~out & (a1 - a0 == 1) & (b1 - b0 == 1)).sum())
+        return out
+
+    for i, j in simhash.trie_pieces(lanes, np.zeros(len(lanes), np.int64), 0, simhash.WIDE_BUDGET, known):
+        forest.add(i, j)
+    near = np.bitwise_count(lanes ^ base).sum(axis=1) <= 15
+    assert len(set(forest.root[near].tolist())) == 1 and len(set(forest.root.tolist())) == 201
+    assert looked < len(lanes) ** 2 // 6
+
+
 def test_near_copies_are_found_and_others_stay(spark):
     """Five-word similarities of 0.8 and more against at most a half, in 3,000 texts."""
     rng = np.random.default_rng(32)
