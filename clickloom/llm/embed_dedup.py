@@ -142,8 +142,8 @@ def _join_tiles(cosine: float):
             return
         rows = rows.take(pa.array(np.argsort(rows.column("node").to_numpy(), kind="stable")))
         node, copies, side = (rows.column(c).to_numpy() for c in ("node", "copies", "side"))
-        same, grid = rows.column("ta")[0].as_py() == rows.column("tb")[0].as_py(), rows.column("grid")[0].as_py()
-        vectors, where = unit(_matrix(rows.column("vec").combine_chunks())), _matrix(rows.column("cells").combine_chunks())[:, :grid]
+        same = rows.column("ta")[0].as_py() == rows.column("tb")[0].as_py()
+        vectors, where = unit(_matrix(rows.column("vec").combine_chunks())), _matrix(rows.column("cells").combine_chunks())
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         links, forest = np.zeros(len(node), np.int64), Forest(len(node))
@@ -190,7 +190,8 @@ def _dealt(points: DataFrame, cell: int) -> DataFrame:
     own = placed.join(hot, key, "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = (F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return each.select(*key, *pair, "node", "vec", "copies", "cells")
+    earlier = F.slice("cells", F.lit(1), F.col("grid")).alias("cells")  # a pair that one of these holds is not counted again
+    return each.select(*key, *pair, "node", "vec", "copies", earlier)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, cell: int = CELL) -> DataFrame:
