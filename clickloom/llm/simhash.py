@@ -318,7 +318,7 @@ def group_fingerprints(marked: DataFrame, hot_block: int = HOT_BLOCK) -> DataFra
 
 def _named(marked: DataFrame, rooted: DataFrame) -> DataFrame:
     """The rows of marked with the least id of all fingerprints that have one root."""
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # a plain side, so that Spark can split a hot root
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("id", "fp", "component_id")
 
