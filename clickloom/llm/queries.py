@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bitpack, embed_dedup, licenses, packing, pii, quality_cnn, quality_rules, simhash, sp_codec, token_rollup
+from clickloom.llm import bitpack, embed_dedup, licenses, packing, pii, quality_cnn, quality_rules, simhash, sp_codec, token_rollup, winnowing
 from clickloom.llm.shared import cut, table
 from clickloom.sources.shared import fresh_folder
 
@@ -75,8 +75,15 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints as digests of their hashes and places."""
+    found = winnowing.compare_with_edits(table(spark, sf_dir, "documents"))
+    digests = [winnowing.digest(F.col(x)).alias(y) for x, y in (("prints", "fingerprint"), ("edited_prints", "edited_fingerprint"))]
+    return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *digests, "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_quality_cnn, op4_pii, op5_token_rollup, op6_token_files, op7_best_fit_packing, op8_license_scan, op9_embedding_dedup, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_quality_cnn, op4_pii, op5_token_rollup, op6_token_files, op7_best_fit_packing, op8_license_scan, op9_embedding_dedup, op10_simhash_dedup, op13_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
