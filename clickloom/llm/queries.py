@@ -86,8 +86,8 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints as digests of their hashes and places."""
-    found = winnowing.compare_with_edits(table(spark, sf_dir, "documents"))
-    digests = [winnowing.digest(F.col(x)).alias(y) for x, y in (("prints", "fingerprint"), ("edited_prints", "edited_fingerprint"))]
+    found = winnowing.compare_packed(table(spark, sf_dir, "documents"))
+    digests = [winnowing.digest(F.col(x)).alias(y) for x, y in (("packed", "fingerprint"), ("edited_packed", "edited_fingerprint"))]
     return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *digests, "near_edited", "near_next")
 
 

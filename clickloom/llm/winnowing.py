@@ -26,8 +26,9 @@ _REUSE = 200
 def _grams(raw: Column, base: Column) -> Column:
     """Packed hashes of the grams of a text in UTF-32; the first stands at base. A text shorter than a gram is one."""
     last = F.greatest((F.octet_length(raw) / 4).cast("int") - GRAM, F.lit(0))
-    number = lambda i: F.shiftrightunsigned(F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * GRAM))), 32)
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftleft(number(i), _PLACE).bitwiseOR(F.lit((1 << _PLACE) - 1) - i - base))
+    high = F.lit(((1 << 32) - 1) << _PLACE)
+    number = lambda i: F.shiftrightunsigned(F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * GRAM))), 1).bitwiseAND(high)
+    return let(F.lit((1 << _PLACE) - 1) - base, lambda top: F.transform(F.sequence(F.lit(0), last), lambda i: number(i).bitwiseOR(top - i)))
 
 
 def _least(numbers: Column, step: int) -> Column:
@@ -93,15 +94,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts.select("id", F.char_length("text").cast("long").alias("n_chars"), places(winnow(F.col("text"))).alias("prints"))
 
 
-def digest(prints: Column) -> Column:
-    """A short string of fingerprints: equal for equal hashes at equal places."""
-    return F.sha2(F.array_join(F.transform(prints, lambda x: F.concat_ws(":", x["hash"].cast("string"), x["place"].cast("string"))), ","), 256)
+def digest(packed: Column) -> Column:
+    """A short string of packed fingerprints: equal for equal hashes at equal places."""
+    return F.sha2(F.array_join(packed.cast("array<string>"), ","), 256)
 
 
-def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every row of docs, of its edited text, and their likeness to each other and to the next row's.
 
-    Returns (id, n_chars, edited, prints, edited_prints, near_edited, near_next). edited: the last quarter of a text's
+    Returns (id, n_chars, edited, packed, edited_packed, near_edited, near_next). edited: the last quarter of a text's
     code points, rounded down, gives way to as many first ones of the next document's (or all of them, where it has
     fewer). The next document is that of the next greater id, after the last the first; a single one follows itself.
     Null ids come first. Rows of one id follow each other by the hash of their texts, copies in the order in which docs
@@ -131,8 +132,14 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "id",
         F.col("n").cast("long").alias("n_chars"),
         "edited",
-        places(F.col("packed")).alias("prints"),
-        places(F.col("edited_packed")).alias("edited_prints"),
+        "packed",
+        "edited_packed",
         likeness(F.col("packed"), F.col("edited_packed")).alias("near_edited"),
         likeness(F.col("packed"), F.col("next_packed")).alias("near_next"),
     )
+
+
+def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """compare_packed with the fingerprints as arrays of struct(hash, place), prints and edited_prints."""
+    prints = [places(F.col(x)).alias(y) for x, y in (("packed", "prints"), ("edited_packed", "edited_prints"))]
+    return compare_packed(docs, id_col, text_col).select("id", "n_chars", "edited", *prints, "near_edited", "near_next")
