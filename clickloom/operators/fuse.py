@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,15 +15,19 @@ def fuse(sources: Mapping[str, DataFrame]) -> DataFrame:
     sources: the distinct names, sorted and comma-joined.
     """
     tagged = [df.select("session", "aid", F.col("score").cast("double").alias("score"), F.lit(name).alias("source")) for name, df in sources.items()]
+    return fuse_rows(reduce(DataFrame.unionByName, tagged))
+
+
+def fuse_rows(rows: DataFrame) -> DataFrame:
+    """fuse for one table (source, session, aid, score)."""
     names = F.array_sort(F.collect_set("source"))
-    both = reduce(DataFrame.unionByName, tagged)
-    return both.groupBy("session", "aid").agg(F.max("score").alias("best_score"), F.size(F.collect_set("source")).cast("bigint").alias("n_sources"), F.array_join(names, ",").alias("sources"))
+    return rows.groupBy("session", "aid").agg(F.max("score").alias("best_score"), F.size(F.collect_set("source")).cast("bigint").alias("n_sources"), F.array_join(names, ",").alias("sources"))
 
 
-def predictions_as_candidates(predictions: DataFrame) -> DataFrame:
-    """(session, aid, score) from recommendation lists: the score falls from 1 with the place."""
-    placed = predictions.select("session", F.posexplode("items").alias("place", "aid"))
-    return placed.select("session", "aid", (F.lit(1.0) / (F.col("place") + 1)).alias("score"))
+def predictions_as_candidates(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, session, aid, score) from recommendation lists: the score falls from 1 with the place."""
+    placed = predictions.select(*by, "session", F.posexplode("items").alias("place", "aid"))
+    return placed.select(*by, "session", "aid", (F.lit(1.0) / (F.col("place") + 1)).alias("score"))
 
 
 def ranker_rows(candidates: DataFrame, labels: DataFrame, event_types: tuple[str, ...]) -> DataFrame:

@@ -21,7 +21,7 @@ def with_keys(events: DataFrame) -> DataFrame:
 
 
 def recent_threshold(events: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
-    """One row, threshold: the latest time less some days; null for no events."""
+    """One row, threshold: the latest time of all rows, also of those without an item, less some days; null for no events."""
     return events.agg((F.max("ts") - days * DAY_MS).alias("threshold"))
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
+def _literal(value: object) -> Column:
+    return F.struct(*[_literal(v).alias(k) for k, v in value.asDict().items()]) if isinstance(value, Row) else F.lit(value)
+
+
 @dataclass(frozen=True)
 class Ranges:
     """Ranges of rising keys, one after the other: the least key of each, and how many rows come before it."""
@@ -24,20 +28,20 @@ class Ranges:
     def key(self) -> Column:
         return F.struct(*[F.col(k).cast(t).alias(k) for k, t in zip(self.keys, self.types, strict=True)])
 
-    def _literal(self, row: Row) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(k) for k, t, v in zip(self.keys, self.types, row, strict=True)])
+    def _firsts(self) -> Column:
+        return F.array(*[F.struct(*[_literal(v).cast(t).alias(k) for k, t, v in zip(self.keys, self.types, row, strict=True)]) for row in self.starts])
 
     def range_of(self) -> Column:
         """The number of a row's range, from 0, by bisection; -1 below the first one. Nulls come first."""
         if not self.starts:
             return F.lit(-1)
-        firsts, own = F.array(*map(self._literal, self.starts)), self.key()
+        firsts, own = self._firsts(), self.key()
         steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(self).bit_length()))])
         return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(firsts, at + step - 1) <= own, F.lit(False)), at + step).otherwise(at)) - 1
 
     def is_first(self, number: Column) -> Column:
         """Whether a row is the least of range number, its own."""
-        return F.coalesce(F.get(F.array(*map(self._literal, self.starts)), number) == self.key(), F.lit(False)) if self.starts else F.lit(False)
+        return F.coalesce(F.get(self._firsts(), number) == self.key(), F.lit(False)) if self.starts else F.lit(False)
 
     def rows_before(self, number: Column) -> Column:
         return F.get(F.array(*map(F.lit, self.before)).cast("array<bigint>"), number) if self.before else F.lit(None).cast("bigint")

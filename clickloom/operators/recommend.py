@@ -22,14 +22,20 @@ def recent_items(events: DataFrame, topk: int = TOP_ITEMS, ties: Sequence[str] =
     return ranked.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("rank", "aid"))).alias("items")).select("session", F.col("items.aid").alias("recent_aids"))
 
 
+def with_seed(recent: DataFrame) -> DataFrame:
+    """recent with aid_key, the newest item, null for none."""
+    return recent.withColumn("aid_key", F.get("recent_aids", F.lit(0)))
+
+
 def predict(recent: DataFrame, index: DataFrame, topk: int = TOP_ITEMS, by: Sequence[str] = ()) -> DataFrame:
     """(by, session, items): the candidates of the newest item, then the history, each item once, topk at most.
 
-    by: columns of both sides, such as a variant, that must agree. Without history there are no items; without
+    by: columns of both sides, such as a variant, that must agree. recent may have its newest item as aid_key already, as
+    rows stored in buckets by it do; against an index in as many buckets the join then moves nothing. Without history there are no items; without
     candidates there is the history alone. The index is cut to topk before the join; Spark decides at run time
     whether it is small enough to be broadcast.
     """
-    seeds = recent.withColumn("aid_key", F.get("recent_aids", F.lit(0)))
+    seeds = recent if "aid_key" in recent.columns else with_seed(recent)
     short = index.select(*by, "aid_key", F.slice("candidates", 1, topk).alias("candidates"))
     joined = seeds.join(short, [*by, "aid_key"], "left")
     items = F.concat(F.coalesce("candidates", F.array().cast("array<bigint>")), F.coalesce("recent_aids", F.array().cast("array<bigint>")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,29 +12,30 @@ from clickloom.operators import covisit, evaluate, prepare, recommend
 from clickloom.schema import TOP_ITEMS, VARIANTS, Variant
 
 
-def direct_scores(events: DataFrame, v: Variant, threshold: int | Column | None = None, shard_col: str | None = None) -> DataFrame:
-    """Scores of one variant. Where it wants recent events alone and no threshold is given, it is found from events.
-    With shard_col, events pair inside one file only."""
+def direct_scores(events: DataFrame, v: Variant, threshold: int | Column | None = None, shard_col: str | None = None, ties: Sequence[str] = covisit.TIES, longest: int | None = None) -> DataFrame:
+    """Scores of one variant. Where it wants recent events alone and no threshold is given, it is found from all rows of
+    events, those without an item too. With shard_col, events pair inside one file only; ties order events of one time;
+    sessions of more than longest events are cut, which changes no score."""
     if v.recent and threshold is None:
         threshold = prepare.recent_threshold(events).scalar()
     ready = prepare.prepare(events, v.weights, threshold if v.recent else None)
-    return covisit.covisit_scores(covisit.covisit_pairs(ready, v.lookback, shard_col=shard_col))
+    return covisit.covisit_scores(covisit.covisit_pairs(ready, v.lookback, ties=ties, shard_col=shard_col, longest=longest))
 
 
-def folded_scores(events: DataFrame, variants: Iterable[Variant] = VARIANTS.values(), threshold: int | Column | None = None, shard_col: str | None = None) -> DataFrame:
+def folded_scores(events: DataFrame, variants: Iterable[Variant] = VARIANTS.values(), threshold: int | Column | None = None, shard_col: str | None = None, ties: Sequence[str] = covisit.TIES, longest: int | None = None) -> DataFrame:
     """(variant, aid_key, aid_future, score) of all variants from one scan, one window and one aggregation.
 
     Pairs of a short lookback are those of the longest at a small lag; dropping old events before pairing is keeping
     pairs whose key is recent, as time orders a session. Each variant is a conditional sum beside the others, not a
     row: most pairs of a wide item space are distinct, and rows would multiply the shuffle. Variants of equal
     weights, lookback and recency share a sum, which is null just where the variant has no pair. With shard_col, events
-    pair inside one file only.
+    pair inside one file only; ties and longest are as in direct_scores.
     """
     variants = list(variants)
     if any(v.recent for v in variants) and threshold is None:
-        threshold = prepare.recent_threshold(prepare.with_keys(events)).scalar()
+        threshold = prepare.recent_threshold(events).scalar()
     ready = prepare.with_type_names(prepare.with_keys(events))
-    pairs = covisit.covisit_pairs(ready, max(v.lookback for v in variants), keep=("type",), shard_col=shard_col)
+    pairs = covisit.covisit_pairs(ready, max(v.lookback for v in variants), keep=("type",), ties=ties, shard_col=shard_col, longest=longest)
     if any(v.recent for v in variants):
         pairs = pairs.withColumn("is_recent", F.col("key_ts") > threshold)
     shared: dict[tuple, str] = {}

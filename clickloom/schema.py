@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: Event types by code, in the order in which results list them, and their share in the overall recall.
 EVENT_TYPES = ("clicks", "carts", "orders")
 RECALL_WEIGHTS = {"clicks": 0.10, "carts": 0.30, "orders": 0.60}
 
 EVENTS = StructType([StructField("session", LongType()), StructField("aid", LongType()), StructField("ts", LongType()), StructField("type", StringType())])
-EVENTS_BY_CODE = StructType([*EVENTS.fields[:3], StructField("type", IntegerType())])  # narrower integers are read as well
 SCORES = StructType([StructField("aid_key", LongType()), StructField("aid_future", LongType()), StructField("score", LongType())])
 INDEX = StructType([StructField("aid_key", LongType()), StructField("candidates", ArrayType(LongType())), StructField("scores", ArrayType(LongType()))])
 RECENT = StructType([StructField("session", LongType()), StructField("recent_aids", ArrayType(LongType()))])

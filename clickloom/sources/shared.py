@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +33,54 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _file_system(spark: SparkSession, at):
+    return at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether path was free and now holds text, for good: of several who claim one path, one gets True.
+
+    The text is written under another name and moved into place as a folder, which a file system with atomic renames
+    does for one of them alone: a folder that is moved to one that exists by then comes to lie inside it, or fails, and
+    changes nothing of what it holds. Nothing is ever deleted that another may have claimed. claimed() reads it back.
+    """
+    jvm = spark._jvm
+    mark = uuid.uuid4().hex
+    own = f"{path.rpartition('/')[0]}/_{mark}"  # Spark's readers pass over such names
+    source, target = jvm.org.apache.hadoop.fs.Path(own), jvm.org.apache.hadoop.fs.Path(path)
+    fs = _file_system(spark, target)
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{own}/claim"), False)
+    out.write(bytearray(f"{mark}\n{text}".encode()))
+    out.close()
+    if not fs.exists(target):
+        try:
+            fs.rename(source, target)
+        except Py4JJavaError:
+            pass  # the other one was faster; what stands there tells
+    won = _read(spark, path).partition("\n")[0] == mark
+    if not won:
+        remove(spark, own)
+    return won
+
+
+def _read(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claim")
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def claimed(spark: SparkSession, path: str) -> str | None:
+    """The text that was claimed for a path, or nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claim")
+    return _read(spark, path).partition("\n")[2] if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
