@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions.columns import join_items
-from clickloom.jobs import run, sinks
+from clickloom.jobs import run, sinks, upkeep
 from clickloom.jobs.sinks import ledger_rows as as_ledger
 from clickloom.operators import covisit, evaluate, fuse, prepare, recommend, sweep
 from clickloom.schema import EVENT_TYPES, RECALL_WEIGHTS, VARIANTS, variant
-from clickloom.sources.events import events_as_sessions, fingerprint, orders_as_sessions, read_events, read_table
+from clickloom.sources.events import events_as_sessions, fingerprint, orders_as_sessions, read_events, read_table, shard_fingerprints
 from clickloom.sources.shared import fresh_folder
 
 #: Between history and truth in the evaluation queries: 2024-01-21, in ms.
@@ -277,12 +277,95 @@ def stored_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_type string, hits bigint, targets bigint, rows bigint, weight double, recall double").json(f"{folder}/recall")
 
 
+def covisit_scores_long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of the longest lookback, from sessions cut into stretches of 20 events."""
+    return sweep.direct_scores(_events(spark, sf_dir), variant("v17"), longest=20)
+
+
+def read_mixed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events from shards whose types are names, bytes, shorts and longs, with integers of other widths."""
+    events, folder = _events(spark, sf_dir), fresh_folder(spark, "jobs")
+    code = F.when(F.col("type") == EVENT_TYPES[0], 0).when(F.col("type") == EVENT_TYPES[1], 1).otherwise(2)
+    for k, (name, kind, narrow) in enumerate((("train_parquet/a", None, "bigint"), ("train_parquet/b", "tinyint", "int"), ("test_parquet/a", "bigint", "int"), ("test_parquet/b", "smallint", "bigint"))):
+        part = events.where(F.pmod("session", F.lit(4)) == k).withColumns({c: F.col(c).cast(narrow) for c in ("session", "aid")})
+        (part if kind is None else part.withColumn("type", code.cast(kind))).write.parquet(f"{folder}/in/{name}.parquet")
+    return read_events(spark, f"{folder}/in")
+
+
+def covisit_scores_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of events whose times are whole hours, from files that hold the latest events first: those of one hour stay
+    in that order."""
+    events, folder = _table(spark, sf_dir, "events"), fresh_folder(spark, "jobs")
+    hours = events_as_sessions(events.withColumn("ts", F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")), keep=("event_id",))
+    hours.repartitionByRange(4, F.desc("event_id")).sortWithinPartitions(F.desc("event_id")).drop("event_id").write.parquet(f"{folder}/in/train_parquet/a.parquet")
+    return sweep.direct_scores(read_events(spark, f"{folder}/in", place_col="place"), variant("base"), ties=("place",))
+
+
+def stored_recent_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of recent events alone, as the job writes it: rows without an item count for the latest time."""
+    events, folder = _table(spark, sf_dir, "events"), fresh_folder(spark, "jobs")
+    others = events_as_sessions(events.where("event_type = 'error'").withColumn("event_type", F.lit("view"))).withColumn("aid", F.lit(None).cast("bigint"))
+    _events(spark, sf_dir).unionByName(others).write.parquet(f"{folder}/in/train_parquet/a.parquet")
+    run.build_index(spark, f"{folder}/in", folder, [variant("v12")])
+    return sinks.read_index(spark, f"{folder}/index").select("aid_key", join_items(F.col("candidates")).alias("candidates"), join_items(F.col("scores")).alias("scores"))
+
+
+def _by_session(spark: SparkSession, events: DataFrame, n: int) -> str:
+    """A new input of n shards, with whole sessions."""
+    folder = fresh_folder(spark, "jobs")
+    for k in range(n):
+        events.where(F.pmod("session", F.lit(n)) == k).write.parquet(f"{folder}/in/train_parquet/{k}.parquet")
+    return folder
+
+
+def index_by_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that follows three shards, of which one is withdrawn, added again, and another withdrawn."""
+    folder = _by_session(spark, _events(spark, sf_dir), 3)
+    store = upkeep.IndexStore(spark, f"{folder}/store", variant("base"), buckets=16)
+    store.follow(f"{folder}/in")
+    shards = sorted(shard_fingerprints(spark, f"{folder}/in").items(), key=lambda x: x[1])
+    store.withdraw(shards[0][0])
+    store.add(shards[0][1])
+    store.add(shards[1][1])
+    store.withdraw(shards[2][0])
+    return store.index().select("aid_key", join_items(F.col("candidates")).alias("candidates"), join_items(F.col("scores")).alias("scores"))
+
+
+def sessions_by_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recent items from last times by shard: two shards that share their sessions, the second of which comes later."""
+    events, folder = _events(spark, sf_dir), fresh_folder(spark, "jobs")
+    store = upkeep.RecencyStore(spark, f"{folder}/store")
+    for k, part in enumerate((events.where(F.col("ts") >= CUT), events.where(F.col("ts") < CUT))):
+        part.write.parquet(f"{folder}/in/train_parquet/{k}.parquet")
+        store.update(f"{folder}/in")
+    return store.recent_items(f"{folder}/in").select("session", join_items(F.col("recent_aids")).alias("recent_aids"))
+
+
+def last_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions from a CSV file that has each key twice, those that count behind the others."""
+    history, folder = _history(spark, sf_dir), fresh_folder(spark, "jobs")
+    good = recommend.submission(_predictions(history, history))
+    rows = good.withColumn("labels", F.lit("1 2 3")).withColumn("turn", F.lit(0)).unionByName(good.withColumn("turn", F.lit(1)))
+    rows.repartitionByRange(4, "turn", "session_type").sortWithinPartitions("turn", "session_type").drop("turn").write.option("header", True).csv(f"{folder}/guess.csv")
+    found = evaluate.normalize_predictions(read_table(spark, f"{folder}/guess.csv", "place"), "place")
+    return found.select("session_type", join_items(F.col("items")).alias("items"))
+
+
+def colocated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions from an index and recent items in equal buckets."""
+    folder = _stored(spark, _events(spark, sf_dir))
+    run.build_index(spark, f"{folder}/in", folder, [variant("base")])
+    names = run.store_colocated(spark, f"{folder}/in", folder, f"{folder}/buckets", buckets=8)
+    return run.predict_colocated(spark, names, "base").select("session", join_items(F.col("items")).alias("labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (session_events, unknown_types, type_weights, recent_threshold, recent_events, ordered_events, covisit_pairs_l2)
     more = (
         covisit_scores_lineitem, merge_scores, covisit_topk_100, covisit_topk_300, candidate_index, recent_items, predictions, predictions_lineitem, submission_rows,
         normalized_predictions, normalized_labels, recall_by_type, overall_recall, folded_sweep_scores, sweep_predictions, variant_leaderboard, ledger_rows, fused_candidates, ranker_rows,
         read_shards, read_shards_by_code, stored_index, stored_metadata, cached_sessions, stored_submission, stored_predictions, stored_metrics,
+        covisit_scores_long_sessions, read_mixed_shards, covisit_scores_file_order, stored_recent_index, index_by_shard, sessions_by_shard, last_predictions, colocated_predictions,
     )
     scores = {f"covisit_scores_{n}": _scores(n) for n in ("base", "v12", "v13", "v14", "v15", "v16", "v17", "v18")}
     return {f.__name__: f for f in plain} | scores | {f.__name__: f for f in more}
@@ -390,6 +473,16 @@ def oracle_sql() -> dict[str, str]:
     out["cached_sessions"] = out["recent_items"]
     out["stored_submission"] = f"SELECT *, 'base' AS variant FROM ({out['submission_rows']})"
     out["stored_predictions"], out["stored_metrics"] = out["normalized_predictions"], out["recall_by_type"]
+    out["covisit_scores_long_sessions"] = out["covisit_scores_v17"]
+    out["read_mixed_shards"] = out["session_events"]
+    hours = _EV.replace("epoch_us(ts) // 1000 AS ts", "epoch_us(ts) // 3600000000 * 3600000 AS ts, event_id")
+    weight = _weight_sql("base", "b.type")
+    out["covisit_scores_file_order"] = f"""WITH {hours}, placed AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id DESC) AS place FROM ev)
+ SELECT a.aid AS aid_key, b.aid AS aid_future, CAST(sum({weight}) AS BIGINT) AS score FROM placed a JOIN placed b ON a.session = b.session AND b.place - a.place BETWEEN 1 AND 2 GROUP BY 1, 2"""
+    flat = f"""{items("aid_future", '"rank"')} AS candidates, {items("score", '"rank"')} AS scores"""
+    out["stored_recent_index"] = f"WITH {_EV}, late AS (SELECT * FROM ev WHERE ts > (SELECT max(epoch_us(ts) // 1000) - 1209600000 FROM events)), {_scores_sql('base', 'late')}, {_top_sql(100)} SELECT aid_key, {flat} FROM top GROUP BY aid_key"
+    out["index_by_shard"] = f"WITH {_EV}, part AS (SELECT * FROM ev WHERE session % 3 <> 2), {_scores_sql('base', 'part')}, {_top_sql(100)} SELECT aid_key, {flat} FROM top GROUP BY aid_key"
+    out["sessions_by_shard"], out["last_predictions"], out["colocated_predictions"] = out["recent_items"], out["normalized_predictions"], out["predictions"]
     three = ("v12", "v14", "v17")
     lists = ", ".join(f"{_scores_sql(n, 'hist', f's_{n}')}, {_top_sql(VARIANTS[n].topk, f's_{n}', f't_{n}')}, {_guess_sql(f't_{n}', f'g_{n}')}" for n in three)
     out["sweep_predictions"] = f"WITH {_EV}, {_HISTORY}, {_recent_sql('hist')}, {lists} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, session, {items()} AS labels FROM g_{n} GROUP BY session" for n in three)

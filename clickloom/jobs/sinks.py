@@ -14,18 +14,21 @@ from clickloom.operators.recommend import recent_items
 from clickloom.schema import INDEX, LEDGER, RECENT
 
 
-def write_index(index: DataFrame, path: str, buckets: int | None = None, table: str | None = None) -> None:
-    """The candidate index as Parquet, a folder for each variant where it has that column.
+def write_index(index: DataFrame, path: str) -> None:
+    """The candidate index as Parquet, a folder for each variant where it has that column."""
+    writer = index.write.mode("overwrite")
+    (writer.partitionBy("variant") if "variant" in index.columns else writer).parquet(path)
+
 
-    With buckets and a table name it is kept in a bucketed table, so that later joins on aid_key move one side only.
+def write_buckets(rows: DataFrame, table: str, path: str, buckets: int) -> None:
+    """rows as a table in buckets by aid_key, a folder for each variant where there is such a column.
+
+    Two tables in as many buckets join on aid_key without moving a row.
     """
-    writer = index.write.mode("overwrite")
-    if "variant" in index.columns:
-        writer = writer.partitionBy("variant")
-    if buckets and table:
-        writer.bucketBy(buckets, "aid_key").sortBy("aid_key").option("path", path).saveAsTable(table)
-    else:
-        writer.parquet(path)
+    # rows of a bucket meet in one task, so that each bucket is one file of a variant
+    dealt = rows.repartition(buckets, "aid_key")
+    writer = dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, "aid_key").sortBy("aid_key").option("path", path)
+    (writer.partitionBy("variant") if "variant" in rows.columns else writer).saveAsTable(table)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
