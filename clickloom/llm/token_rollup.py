@@ -12,12 +12,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm.shared import sliced
 from clickloom.llm.text_ids import encoder
+from clickloom.sources.shared import claim
 
 KEYS = ["source", "lang", "tokenizer_version"]
 TOTALS = ["n_docs", "n_tokens", "n_chars"]
@@ -68,13 +68,14 @@ def digest(changes: DataFrame) -> str:
 class Rollup:
     """Totals under a folder that driver and executors share.
 
-    data/ holds each batch, summed by key; commits/ a small file for each committed batch, which tells where its data
+    data/ holds each batch, summed by key; commits/ a claim for each committed batch, which tells where its data
     lie and their digest; bases/ totals with the names and digests of the batches in them. Totals are the newest base
     and the few batches behind it, so that reading them costs the same however many batches there have been.
 
-    A batch counts from the moment its commit file is there. That file is created only where there is none, so of two
-    committers of one batch one wins, and the other finds it done. Whatever a crash leaves behind (data without a
-    commit file, a commit file without content, a base without its success mark) does not count.
+    A batch counts from the moment its claim is there, which is written elsewhere and moved into place whole (claim), so
+    that of two committers of one batch one wins, and the other finds it done. No claim is deleted before a base that
+    has the batch is followed by another. Whatever a crash leaves behind (data without a claim, a claim that was not
+    moved into place, a base without its success mark) does not count.
     """
 
     def __init__(self, spark: SparkSession, folder: str, compact_every: int = 8):
@@ -107,32 +108,29 @@ class Rollup:
     def _commits(self) -> dict[str, tuple[str, str]]:
         """(data, digest) of batches with a commit file: those since the base before last."""
         at, fs = self._at("commits")
-        if not fs.exists(at):
+        names = [x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()] if fs.exists(at) else []
+        if not (paths := [f"{self.folder}/commits/{x}/claim" for x in names if x[0] != "_"]):
             return {}
-        rows = self.spark.read.text(f"{self.folder}/commits", wholetext=True).select(F.col("_metadata.file_name").alias("batch"), F.split("value", " ").alias("x")).where(F.size("x") == 2)
+        name = F.element_at(F.split("_metadata.file_path", "/"), -2)
+        rows = self.spark.read.text(paths, wholetext=True).select(name.alias("batch"), F.split(F.substring_index("value", "\n", -1), " ").alias("x"))
         return {r["batch"]: tuple(r["x"]) for r in rows.collect()}
 
-    def _known(self, batch: str) -> str | None:
-        """The digest with which a batch was committed."""
-        if found := self._commits().get(batch):
-            return found[1]
+    def _in_base(self, batch: str) -> str | None:
         row = self._read_base(self._base()).where(F.col("batch") == batch).select("digest").first()
         return row and row["digest"]
 
+    def _known(self, batch: str) -> str | None:
+        """The digest with which a batch was committed."""
+        if found := self._in_base(batch):  # before a claim, which a late one may have made since
+            return found
+        return self._commits().get(batch, (None, None))[1]
+
     def _claim(self, batch: str, data: str, own: str) -> bool:
-        """Create the commit file, unless there is one; one without content is what a crash left."""
+        """Whether this is the one that commits a batch. A base may have it by now, and its claim be gone."""
         at, fs = self._at(f"commits/{batch}")
-        if fs.exists(at) and not fs.getFileStatus(at).getLen():
-            fs.delete(at, False)
-        try:
-            out = fs.create(at, False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception):
-                return False
-            raise
-        out.write(bytearray(f"{data} {own}".encode()))
-        out.close()
-        return self._commits().get(batch) == (data, own)
+        if fs.exists(at) and fs.getFileStatus(at).isFile():
+            fs.delete(at, False)  # no claim, which is a folder; of a folder that holds something this call deletes nothing
+        return claim(self.spark, f"{self.folder}/commits/{batch}", f"{data} {own}") and self._in_base(batch) is None
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Whether the batch was new. One that is committed already changes nothing; with other rows it is an error."""
@@ -148,8 +146,8 @@ class Rollup:
                 if len(self.pending()) >= self.compact_every:
                     self.compact()
                 return True
-            self._delete(f"data/{data}")
             known = self._known(batch)
+            self._delete(f"data/{data}")
         else:
             own = digest(summed)
         if known != own:

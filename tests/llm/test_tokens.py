@@ -361,3 +361,64 @@ def test_two_committers(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="other rows"):
         one.commit("a", _change(spark, 6))
     assert _tokens(two) == 5
+
+
+def test_a_confirmed_batch_stays(spark, tmp_path, monkeypatch):
+    """Another committer of the same name, with other rows, just before and just after this one's claim is in place."""
+    from clickloom.sources import shared
+
+    one, two = (token_rollup.Rollup(spark, str(tmp_path)) for _ in range(2))
+    look = shared._file_system
+    done = []
+
+    class Late:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, source, target):
+            if done:
+                return self.fs.rename(source, target)
+            done.append(True)
+            assert two.commit("a", _change(spark, 5))  # after this one has seen the name free
+            return self.fs.rename(source, target)
+
+    monkeypatch.setattr(shared, "_file_system", lambda spark, at: Late(look(spark, at)))
+    with pytest.raises(ValueError, match="other rows"):
+        one.commit("a", _change(spark, 7))
+    assert _tokens(one) == 5 and _tokens(two) == 5
+    monkeypatch.undo()
+    assert one.commit("b", _change(spark, 10))
+    with pytest.raises(ValueError, match="other rows"):
+        two.commit("b", _change(spark, 20))
+    assert _tokens(one) == 15 and not two.commit("b", _change(spark, 10))
+
+
+def test_a_slow_committer(spark, tmp_path, monkeypatch):
+    """A batch is committed, moved into a base and its claim removed while another committer of it still works."""
+    one, two = (token_rollup.Rollup(spark, str(tmp_path), compact_every=1) for _ in range(2))
+    claim = one._claim
+
+    def late(batch, data, own):
+        for name, n in (("a", 5), ("b", 1), ("c", 1)):
+            two.commit(name, _change(spark, n))
+        return claim(batch, data, own)
+
+    monkeypatch.setattr(one, "_claim", late)
+    with pytest.raises(ValueError, match="other rows"):
+        one.commit("a", _change(spark, 7))
+    assert _tokens(two) == 7 and _tokens(one) == 7
+
+
+def test_many_committers_at_a_time(spark, tmp_path):
+    import threading
+
+    won = []
+    each = [threading.Thread(target=lambda k=k: won.append(token_rollup.Rollup(spark, str(tmp_path)).commit("a", _change(spark, 5)))) for k in range(6)]
+    for t in each:
+        t.start()
+    for t in each:
+        t.join()
+    assert sorted(won) == [False] * 5 + [True] and _tokens(token_rollup.Rollup(spark, str(tmp_path))) == 5
