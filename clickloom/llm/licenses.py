@@ -179,32 +179,42 @@ class Automaton:
                 matches.append((end - size, size, state))
         return places, matches
 
-    def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, share of the template) of the best chain of each template.
+    def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(words covered, template, first word, end) of every chain of every template, in no order.
 
-        A chain goes on where the match also ends further on in the template, at the first such place. Of chains of
-        different labels that share more than half of their words the one that covers the most stays: one notice
-        often differs from another by a few words.
+        A chain goes on where the match also ends further on in the template, at the first such place; else it closes,
+        and the match begins the next one.
         """
-        chains: dict[int, tuple[int, int, int, int]] = {}  # first word, end, words covered, place in the template
-        best: dict[int, tuple[int, int, int]] = {}
+        done: list[tuple[int, int, int, int]] = []
+        under_way: dict[int, tuple[int, int, int, int]] = {}  # first word, end, words covered, place in the template
         for begin, size, state in matches:
             for k, ends in self.places[state].items():
                 if size < min(MIN_MATCH, len(self.templates[k][0])):
                     continue
-                first, end, covered, place = chains.get(k, (begin, begin, 0, -1))
+                first, end, covered, place = under_way.get(k, (begin, begin, 0, -1))
                 later = bisect.bisect_right(ends, place)
                 if begin - end > MAX_GAP or later == len(ends):
+                    done.append((covered, k, first, end))
                     first, end, covered, later = begin, begin, 0, 0
-                covered += begin + size - max(begin, end)
-                chains[k] = first, begin + size, covered, ends[later]
-                if k not in best or covered > best[k][0]:
-                    best[k] = covered, first, begin + size
+                under_way[k] = first, begin + size, covered + begin + size - max(begin, end), ends[later]
+        return done + [(covered, k, first, end) for k, (first, end, covered, _) in under_way.items()]
+
+    def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, end, share of the template) of the chains, by label and place.
+
+        Of chains of different labels, one that shares more than half of its words with one that covers more goes: one
+        notice often differs from another by a few words. So a text that has a notice several times has as many spans.
+        """
         kept: list[tuple[str, int, int, float]] = []
-        for k, (covered, first, end) in sorted(best.items(), key=lambda x: (-min(x[1][0], len(self.templates[x[0]][0])), x[0])):
+        starts: list[tuple[int, int, str]] = []  # what is kept, by first word
+        longest = 0
+        for covered, k, first, end in sorted(self.chains(matches), key=lambda x: (-min(x[0], len(self.templates[x[1]][0])), x[1], x[2])):
             label, whole = self.templates[k][1], len(self.templates[k][0])
-            if all(x == label or 2 * (min(end, b) - max(first, a)) <= end - first for x, a, b, _ in kept):
+            around = starts[bisect.bisect_left(starts, (first - longest,)) : bisect.bisect_left(starts, (end,))]
+            if all(x == label or 2 * (min(end, b) - max(first, a)) <= end - first for a, b, x in around):
                 kept.append((label, first, end, min(1.0, covered / whole)))
+                bisect.insort(starts, (first, end, label))
+                longest = max(longest, end - first)
         return sorted(kept)
 
 
@@ -212,8 +222,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     """(id, n_words, places, spans) for every row of docs.
 
     places: phrase label and first word wherever a phrase's words stand one behind the other, by place; spans: label,
-    first word, end and the covered share of each template that was met, the best chain of each. A null or empty
-    text has no words. Null ids and repeated rows stay; an empty table gives an empty one.
+    first word, end and the covered share of a template, once for each time that a template was met. A null or empty
+    text has no words; invalid UTF-8 counts as U+FFFD. Null ids and repeated rows stay; an empty table gives an empty one.
     """
     given = (PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
 
@@ -230,7 +240,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     schema = "id long, n_words long, places array<struct<label:string,first:long>>, spans array<struct<label:string,first:long,end:long,share:double>>"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(text_col)).alias("text")).mapInArrow(run, schema)
 
 
 def summary(scanned: DataFrame) -> DataFrame:

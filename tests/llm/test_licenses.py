@@ -1,0 +1,119 @@
+"""Spans and scores of licence scans against a plain version, and texts with several notices."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from clickloom.llm import licenses
+
+
+def _plain(words, templates):
+    """Spans by definition: substrings are looked up in lists of words, overlaps are compared all with all."""
+    texts = [(t.split(), label) for label, ts in templates.items() for t in ts]
+    inside = lambda part, whole: [i for i in range(len(whole) - len(part) + 1) if whole[i : i + len(part)] == part]
+    least = min(2, *(len(t) for t, _ in texts), 2)
+    longest = []  # of each word, the longest run that ends there and stands in some template
+    for e in range(len(words)):
+        longest.append(max((n for n in range(1, e + 2) if any(inside(words[e + 1 - n : e + 1], t) for t, _ in texts)), default=0))
+    matches = [(e + 1 - n, n) for e, n in enumerate(longest) if n >= least and (e + 1 == len(words) or longest[e + 1] != n + 1)]
+    chains = []
+    for k, (t, label) in enumerate(texts):
+        now = None
+        for begin, n in matches:
+            ends = [i + n - 1 for i in inside(words[begin : begin + n], t)]
+            if not ends or n < min(licenses.MIN_MATCH, len(t)):
+                continue
+            later = [e for e in ends if now and e > now[3]]
+            if now and (begin - now[1] > licenses.MAX_GAP or not later):
+                chains.append((now, k, label, len(t)))
+                now = None
+            if now is None:
+                now, later = (begin, begin, set(), -1), ends
+            now = (now[0], begin + n, now[2] | set(range(begin, begin + n)), later[0])
+        if now:
+            chains.append((now, k, label, len(t)))
+    kept = []
+    for (first, end, covered, _), k, label, size in sorted(chains, key=lambda c: (-min(len(c[0][2]), c[3]), c[1], c[0][0])):
+        if all(x == label or 2 * len(set(range(a, b)) & set(range(first, end))) <= end - first for x, a, b, _ in kept):
+            kept.append((label, first, end, min(1.0, len(covered) / size)))
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("letters,size", [("abc", 9), ("abcdefgh", 14), ("abcdefghijklmnopqrstuvwxyz", 20)])
+def test_spans_against_a_plain_version(spark, letters, size, monkeypatch):
+    monkeypatch.setattr(licenses, "MIN_MATCH", 3)
+    monkeypatch.setattr(licenses, "MAX_GAP", 4)
+    rng = random.Random(6)
+    draw = lambda n: [rng.choice(letters) for _ in range(n)]
+    templates = {label: [" ".join(draw(rng.randrange(2, size))) for _ in range(2)] for label in ("x", "y", "z")}
+    every = [t.split() for ts in templates.values() for t in ts]
+    texts = [""]
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randrange(6)):
+            part = rng.choice(every)
+            i = rng.randrange(len(part))
+            words += part[i : i + rng.randrange(1, 15)] + ["other"] * rng.choice([0, 0, 1, 3, 6])
+        texts.append(" ".join(words))
+    automaton = licenses.Automaton({}, templates)
+    for t in texts:
+        found = automaton.spans(automaton.scan(licenses.words_of(t))[1])
+        assert found == _plain(t.split(), templates), t
+
+
+def test_summary_against_a_plain_version(spark):
+    """labels and score from the spans: all phrases' labels, those of well covered templates, the largest share."""
+    rng = random.Random(1)
+    notices = [(label, t) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    texts = []
+    for _ in range(25):
+        words = []
+        for _ in range(rng.randrange(3)):
+            part = licenses.words_of(rng.choice(notices)[1])
+            begin = rng.randrange(len(part))
+            words += [w.decode() for w in part[begin // 3 : begin // 3 + rng.randrange(3, 60)]] + ["other"] * rng.randrange(30)
+        texts.append(" ".join(words))
+    plain = {label: [" ".join(w.decode() for w in licenses.words_of(t)) for t in ts] for label, ts in licenses.TEMPLATES.items()}
+    scanned = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = {r["id"]: r for r in licenses.summary(scanned).collect()}
+    for i, t in enumerate(texts):
+        spans = _plain_long(t.split(), plain)
+        base = {label for p, label in licenses.PHRASES.items() if f" {p} " in f" {t} "}
+        share = max((s[3] for s in spans), default=0.0)
+        assert rows[i]["labels"] == ",".join(sorted(base | {s[0] for s in spans if s[3] >= licenses.LEAST_SHARE}))
+        assert rows[i]["score"] == pytest.approx(max(share, licenses.PHRASE_SCORE) if base else share)
+
+
+def _plain_long(words, templates):
+    """_plain, with one word for all that no template has."""
+    joined = [f" {t} " for ts in templates.values() for t in ts]
+    has = lambda part: any(f" {' '.join(part)} " in t for t in joined)
+    parts = [w if has([w]) else "#" for w in words]
+    return _plain(parts, templates)
+
+
+def test_a_notice_that_comes_twice(spark):
+    mit, bsd = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["bsd"][0]
+    filler = " ".join(f"word{i}" for i in range(60))
+    texts = [f"{mit} {filler} {mit}", f"{filler} {mit} {filler} {bsd} {filler} {mit}", f"{mit} {mit}"]
+    rows = {r["id"]: r["spans"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = len(licenses.words_of(mit))
+    whole = lambda i, label: [(s["first"], s["end"]) for s in rows[i] if s["label"] == label and s["share"] == 1.0]
+    assert whole(0, "mit") == [(0, n), (n + 60, 2 * n + 60)] and whole(2, "mit") == [(0, n), (n, 2 * n)]
+    assert len(whole(1, "mit")) == 2 and len(whole(1, "bsd")) == 1
+
+
+def test_many_notices_take_no_square(spark):
+    text = " ".join(f"{licenses.TEMPLATES['mit'][2]} x{i}" for i in range(20_000))
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert sum(s["share"] == 1.0 for s in got["spans"]) == 20_000
+
+
+def test_invalid_text(spark):
+    bad = spark.sql("SELECT 1L AS doc_id, cast(concat(cast('MIT ' AS binary), X'FF', cast(' license mit license' AS binary)) AS string) AS text")
+    row = licenses.summary(licenses.scan(bad)).first()
+    assert (row["n_words"], row["n_base"], row["first_word"]) == (5, 1, 3)
+    assert licenses.scan(bad.where(F.lit(False))).collect() == []
