@@ -85,7 +85,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, vocabulary_size: i
     of one row. They are encoded behind that shuffle: packed ids are no smaller than the compressed texts.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("place"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("place"), F.make_valid_utf8(F.col(text_col)).alias("text"))
     ordered = own.repartitionByRange(n, "id", "h", "place").sortWithinPartitions("id", "h").select("id", "text")
     ordered.mapInArrow(_block_writer(vocabulary, end_id, width_of(vocabulary_size)), _SCHEMA).write.parquet(path)
 

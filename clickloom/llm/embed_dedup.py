@@ -64,8 +64,17 @@ def window(cosine: float) -> float:
     return math.sqrt(2 - 2 * cosine)
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, cosine: float = COSINE, m: int = PROJECTIONS, recall: float = RECALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of pairs of two tables of at most 65,535 unit vectors at this cosine or more, in blocks of a."""
+def near_pairs(a: np.ndarray, b: np.ndarray, cosine: float = COSINE, m: int = PROJECTIONS, recall: float = RECALL, done: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of pairs of two tables of at most 65,535 unit vectors at this cosine or more, in blocks of a.
+
+    At a recall of 1 all pairs are verified. done: a rising number for each row of a and of b; a block of a that has one
+    number alone is not compared with the rows of b that have it, as another grid has these pairs.
+    """
+    if recall >= 1:
+        for at in range(0, len(a), _BLOCK):
+            i, j = np.nonzero(a[at : at + _BLOCK] @ b.T >= cosine)
+            yield i + at, j
+        return
     half = window(cosine)
     count = least_count(m, math.erf(1 / math.sqrt(2)), recall)
     ways = _directions(a.shape[1], m)
@@ -79,12 +88,20 @@ def near_pairs(a: np.ndarray, b: np.ndarray, cosine: float = COSINE, m: int = PR
         begin = np.searchsorted(ranked, pa[:, k] - half)
         low[k], size[k] = begin, np.searchsorted(ranked, pa[:, k] + half, side="right") - begin
     for at in range(0, len(a), _BLOCK):
-        part = slice(at, at + _BLOCK)
-        shared = np.zeros((len(a[part]), len(b)), np.uint8)
+        part, columns = slice(at, at + _BLOCK), None
+        if done and done[0][part][0] == done[0][part][-1]:
+            begin, end = np.searchsorted(done[1], done[0][at], "left"), np.searchsorted(done[1], done[0][at], "right")
+            columns = np.concatenate((np.arange(begin), np.arange(end, len(b)))) if end > begin else None
+            if columns is not None and not len(columns):
+                continue
+        shared = np.zeros((len(a[part]), len(b) if columns is None else len(columns)), np.uint8)
         for k in range(m):
-            shared += (rank[k][None, :] - low[k, part, None]) < size[k, part, None]  # in the window: ranks wrap below it
+            own = rank[k] if columns is None else rank[k][columns]
+            shared += (own[None, :] - low[k, part, None]) < size[k, part, None]  # in the window: ranks wrap below it
         i, j = np.nonzero(shared >= count)
-        if len(i) * 8 > shared.size:
+        many = len(i) * 8 > shared.size
+        j = j if columns is None else columns[j]
+        if many:
             sure = (a[part] @ b.T)[i, j] >= cosine
         else:
             sure = np.concatenate([np.zeros(0, bool), *(np.einsum("xy,xy->x", a[i[x : x + 65536] + at], b[j[x : x + 65536]]) >= cosine for x in range(0, len(i), 65536))])
@@ -105,7 +122,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def _with_cells(cosine: float, cell: int):
+def _with_cells(cosine: float, cell: int, exact: bool):
     """mapInArrow: adds the cells of each vector, by the number of its label's vectors in column n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +131,7 @@ def _with_cells(cosine: float, cell: int):
             shapes = np.stack([batch.column(c).to_numpy() for c in ("dim", "n")], axis=1)
             for shape in np.unique(shapes, axis=0):
                 own = np.flatnonzero((shapes == shape).all(axis=1))
-                for i, x in zip(own.tolist(), cells(unit(_matrix(batch.column("vec").take(pa.array(own)))), *grids(int(shape[1]), cosine, cell)).tolist(), strict=True):
+                for i, x in zip(own.tolist(), cells(unit(_matrix(batch.column("vec").take(pa.array(own)))), *((1, 0) if exact else grids(int(shape[1]), cosine, cell))).tolist(), strict=True):
                     found[i] = x
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"])
 
@@ -133,14 +150,16 @@ def _edges(batch: pa.RecordBatch) -> list[int]:
     return [0, *(np.flatnonzero(differ) + 1).tolist(), batch.num_rows]
 
 
-def _join_tiles(cosine: float):
+def _join_tiles(cosine: float, recall: float):
     """mapInArrow over rows sorted by _KEY: links by node, and stars of what they join."""
 
     def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts).combine_chunks()
         if rows.num_rows < 2:
             return
-        rows = rows.take(pa.array(np.argsort(rows.column("node").to_numpy(), kind="stable")))
+        grid = rows.column("grid")[0].as_py()
+        order = [rows.column("node").to_numpy()] + ([pc.list_element(rows.column("cells"), 0).to_numpy()] if grid else [])
+        rows = rows.take(pa.array(np.lexsort(order)))
         node, copies, side = (rows.column(c).to_numpy() for c in ("node", "copies", "side"))
         same = rows.column("ta")[0].as_py() == rows.column("tb")[0].as_py()
         vectors, where = unit(_matrix(rows.column("vec").combine_chunks())), _matrix(rows.column("cells").combine_chunks())
@@ -148,7 +167,8 @@ def _join_tiles(cosine: float):
         right = left if same else np.flatnonzero(side == 1)
         links, forest = np.zeros(len(node), np.int64), Forest(len(node))
         if len(left) and len(right):
-            for i, j in near_pairs(vectors[left], vectors[right], cosine):
+            done = (where[left, 0], where[right, 0]) if grid else None  # what the first grid has together, it compares
+            for i, j in near_pairs(vectors[left], vectors[right], cosine, PROJECTIONS, recall, done):
                 if same:
                     i, j = i[i < j], j[i < j]
                 i, j = left[i], right[j]
@@ -194,12 +214,13 @@ def _dealt(points: DataFrame, cell: int) -> DataFrame:
     return each.select(*key, *pair, "node", "vec", "copies", earlier)
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, cell: int = CELL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, cell: int = CELL, exact: bool = False) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of vectors.
 
     Rows are linked where labels are equal (in their own type) and not null, vectors have one length, and their cosine
     in double precision is cosine or more; each such pair is found with a probability of RECALL at least in a label of
-    up to cell vectors, of RECALL * GRID_RECALL in a larger one; none below is. Equal vectors of a label are one node
+    up to cell vectors, of RECALL * GRID_RECALL in a larger one; none below is. exact: each pair of a label is verified,
+    in tiles, so that none is lost; the work is then the square of a label. Equal vectors of a label are one node
     with a number of copies. n_links: other rows linked directly; component_id: the
     least id that is reachable, the row's own included; kept: whether that is the row's id. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing. A row with a null id is linked too; a
@@ -215,13 +236,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sizes = good.groupBy("label", "dim").agg(F.count("*").alias("n"))
     nodes = good.groupBy("label", "h", "g", "dim", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies")).join(sizes, ["label", "dim"])
     nodes = nodes.select(F.monotonically_increasing_id().alias("node"), F.col("label").cast("string").alias("name"), "label", "h", "g", "dim", "n", "vec", "least", "copies")
-    points = cut(nodes.mapInArrow(_with_cells(cosine, cell), StructType([*nodes.schema.fields, StructField("cells", ArrayType(LongType()))])))
+    points = cut(nodes.mapInArrow(_with_cells(cosine, cell, exact), StructType([*nodes.schema.fields, StructField("cells", ArrayType(LongType()))])))
     dealt = _dealt(points, cell).repartition(n, *_KEY).sortWithinPartitions(*_KEY)
-    found = cut(dealt.mapInArrow(_join_tiles(cosine), "node long, links long, root long"))
+    found = cut(dealt.mapInArrow(_join_tiles(cosine, 1.0 if exact else RECALL), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = points.select("node", "label", "h", "g", "least", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = cut(points.select("node", "label", "h", "g", "least", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = cut(known.groupBy("root").agg(F.min("least").alias("component_id")))  # plain sides, so that Spark can split a hot root
     by_node = known.join(named, "root").select("label", "h", "g", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = good.select("id", "label", "h", "g").join(by_node, ["label", "h", "g"]).select("id", "n_links", "component_id")
     alone = rows.where("NOT sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -98,4 +98,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     repeated rows are packed like others; an empty table gives an empty one.
     """
     schema = "id long, piece int, start long, length long, ids binary, offset long, sequence_id long"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_packer(vocabulary, size, open_bins), schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(text_col)).alias("text")).mapInArrow(_packer(vocabulary, size, open_bins), schema)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from clickloom.llm.shared import cut
+
 
 WIDTH, BLOCK, FILTERS, EMBEDDING = 8, 256, 32, 8
 #: Of each class at most so many labelled rows are learned from, each with its whole text, of so many bytes together at
@@ -207,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("label").alias("label"))
     sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"), F.xxhash64(text_col).alias("h"))
-    present = known.join(sizes.groupBy("id").agg(F.min_by("size", F.struct("h", "size")).alias("size")), "id")
+    present = cut(known.join(sizes.groupBy("id").agg(F.min_by("size", F.struct("h", "size")).alias("size")), "id"))  # counted, then drawn from
     totals = {r["label"]: r["n"] for r in present.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(totals.values())
     if len(totals) < 2:
@@ -216,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = [drawn.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for c in (0, 1)]  # the documented bound
     upto = F.sum("size").over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
     sample = F.broadcast(part[0].unionByName(part[1]).withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("id", "label"))  # at most 2 * SAMPLE rows
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
+    chosen = docs.select(F.col(id_col).alias("id"), F.make_valid_utf8(F.col(text_col)).alias("text")).join(sample, "id")
     rows = chosen.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), "text"))["text"].alias("text")).collect()
     if len({r["label"] for r in rows}) < 2:
         return constant((totals.get(1, 0) + 1) / (total + 2))
@@ -243,11 +245,12 @@ def scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row of docs; null ids and repeated rows stay, an empty table gives an empty one."""
-    return docs.select(F.col(id_col).alias("id"), scorer(model)(F.col(text_col)).alias("score"))
+    """(id, score) for every row of docs; null ids and repeated rows stay, an empty table gives an empty one; invalid UTF-8
+    counts as U+FFFD."""
+    return docs.select(F.col(id_col).alias("id"), scorer(model)(F.make_valid_utf8(F.col(text_col))).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score threshold or more, with all their columns."""
     model = fit(docs, labels, id_col, text_col)
-    return docs.where(scorer(model)(docs[text_col]) >= threshold)
+    return docs.where(scorer(model)(F.make_valid_utf8(docs[text_col])) >= threshold)

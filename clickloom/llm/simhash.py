@@ -25,12 +25,16 @@ from clickloom.llm.shared import cut, fresh_names
 SHINGLE, SEED, BUDGET, BLOCK = 3, 42, 3, 16
 #: Distinct fingerprints of one block beyond which the block is dealt out anew by parts of its other bits.
 HOT_BLOCK = 4_096
-_PART = 12
+#: Bits that agree at a key which is not dealt out any further.
+_DEEPEST = 43
 #: The wide rule: words of a shingle, 64-bit lanes of a fingerprint, bits that may differ; fingerprints of a bucket on
 #: average at most, and the share of pairs of just that many bits that some table keeps together.
 WIDE_SHINGLE, LANES, WIDE_BUDGET = 5, 4, 44
 WIDE_CELL, WIDE_RECALL = 256, 0.95
 _PIECE = 65_536
+#: Keys of a trie node that the wide rule compares one by one; pairs of two nodes from which they are compared as a
+#: table; pairs of many small ones that are compared at a time.
+_LEAF, _TABLE, _COMPARED = 256, 2_048, 1 << 19
 
 
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -86,23 +90,55 @@ def _wide_fingerprints(texts: pd.Series) -> pd.Series:
 wide_fingerprint_udf = F.pandas_udf(_wide_fingerprints, ArrayType(LongType()))
 
 
-def trie_pieces(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = BUDGET, known: Callable[..., np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _compared(lanes: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs of one of each range a and one of its range b that differ in at most budget bits, each
+    pair once where both are one range."""
+    count = (a1 - a0) * (b1 - b0)
+    for k in np.flatnonzero(count >= _TABLE).tolist():
+        x, y = lanes[a0[k] : a1[k]], lanes[b0[k] : b1[k]]
+        differ = np.zeros((len(x), len(y)), np.uint16)
+        for c in range(lanes.shape[1]):
+            differ += np.bitwise_count(x[:, c, None] ^ y[None, :, c])
+        i, j = np.nonzero(differ <= budget)
+        i, j = i + a0[k], j + b0[k]
+        new = (i < j) if a0[k] == b0[k] else slice(None)
+        yield i[new], j[new]
+    few = count < _TABLE
+    a0, b0, wide, count = a0[few], b0[few], (b1 - b0)[few], count[few]
+    ends, at = np.cumsum(count), 0
+    while at < len(count):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + _COMPARED, "right")))
+        k = np.repeat(np.arange(at, to), count[at:to])
+        i, j = np.divmod(np.arange(len(k)) - (ends - count - done)[k], wide[k])
+        i, j, new = i + a0[k], j + b0[k], a0[k] != b0[k]
+        new |= i < j
+        i, j = i[new], j[new]
+        hit = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1) <= budget
+        yield i[hit], j[hit]
+        at = to
+
+
+def trie_pieces(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = BUDGET, known: Callable[..., np.ndarray] | None = None, leaf: int = 1, begin: tuple[np.ndarray, ...] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of pairs of one group whose keys differ in at most budget bits, piece by piece.
 
     keys: uint64, or rows of several, rising and distinct inside a group; group: one value a row, equal ones together.
     Members of a group agree in the first depth bits of their keys. A trie node is a range of the sorted keys. All
     groups start as pairs (node, itself) at that depth; one step takes each pair to the pairs of its children, adds a
-    bit to the differences where the two sides part, and drops pairs over the budget. Pairs of single keys are decided
-    at once. known tells which pairs of ranges need no look, as all their keys are connected by now. Where even the largest difference that is left fits the budget, all keys of
-    both nodes hang on the first one: enough for components. Pairs wait on a stack in pieces of bounded size, the
-    deepest first.
+    bit to the differences where the two sides part, and drops pairs over the budget. Nodes of at most leaf keys are
+    compared key by key, as a budget that is wide for its bits prunes little further up. known tells which pairs of
+    ranges need no look, as all their keys are connected by now. Where even the largest difference that is left fits the
+    budget, all keys of both nodes hang on the first one: enough for components. Pairs wait on a stack in pieces of
+    bounded size, the deepest first. begin: ranges (a0, a1, b0, b1) to begin with instead of each group with itself.
     """
     lanes = keys.reshape(len(keys), -1)
     total = 64 * lanes.shape[1]
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    lo, hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
+    if begin is None:
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        lo, hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
+        begin = lo, hi, lo, hi
     ones: dict[int, np.ndarray] = {}  # by bit: how many keys before a place have it set
-    stack = [(depth, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
+    stack = [(depth, *begin, np.zeros(len(begin[0]), np.int64))]
     while stack:
         depth, a0, a1, b0, b1, err = stack.pop()
         if len(a0) > _PIECE:
@@ -113,15 +149,13 @@ def trie_pieces(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = B
             new = ~known(a0, a1, b0, b1)
             a0, a1, b0, b1, err = (x[new] for x in (a0, a1, b0, b1, err))
         same = a0 == b0
-        single = (a1 - a0 == 1) & (b1 - b0 == 1)
-        i, j = a0[single & ~same], b0[single & ~same]
-        hit = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1) <= budget
-        yield i[hit], j[hit]
-        whole = ~single & (err + total - depth <= budget)
+        few = (a1 - a0 <= leaf) & (b1 - b0 <= leaf)
+        yield from _compared(lanes, a0[few], a1[few], b0[few], b1[few], budget)
+        whole = ~few & (err + total - depth <= budget)
         for x0, x1, y0, y1 in zip(*(x[whole].tolist() for x in (a0, a1, b0, b1)), strict=True):
             yield np.full(x1 - x0, x0), np.arange(x0, x1)
             yield np.full(y1 - y0, x0), np.arange(y0, y1)
-        live = ~single & ~whole
+        live = ~few & ~whole
         a0, a1, b0, b1, err, same = (x[live] for x in (a0, a1, b0, b1, err, same))
         if not len(a0):
             continue
@@ -145,9 +179,9 @@ def _join_blocks(depth: int):
     """mapInPandas over rows (key, turned, fp) sorted by key and turned; whole keys are joined, a batch's last one waits."""
 
     def links(key, turned, fp):
-        i, j = trie_links(turned.view(np.uint64), key, depth)
         forest = Forest(len(fp))
-        forest.add(i, j)
+        for i, j in trie_pieces(turned.view(np.uint64), key, depth, BUDGET, forest.connects):
+            forest.add(i, j)
         a, b = forest.stars()
         return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
@@ -184,16 +218,16 @@ def _by_blocks(fps: DataFrame) -> DataFrame:
     return turned.select("fp", "turned", F.expr(f"shiftrightunsigned(turned, {64 - BLOCK}) * 64 + by").alias("key"))
 
 
-def _by_parts(rows: DataFrame) -> DataFrame:
-    """Rows of a hot block at the four 12-bit parts of their other 48 bits, one of which is alike again.
-
-    That part is turned to stand behind the block, so that 28 bits agree.
-    """
-    rest = 64 - BLOCK
-    turns = rows.select("fp", "key", "turned", F.explode(F.array(*[F.lit(x) for x in range(0, rest, _PART)])).alias("by"))
+def _by_parts(rows: DataFrame, depth: int) -> tuple[DataFrame, int]:
+    """Rows of hot keys, whose members agree in depth bits, at four parts of their other bits, one of which is alike
+    again; and how many bits then agree. That part is turned to stand behind the bits that agree already."""
+    rest = 64 - depth
+    part = rest // 4
+    turns = rows.select("fp", "key", "turned", F.explode(F.array(*[F.lit(x) for x in range(0, 4 * part, part)])).alias("by"))
     turned = turns.select("fp", "key", "by", F.expr(f"(turned & {-(1 << rest)}L) | {_turn('turned', 'by', rest)}").alias("turned"))
-    part = f"shiftrightunsigned(turned, {rest - _PART}) & {(1 << _PART) - 1}"
-    return turned.select("fp", "turned", F.expr(f"(key * 64 + by) * {1 << _PART} + ({part})").alias("key"))
+    # a key stands for what its members agree in: one hash of all that is no more alike than the bits are
+    alike = F.expr(f"shiftrightunsigned(turned, {rest - part})")
+    return turned.select("fp", "turned", F.xxhash64("key", "by", alike).alias("key")), depth + part
 
 
 def _join(rows: DataFrame, depth: int) -> DataFrame:
@@ -206,13 +240,19 @@ def _join(rows: DataFrame, depth: int) -> DataFrame:
 def link_fingerprints(fps: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
     """Links (a, b) between distinct 64-bit fingerprints (column fp) at BUDGET or fewer differing bits.
 
-    As many links as join what is connected: those of a block come as stars. Blocks of more than hot_block
-    fingerprints are dealt out by a further part of their bits, so that a task gets no block of unrelated ones.
+    As many links as join what is connected: those of a block come as stars. Keys of more than hot_block fingerprints
+    are dealt out again by a further part of their bits, until no such key is left or _DEEPEST bits agree, so that a
+    task gets few unrelated ones.
     """
-    rows = _by_blocks(fps)
-    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_block).select("key")
-    cold = _join(rows.join(hot, "key", "left_anti"), BLOCK)
-    return cold.unionByName(_join(_by_parts(rows.join(hot, "key", "left_semi")), BLOCK + _PART))
+    rows, depth, found = _by_blocks(fps), BLOCK, None
+    while True:
+        hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_block).select("key"))
+        last = depth >= _DEEPEST or hot.isEmpty()
+        links = _join(rows if last else rows.join(hot, "key", "left_anti"), depth)
+        found = links if found is None else found.unionByName(links)
+        if last:
+            return found
+        rows, depth = _by_parts(rows.join(hot, "key", "left_semi"), depth)
 
 
 def tables(n: int, cell: int = WIDE_CELL) -> tuple[int, int]:
@@ -251,9 +291,16 @@ def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         keys = np.stack([rows.column(c).to_numpy() for c in _BUCKET], axis=1)
         group = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))))
         lanes = rows.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
-        order = np.lexsort((*lanes.T[::-1], group))
+        side = rows.column("side").to_numpy()
+        order = np.lexsort((*lanes.T[::-1], side, group))
         lanes, node, forest = lanes[order], rows.column("node").to_numpy()[order], Forest(len(order))
-        for i, j in trie_pieces(lanes, group, 0, WIDE_BUDGET, forest.connects):
+        # a tile meets itself in a bucket of its own, so that two tiles only meet each other
+        lo, size = np.unique(group, return_index=True, return_counts=True)[1:]
+        hi, mid = lo + size, lo + size - np.bincount(group, side, len(lo)).astype(np.int64)
+        two = keys[lo, 2] != keys[lo, 3]
+        begin = lo, np.where(two, mid, hi), np.where(two, mid, lo), hi
+        met = (begin[1] > begin[0]) & (begin[3] > begin[2])
+        for i, j in trie_pieces(lanes, group, 0, WIDE_BUDGET, forest.connects, _LEAF, tuple(x[met] for x in begin)):
             forest.add(i, j)
         a, b = forest.stars()
         return pa.RecordBatch.from_pydict({"a": node[a], "b": node[b]})
@@ -276,23 +323,24 @@ def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(wait)
 
 
-def link_wide(classes: DataFrame, cell: int = WIDE_CELL, hot_block: int = HOT_BLOCK) -> DataFrame:
+def link_wide(classes: DataFrame, cell: int = WIDE_CELL, hot_block: int = HOT_BLOCK, exact: bool = False) -> DataFrame:
     """Links (a, b) between nodes (node, fp) of distinct wide fingerprints at WIDE_BUDGET or fewer differing bits.
 
     As many links as join what is connected: those of a bucket come as stars. Buckets of more than twice hot_block
-    fingerprints are cut into tiles by a hash, and each pair of tiles is a bucket of its own.
+    fingerprints are cut into tiles by a hash, and each pair of tiles is a bucket of its own. exact: all fingerprints are
+    one such bucket, whatever their number, so that no pair is lost; the work is then the square of their number.
     """
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = classes.select("node", "fp").mapInArrow(_bucket_keys(*tables(classes.count(), cell)), "tab int, key long, node long, fp array<long>")
+    placed = classes.select("node", "fp").mapInArrow(_bucket_keys(*((1, 0) if exact else tables(classes.count(), cell))), "tab int, key long, node long, fp array<long>")
     hot = cut(placed.groupBy("tab", "key").agg(F.count("*").alias("size")).where(F.col("size") > 2 * hot_block))
     if hot.isEmpty():
-        dealt = placed.withColumns({"ta": F.lit(0), "tb": F.lit(0)})
+        dealt = placed.withColumns({"ta": F.lit(0), "tb": F.lit(0), "side": F.lit(0)})
     else:
         parts = F.coalesce(F.ceil(F.col("size") / hot_block), F.lit(1)).cast("int")
         own = placed.join(hot, ["tab", "key"], "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = each.withColumns({"ta": F.least("own", "other"), "tb": F.greatest("own", "other")})
-    sorted_ = dealt.select(*_BUCKET, "node", "fp").repartition(n, *_BUCKET).sortWithinPartitions(*_BUCKET)
+        dealt = each.withColumns({"ta": F.least("own", "other"), "tb": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    sorted_ = dealt.select(*_BUCKET, "side", "node", "fp").repartition(n, *_BUCKET).sortWithinPartitions(*_BUCKET)
     return sorted_.mapInArrow(_join_buckets, "a long, b long")
 
 
@@ -300,11 +348,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id) for every row of docs: fp the fingerprint as a signed long.
 
     component_id is the least id that is reachable over links of BUDGET or fewer differing bits, the row's own
-    included. Texts that are null, empty or without words have fingerprint 0 and are linked like others; repeated
+    included. Texts that are null, empty or without words have fingerprint 0 and are linked like others; invalid UTF-8
+    counts as U+FFFD; repeated
     rows stay repeated; rows with a null id are linked too, and a component of null ids alone has a null
     component_id. Other columns of docs are not read. An empty table gives an empty one.
     """
-    marked = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
+    marked = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.make_valid_utf8(F.col(text_col))).alias("fp")))
     return group_fingerprints(marked, hot_block)
 
 
@@ -323,10 +372,10 @@ def _named(marked: DataFrame, rooted: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("id", "fp", "component_id")
 
 
-def group_wide(marked: DataFrame, cell: int = WIDE_CELL, hot_block: int = HOT_BLOCK) -> DataFrame:
+def group_wide(marked: DataFrame, cell: int = WIDE_CELL, hot_block: int = HOT_BLOCK, exact: bool = False) -> DataFrame:
     """As group_fingerprints, by the wide rule."""
     classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    found = connected_components(link_wide(classes, cell, hot_block))
+    found = connected_components(link_wide(classes, cell, hot_block, exact))
     return _named(marked, classes.join(found, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")))
 
 
@@ -340,7 +389,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     i, h, n = fresh_names(docs, "keep_id", "keep_hash", "keep_row")
     whole_id, hash_of = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.col(text_col), F.col(text_col).isNull())
-    marked = cut(docs.select(F.struct(whole_id.alias("i"), hash_of.alias("h")).alias("id"), (wide_fingerprint_udf if wide else fingerprint_udf)(F.col(text_col)).alias("fp")))
+    marked = cut(docs.select(F.struct(whole_id.alias("i"), hash_of.alias("h")).alias("id"), (wide_fingerprint_udf if wide else fingerprint_udf)(F.make_valid_utf8(F.col(text_col))).alias("fp")))
     rows = (group_wide if wide else group_fingerprints)(marked).groupBy("id").agg(F.max(F.col("component_id") == F.col("id")).alias("leads"), F.count("*").alias("n"))
     # decided on narrow rows: whole documents only meet what goes, and the few repeated ones each other
     rows = cut(rows.where("NOT leads OR n > 1").select(F.col("id.i").alias(i), F.col("id.h").alias(h), "leads"))

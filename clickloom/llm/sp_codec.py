@@ -312,4 +312,4 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids", "ids_text", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary, ids_text string, decoded string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(text_col)).alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary, ids_text string, decoded string")

@@ -38,8 +38,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, version: str, id_col: str = "
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array(n, pa.int64()), batch.column("n_chars")], names=["doc_id", "source", "lang", "n_tokens", "n_chars"])
 
     group = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("source", "lang")]
-    n_chars = F.coalesce(F.char_length(text_col), F.lit(0)).cast("long").alias("n_chars")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), *group, n_chars, F.col(text_col).alias("text"))
+    text = F.make_valid_utf8(F.col(text_col))
+    n_chars = F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n_chars")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), *group, n_chars, text.alias("text"))
     counted = own.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long, n_chars long")
     return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), "n_tokens", "n_chars")
 

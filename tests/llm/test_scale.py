@@ -1,0 +1,136 @@
+"""Exact modes beyond the sizes at which sampling begins, hot groups, and texts that are no UTF-8."""
+
+from __future__ import annotations
+
+import time
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clickloom.llm import embed_dedup, queries, quality_cnn, simhash, token_rollup
+from clickloom.llm.components import connected_components
+from tests.llm.test_embeddings import SCHEMA, _brute, _planted
+from tests.llm.test_text import _components, _near_copies, _wide, _wide_groups
+from tests.llm.test_tokens import BYTE
+
+
+def test_wide_rule_exact_beyond_one_bucket(spark):
+    rng = np.random.default_rng(41)
+    texts = [t for _ in range(80) for t in _near_copies(rng, 60, (1, 2, 3, 4, 6))]
+    fps = [_wide(t) for t in texts]
+    assert len(set(fps)) > 400 > simhash.WIDE_CELL and simhash.tables(len(set(fps)))[1] > 0
+    want = dict(enumerate(_components(fps, simhash.WIDE_BUDGET)))
+    assert _wide_groups(spark, texts, exact=True) == want
+    assert _wide_groups(spark, texts, exact=True, hot_block=50) == want  # in tiles that meet each other once
+
+
+def test_a_bucket_of_unrelated_fingerprints_is_quick():
+    rng = np.random.default_rng(42)
+    lanes = rng.integers(0, 1 << 63, (8000, simhash.LANES), dtype=np.uint64)
+    lanes = lanes[np.lexsort(lanes.T[::-1])]
+    began = time.time()
+    pieces = list(simhash.trie_pieces(lanes, np.zeros(len(lanes), np.int64), 0, simhash.WIDE_BUDGET, None, simhash._LEAF))
+    assert time.time() - began < 10 and sum(len(i) for i, _ in pieces) == 0  # 0.4 s on a quiet machine
+
+
+@pytest.mark.parametrize("leaf", [1, 4, 256])
+def test_leaves_make_no_difference(leaf):
+    rng = np.random.default_rng(43)
+    lanes = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
+    lanes = np.unique(np.concatenate([lanes ^ np.uint64(1 << int(b)) for b in rng.integers(0, 40, 30)]), axis=0)
+    near = np.bitwise_count(lanes[:, None] ^ lanes[None]).sum(axis=2) <= 5
+    found = np.zeros_like(near)
+    for i, j in simhash.trie_pieces(lanes, np.zeros(len(lanes), np.int64), 0, 5, None, leaf):
+        found[i, j] = True
+    np.fill_diagonal(near, False)
+    assert (found | found.T == near).all()
+
+
+def test_a_hot_part_of_many_fingerprints(spark):
+    """40,000 fingerprints that agree in a block and a part behind it, most of them unrelated in the other 36 bits."""
+    rng = np.random.default_rng(44)
+    head = np.uint64(0xABCD123) << np.uint64(36)
+    tails = np.unique(rng.integers(0, 1 << 36, 40_000, dtype=np.uint64))
+    planted = tails[:500] ^ np.uint64(1 << 3) ^ np.uint64(1 << 20) ^ np.uint64(1 << 33)
+    fps = np.unique(head | np.concatenate((tails, planted)))
+    roots = np.arange(len(fps))
+    for at in range(0, len(fps), 500):
+        i, j = np.nonzero(np.bitwise_count(fps[at : at + 500, None] ^ fps[None, :]) <= 3)
+        i, j = i[i + at < j] + at, j[i + at < j]
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            while roots[a] != a:
+                a = roots[a]
+            while roots[b] != b:
+                b = roots[b]
+            roots[max(a, b)] = min(a, b)
+    for k in range(len(roots)):
+        while roots[roots[k]] != roots[k]:
+            roots[k] = roots[roots[k]]
+    assert (roots != np.arange(len(fps))).sum() >= 400
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    rows = simhash._by_blocks(table)
+    hot = lambda df: df.groupBy("key").count().agg(F.max("count")).first()[0]
+    first = hot(rows)
+    second, depth = simhash._by_parts(rows, simhash.BLOCK)
+    third, deeper = simhash._by_parts(second, depth)
+    assert first > 30_000 and hot(second) > 30_000 and (depth, deeper) == (28, 37) and hot(third) < simhash.HOT_BLOCK
+    found = {r["node"]: r["root"] for r in connected_components(simhash.link_fingerprints(table)).collect()}
+    groups, want = {}, {}
+    for k, x in enumerate(fps.view(np.int64).tolist()):
+        groups.setdefault(found.get(x, x), set()).add(x)
+        want.setdefault(int(roots[k]), set()).add(x)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()}
+
+
+def test_all_pairs_exact_beyond_a_cell(spark):
+    vectors = _planted(np.random.default_rng(45), 300)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], SCHEMA)
+    got = embed_dedup.near_duplicates(rows, cell=40, exact=True).toPandas().set_index("id").sort_index()
+    links, comp = _brute(np.arange(600), vectors, np.ones(600))
+    assert (got["n_links"].to_numpy() == links).all() and (got["component_id"].to_numpy() == comp).all()
+
+
+def test_a_dense_cluster_in_many_grids(spark):
+    """A cluster that most grids keep together: each of its pairs is counted once, and all are found."""
+    rng = np.random.default_rng(46)
+    centre = rng.normal(size=32)
+    vectors = np.concatenate((centre + 0.15 * rng.normal(size=(600, 32)), rng.normal(size=(200, 32))))
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], SCHEMA)
+    got = embed_dedup.near_duplicates(rows, cell=100).toPandas().set_index("id").sort_index()
+    links, comp = _brute(np.arange(800), vectors, np.ones(800))
+    assert links.max() > 500 and (got["n_links"].to_numpy() <= links).all() and got["n_links"].sum() >= 0.99 * links.sum()
+    assert (got["component_id"].to_numpy() == comp).all()
+
+
+def test_blocks_that_another_grid_has_are_not_compared():
+    rng = np.random.default_rng(47)
+    units = embed_dedup.unit(rng.normal(size=32) + 0.1 * rng.normal(size=(1000, 32)))
+    number = np.repeat([3, 8], [900, 100])
+    plain = {(i, j) for x, y in embed_dedup.near_pairs(units, units) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    spared = {(i, j) for x, y in embed_dedup.near_pairs(units, units, done=(number, number)) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert spared == {(i, j) for i, j in plain if number[i] != number[j] or i >= 768 and i // 256 == 3}  # the last block is mixed
+    assert len(spared) < 0.5 * len(plain)
+
+
+def test_invalid_utf8_counts_as_the_replacement_character(spark, tmp_path):
+    """Spark reads such strings from Parquet without complaint; every operator on texts takes them as U+FFFD."""
+    good = "plain text here with a few more words in it and a � mark"
+    raw = good.encode().replace("�".encode(), b"\xff")
+    both = [(1, raw), (2, good.encode()), (3, b"\xc3"), (4, "�".encode())]
+    docs = spark.createDataFrame([(i, bytearray(t)) for i, t in both], "doc_id long, text binary").selectExpr("doc_id", "CAST(text AS string) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def same(df, *columns):
+        rows = {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+        assert rows[1] == rows[2] and rows[3] == rows[4], columns
+
+    same(queries.op2_sentencepiece(spark, str(tmp_path)), "n_tokens", "ids_sha256", "decoded_sha256")
+    same(queries.op6_token_files(spark, str(tmp_path)), "n_tokens", "ids_crc32")
+    same(queries.op7_best_fit_packing(spark, str(tmp_path)), "length", "ids_crc32")
+    same(queries.op8_license_scan(spark, str(tmp_path)), "n_words", "labels")
+    same(queries.op10_simhash_dedup(spark, str(tmp_path)), "fingerprint")
+    same(token_rollup.count_tokens(docs, BYTE, "v"), "n_tokens", "n_chars")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    same(quality_cnn.score(docs, quality_cnn.fit(docs, labels)).withColumnRenamed("id", "doc_id"), "score")
