@@ -15,6 +15,7 @@ from clickloom.functions.columns import join_items
 from clickloom.jobs import run, sinks, upkeep
 from clickloom.jobs.sinks import ledger_rows as as_ledger
 from clickloom.operators import covisit, evaluate, fuse, prepare, recommend, sweep
+from clickloom.operators.ranges import numbered
 from clickloom.schema import EVENT_TYPES, RECALL_WEIGHTS, VARIANTS, variant
 from clickloom.sources.events import events_as_sessions, fingerprint, orders_as_sessions, read_events, read_table, shard_fingerprints
 from clickloom.sources.shared import fresh_folder
@@ -359,13 +360,22 @@ def colocated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.predict_colocated(spark, names, "base").select("session", join_items(F.col("items")).alias("labels"))
 
 
+def ordered_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submission file of one variant, with the number of each line behind the header."""
+    folder = _stored(spark, _events(spark, sf_dir))
+    run.build_index(spark, f"{folder}/in", folder, [variant("base")])
+    run.predict(spark, f"{folder}/in", folder, folder, single=True)
+    rows = read_table(spark, f"{folder}/submission/submission_base.csv", "place")
+    return numbered(rows, ["place"], 4, "line").select("session_type", "labels", "line")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (session_events, unknown_types, type_weights, recent_threshold, recent_events, ordered_events, covisit_pairs_l2)
     more = (
         covisit_scores_lineitem, merge_scores, covisit_topk_100, covisit_topk_300, candidate_index, recent_items, predictions, predictions_lineitem, submission_rows,
         normalized_predictions, normalized_labels, recall_by_type, overall_recall, folded_sweep_scores, sweep_predictions, variant_leaderboard, ledger_rows, fused_candidates, ranker_rows,
         read_shards, read_shards_by_code, stored_index, stored_metadata, cached_sessions, stored_submission, stored_predictions, stored_metrics,
-        covisit_scores_long_sessions, read_mixed_shards, covisit_scores_file_order, stored_recent_index, index_by_shard, sessions_by_shard, last_predictions, colocated_predictions,
+        covisit_scores_long_sessions, read_mixed_shards, covisit_scores_file_order, stored_recent_index, index_by_shard, sessions_by_shard, last_predictions, colocated_predictions, ordered_submission,
     )
     scores = {f"covisit_scores_{n}": _scores(n) for n in ("base", "v12", "v13", "v14", "v15", "v16", "v17", "v18")}
     return {f.__name__: f for f in plain} | scores | {f.__name__: f for f in more}
@@ -483,6 +493,8 @@ def oracle_sql() -> dict[str, str]:
     out["stored_recent_index"] = f"WITH {_EV}, late AS (SELECT * FROM ev WHERE ts > (SELECT max(epoch_us(ts) // 1000) - 1209600000 FROM events)), {_scores_sql('base', 'late')}, {_top_sql(100)} SELECT aid_key, {flat} FROM top GROUP BY aid_key"
     out["index_by_shard"] = f"WITH {_EV}, part AS (SELECT * FROM ev WHERE session % 3 <> 2), {_scores_sql('base', 'part')}, {_top_sql(100)} SELECT aid_key, {flat} FROM top GROUP BY aid_key"
     out["sessions_by_shard"], out["last_predictions"], out["colocated_predictions"] = out["recent_items"], out["normalized_predictions"], out["predictions"]
+    turns = "(VALUES " + ", ".join(f"('{t}', {k})" for k, t in enumerate(EVENT_TYPES)) + ") AS k(kind, turn)"
+    out["ordered_submission"] = f"{predicted} SELECT concat(session, '_', kind) AS session_type, labels, row_number() OVER (ORDER BY session, turn) AS line FROM (SELECT session, {items()} AS labels FROM guess GROUP BY session) CROSS JOIN {turns}"
     three = ("v12", "v14", "v17")
     lists = ", ".join(f"{_scores_sql(n, 'hist', f's_{n}')}, {_top_sql(VARIANTS[n].topk, f's_{n}', f't_{n}')}, {_guess_sql(f't_{n}', f'g_{n}')}" for n in three)
     out["sweep_predictions"] = f"WITH {_EV}, {_HISTORY}, {_recent_sql('hist')}, {lists} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, session, {items()} AS labels FROM g_{n} GROUP BY session" for n in three)

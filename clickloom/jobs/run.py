@@ -2,7 +2,7 @@
 
     python -m clickloom.jobs.run index --events IN --out DIR [--variant NAME ...] [--max-shards N] [--per-shard]
         [--clicks N] [--carts N] [--orders N] [--lookback N] [--topk N] [--file-order] [--longest-session N]
-    python -m clickloom.jobs.run predict --events IN --index DIR --out DIR [--topk N] [--versions NAME ...] [--refresh-cache]
+    python -m clickloom.jobs.run predict --events IN --index DIR --out DIR [--topk N] [--versions NAME ...] [--refresh-cache] [--single-file]
     python -m clickloom.jobs.run evaluate --predictions FILE --labels FILE --out DIR
     python -m clickloom.jobs.run leaderboard --events HISTORY --labels FILE --out DIR [--variant NAME ...]
     python -m clickloom.jobs.run fuse --events IN --index DIR --out DIR [--versions NAME ...]
@@ -83,11 +83,14 @@ def _recommended(spark: SparkSession, events_path: str, index_path: str, cache:
     return recent, recommend.predict(each, index, topk, by=("variant",))
 
 
-def predict(spark: SparkSession, events_path: str, index_path: str, out: str, topk: int = TOP_ITEMS, type_codes: bool | None = None, versions: list[str] | None = None, refresh: bool = False) -> None:
-    """Submissions by variant. Last times of items are kept by shard under out, so that a later call reads new and
+def predict(spark: SparkSession, events_path: str, index_path: str, out: str, topk: int = TOP_ITEMS, type_codes: bool | None = None, versions: list[str] | None = None, refresh: bool = False, single: bool = False) -> None:
+    """Submissions by variant, as folders of parts or, if single, as one file a variant in the order of sessions. Last times of items are kept by shard under out, so that a later call reads new and
     changed shards only, unless refreshed."""
     _, found = _recommended(spark, events_path, index_path, f"{out}/sessions", topk, type_codes, versions, refresh)
-    sinks.write_submission(recommend.submission(found, by=("variant",)), f"{out}/submission")
+    if single:
+        sinks.write_ordered_submission(recommend.submission(found, by=("variant",), order=True), f"{out}/submission")
+    else:
+        sinks.write_submission(recommend.submission(found, by=("variant",)), f"{out}/submission")
 
 
 def store_colocated(spark: SparkSession, events_path: str, index_path: str, out: str, topk: int = TOP_ITEMS, buckets: int = 64) -> tuple[str, str]:
@@ -127,7 +130,7 @@ def run_evaluate(spark: SparkSession, predictions_path: str, labels_path: str, o
 def run_leaderboard(spark: SparkSession, events_path: str, labels_path: str, out: str, chosen: list[Variant], topk: int = TOP_ITEMS, type_codes: bool | None = None) -> None:
     """(variant, overall_recall) under out, of recommendations from the history at events_path."""
     labels = evaluate.normalize_labels(read_table(spark, labels_path, "place"), "place")
-    sinks.write_metrics(sweep.leaderboard(read_events(spark, events_path, None, type_codes), labels, chosen, topk, recency_limit(spark, events_path) if any(v.recent for v in chosen) else None), f"{out}/leaderboard")
+    sinks.write_metrics(sweep.leaderboard(read_events(spark, events_path, None, type_codes), labels, chosen, topk, recency_limit(spark, events_path) if any(v.recent for v in chosen) else None, LONGEST), f"{out}/leaderboard")
 
 
 def run_fuse(spark: SparkSession, events_path: str, index_path: str, out: str, topk: int = TOP_ITEMS, type_codes: bool | None = None, versions: list[str] | None = None, refresh: bool = False) -> None:
@@ -175,6 +178,7 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--enabled", nargs="*", default=["convisitation"], choices=STAGES, help="stages that took part, for the ledger")
             for x in ("--exp-name", "--config", "--notes"):
                 p.add_argument(x, default="")
+    own["predict"].add_argument("--single-file", action="store_true")
     own["index"].add_argument("--max-shards", type=int)
     own["index"].add_argument("--per-shard", action="store_true")
     own["index"].add_argument("--file-order", action="store_true")
@@ -194,7 +198,7 @@ def main(args: list[str] | None = None) -> None:
         changed = {x: getattr(a, x) for x in OVERRIDES if getattr(a, x) is not None}
         build_index(spark, a.events, a.out, [dataclasses.replace(variant(n), **changed) for n in a.variant], a.max_shards, a.type_codes, a.per_shard, a.file_order, a.longest_session)
     elif a.job == "predict":
-        predict(spark, a.events, a.index, a.out, a.topk, a.type_codes, a.versions, a.refresh_cache)
+        predict(spark, a.events, a.index, a.out, a.topk, a.type_codes, a.versions, a.refresh_cache, a.single_file)
     elif a.job == "evaluate":
         reached = run_evaluate(spark, a.predictions, a.labels, a.out)
     elif a.job == "leaderboard":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from clickloom.functions.columns import sanitize_field
 from clickloom.operators.recommend import recent_items
 from clickloom.schema import INDEX, LEDGER, RECENT
+from clickloom.sources.shared import concatenate
 
 
 def write_index(index: DataFrame, path: str) -> None:
@@ -60,6 +62,38 @@ def write_submission(rows: DataFrame, path: str) -> None:
     (writer.partitionBy("variant") if "variant" in rows.columns else writer).csv(path)
 
 
+def write_ordered_submission(rows: DataFrame, path: str) -> list[str]:
+    """One CSV file for each variant, submission_<variant>.csv, with a header, in the order of sessions and event types;
+    the paths of the files.
+
+    rows: (variant, session, turn, session_type, labels). Tasks write ranges of the order as parts without a header,
+    and the file system joins the parts of a variant behind one; no row passes through the driver. Where the store
+    cannot join files, the path is a folder that holds the header and the parts, named in order. A file that was there
+    gives way once the new one is whole.
+    """
+    spark, order = rows.sparkSession, ["variant", "session", "turn"]
+    jvm, parts = spark._jvm, f"{path}/_parts-{uuid.uuid4().hex}"
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("variant", "session_type", "labels").write.partitionBy("variant").option("emptyValue", "").csv(parts)
+    at = jvm.org.apache.hadoop.fs.Path(parts)
+    fs, out = at.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for folder in sorted(str(x.getPath()) for x in fs.listStatus(at) if x.isDirectory()):
+        name = folder.rpartition("=")[2]
+        files = sorted(str(x.getPath()) for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if x.getLen() and x.getPath().getName()[0] not in "._")
+        head = fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/header"), True)
+        head.write(bytearray(b"session_type,labels\n"))
+        head.close()
+        whole = f"{folder}/whole" if concatenate(spark, [f"{folder}/header", *files], f"{folder}/whole") else folder
+        if whole == folder:
+            fs.rename(jvm.org.apache.hadoop.fs.Path(f"{folder}/header"), jvm.org.apache.hadoop.fs.Path(f"{folder}/part-0-header"))
+        target = f"{path}/submission_{name}.csv"
+        fs.delete(jvm.org.apache.hadoop.fs.Path(target), True)
+        fs.rename(jvm.org.apache.hadoop.fs.Path(whole), jvm.org.apache.hadoop.fs.Path(target))
+        out.append(target)
+    fs.delete(at, True)
+    return out
+
+
 def write_candidates(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 

@@ -42,7 +42,11 @@ def predict(recent: DataFrame, index: DataFrame, topk: int = TOP_ITEMS, by: Sequ
     return joined.select(*by, "session", F.slice(F.array_distinct(items), 1, topk).alias("items"))
 
 
-def submission(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, session_type, labels): each session's items as text, once for each event type."""
-    kind = F.explode(F.array(*[F.lit(t) for t in EVENT_TYPES])).alias("kind")
-    return predictions.select(*by, "session", join_items(F.col("items")).alias("labels"), kind).select(*by, session_key(F.col("session"), F.col("kind")).alias("session_type"), "labels")
+def submission(predictions: DataFrame, by: Sequence[str] = (), order: bool = False) -> DataFrame:
+    """(by, session_type, labels): each session's items as text, once for each event type.
+
+    With order also session and turn, the place of the event type, by which rows are written in order.
+    """
+    kind = F.posexplode(F.array(*[F.lit(t) for t in EVENT_TYPES])).alias("turn", "kind")
+    rows = predictions.select(*by, "session", join_items(F.col("items")).alias("labels"), kind)
+    return rows.select(*by, *(["session", "turn"] if order else []), session_key(F.col("session"), F.col("kind")).alias("session_type"), "labels")

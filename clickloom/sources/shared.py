@@ -84,3 +84,32 @@ def claimed(spark: SparkSession, path: str) -> str | None:
     """The text that was claimed for a path, or nothing."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claim")
     return _read(spark, path).partition("\n")[2] if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def concatenate(spark: SparkSession, parts: list[str], target: str) -> bool:
+    """Make one file of parts, in their order and in their folder, by the file system itself; False where it has no way.
+
+    Bytes are not read by the driver's Python, nor parsed: a store that can joins the files' blocks.
+    """
+    jvm = spark._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(x) for x in [target, *parts]]
+    fs = _file_system(spark, paths[0])
+    if fs.getScheme() == "file":  # its checksums are for whole files; below them there is a way, which makes the target
+        fs, first = fs.getRawFileSystem(), 1
+    else:
+        fs.rename(paths[1], paths[0])
+        first = 2
+    if len(paths) == first:
+        return True
+    rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(paths) - first)
+    for k, x in enumerate(paths[first:]):
+        rest[k] = x
+    try:
+        fs.concat(paths[0], rest)
+    except Py4JJavaError as e:
+        if "UnsupportedOperationException" not in str(e.java_exception):
+            raise
+        if first == 2:
+            fs.rename(paths[0], paths[1])
+        return False
+    return True

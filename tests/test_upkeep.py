@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import glob
 import os
 import random
@@ -79,6 +80,25 @@ def test_numbers(spark):
     assert ranges.numbered(df.limit(0), ["a"], 4).collect() == []
 
 
+def test_boards_of_cut_sessions(spark):
+    history = _log(spark, [60, 3, 40, 25], seed=3, items=12)
+    labels = evaluate.normalize_labels(spark.createDataFrame([(f"{s}_{t}", [1, 2, 5]) for s in range(4) for t in ("clicks", "orders")], "session_type string, ground_truth array<long>"))
+    assert _bag(sweep.leaderboard(history, labels, longest=10)) == _bag(sweep.leaderboard(history, labels))
+
+
+def test_lists_of_a_shared_sum(spark):
+    """Variants of one sum and different numbers of candidates: each has its own from one ranking."""
+    history = _log(spark, [80, 50], seed=4, items=40)
+    chosen = [variant(n) for n in ("base", "v20", "v14", "v19", "v12")]
+    chosen = [dataclasses.replace(v, topk=k) for v, k in zip(chosen, (3, 5, 30, 2, 4), strict=True)]
+    got = {r["aid_key"]: r for r in sweep.wide_index(sweep.shared_scores(history, chosen), chosen, topk=20).collect()}
+    for v in chosen:
+        best = covisit.candidate_index(covisit.topk_per_key(sweep.direct_scores(history, v), min(v.topk, 20)))
+        assert {k: r[v.name] for k, r in got.items() if r[v.name]} == {r["aid_key"]: r["candidates"] for r in best.collect()}
+    plan = sweep.wide_index(sweep.shared_scores(history, chosen), chosen)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") >= 1 and "s3" not in plan and "s2" in plan  # five variants, three sums
+
+
 # shards as they are
 
 
@@ -384,3 +404,35 @@ def test_fuse_job_plans_the_join_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "write_candidates", lambda rows, at: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, at)))
     run.run_fuse(spark, path, f"{tmp_path}/out", f"{tmp_path}/fused")
     assert plans[0].count("Join") == 1
+
+
+# one submission file a variant
+
+
+def _guesses(spark, n):
+    """Sessions in no order, of two variants; one has no items."""
+    rows = spark.range(n).selectExpr("pmod(id * 7919, 100003) AS session", "IF(id = 5, array(), array(id, id + 1)) AS items")
+    return rows.withColumn("variant", F.explode(F.array(F.lit("base"), F.lit("v16")))).repartition(7)
+
+
+def test_one_file_in_the_order_of_sessions(spark, tmp_path):
+    predictions = _guesses(spark, 3000)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "submission_base.csv").write_text("old")
+    paths = sinks.write_ordered_submission(recommend.submission(predictions, by=("variant",), order=True), f"{tmp_path}/out")
+    assert [p.rpartition("/")[2] for p in paths] == ["submission_base.csv", "submission_v16.csv"]
+    want = ["session_type,labels"]
+    for r in sorted(predictions.where("variant = 'base'").collect(), key=lambda r: r["session"]):
+        want += [f"{r['session']}_{t},{' '.join(map(str, r['items']))}" for t in ("clicks", "carts", "orders")]
+    for p in paths:
+        assert open(p).read().splitlines() == want
+    assert sorted(x for x in os.listdir(f"{tmp_path}/out") if x[0] != ".") == ["submission_base.csv", "submission_v16.csv"]
+    back = evaluate.normalize_predictions(sources.read_table(spark, paths[0]))
+    assert back.count() == 9000
+
+
+def test_a_store_that_cannot_join_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "concatenate", lambda *a: False)
+    (path,) = sinks.write_ordered_submission(recommend.submission(_guesses(spark, 50).where("variant = 'base'"), by=("variant",), order=True), f"{tmp_path}/out")
+    names = sorted(x for x in os.listdir(path) if x[0] not in "._")
+    assert names[0] == "part-0-header" and "".join(open(f"{path}/{x}").read() for x in names).count("\n") == 151
