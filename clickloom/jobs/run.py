@@ -1,7 +1,8 @@
-"""The jobs: build an index, recommend, evaluate, compare all variants, fuse candidates, label them for a ranker.
+"""The jobs: build an index, or let one follow its shards, recommend, evaluate, compare all variants, fuse candidates, label them for a ranker.
 
     python -m clickloom.jobs.run index --events IN --out DIR [--variant NAME ...] [--max-shards N] [--per-shard]
         [--clicks N] [--carts N] [--orders N] [--lookback N] [--topk N] [--file-order] [--longest-session N]
+    python -m clickloom.jobs.run follow --events IN --out DIR [--variant NAME]
     python -m clickloom.jobs.run predict --events IN --index DIR --out DIR [--topk N] [--versions NAME ...] [--refresh-cache] [--single-file]
     python -m clickloom.jobs.run evaluate --predictions FILE --labels FILE --out DIR
     python -m clickloom.jobs.run leaderboard --events HISTORY --labels FILE --out DIR [--variant NAME ...]
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import json
 import uuid
 from collections.abc import Iterable
 from datetime import datetime
@@ -26,7 +28,7 @@ from clickloom.jobs import sinks, upkeep
 from clickloom.operators import covisit, evaluate, fuse, prepare, recommend, sweep
 from clickloom.schema import DAY_MS, EVENT_TYPES, LEDGER, RECENT_DAYS, TOP_ITEMS, VARIANTS, Variant, variant
 from clickloom.sources.events import latest_time, read_events, read_table
-from clickloom.sources.shared import remove
+from clickloom.sources.shared import claimed, remove
 
 #: Parameters of a variant that a run may set otherwise.
 OVERRIDES = ("clicks", "carts", "orders", "lookback", "topk")
@@ -63,9 +65,18 @@ def build_index(spark: SparkSession, events_path: str, out: str, chosen: list[Va
     sinks.write_metadata(spark, f"{out}/metadata", {"variants": [vars(v) for v in chosen], "events": events_path, "max_shards": max_shards, "per_shard": per_shard})
 
 
+def follow(spark: SparkSession, events_path: str, out: str, chosen: Variant) -> tuple[int, int]:
+    """Let the index under out follow the shards of an input; how many shards came and went. The first call builds it."""
+    return upkeep.IndexStore(spark, out, chosen).follow(events_path)
+
+
 def _index(spark: SparkSession, index_path: str, versions: list[str] | None) -> tuple[DataFrame, list[str]]:
     """An index cut to the named variants, or to all that it has; one that it lacks is an error."""
-    index = sinks.read_index(spark, f"{index_path}/index")
+    if told := claimed(spark, f"{index_path}/made_for"):  # an index that follows its shards
+        kept = Variant(**{k: v for k, v in json.loads(told).items() if k != "buckets"})
+        index = upkeep.IndexStore(spark, index_path, kept, json.loads(told)["buckets"]).index().withColumn("variant", F.lit(kept.name))
+    else:
+        index = sinks.read_index(spark, f"{index_path}/index")
     known = {r["variant"] for r in index.select("variant").distinct().collect()}  # partition folders, as many as variants
     names = sorted(known if versions is None else set(versions))
     if missing := [n for n in names if n not in known]:
@@ -157,11 +168,12 @@ def note_run(spark: SparkSession, ledger: str, pipeline: str, score: float | Non
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser()
     jobs = top.add_subparsers(dest="job", required=True)
-    own = {name: jobs.add_parser(name) for name in ("index", "predict", "evaluate", "leaderboard", "fuse", "ranker-rows")}
+    own = {name: jobs.add_parser(name) for name in ("index", "follow", "predict", "evaluate", "leaderboard", "fuse", "ranker-rows")}
     for name, p in own.items():
         p.add_argument("--out", required=True)
-        if name in ("index", "predict", "leaderboard", "fuse"):
+        if name in ("index", "follow", "predict", "leaderboard", "fuse"):
             p.add_argument("--events", required=True)
+        if name in ("index", "predict", "leaderboard", "fuse"):
             p.add_argument("--type-codes", action=argparse.BooleanOptionalAction, help="by default the type column tells")
         if name in ("index", "leaderboard"):
             p.add_argument("--variant", nargs="+", default=["base"] if name == "index" else list(VARIANTS), choices=list(VARIANTS))
@@ -178,6 +190,7 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--enabled", nargs="*", default=["convisitation"], choices=STAGES, help="stages that took part, for the ledger")
             for x in ("--exp-name", "--config", "--notes"):
                 p.add_argument(x, default="")
+    own["follow"].add_argument("--variant", default="base", choices=[n for n, v in VARIANTS.items() if not v.recent])
     own["predict"].add_argument("--single-file", action="store_true")
     own["index"].add_argument("--max-shards", type=int)
     own["index"].add_argument("--per-shard", action="store_true")
@@ -197,6 +210,8 @@ def main(args: list[str] | None = None) -> None:
     if a.job == "index":
         changed = {x: getattr(a, x) for x in OVERRIDES if getattr(a, x) is not None}
         build_index(spark, a.events, a.out, [dataclasses.replace(variant(n), **changed) for n in a.variant], a.max_shards, a.type_codes, a.per_shard, a.file_order, a.longest_session)
+    elif a.job == "follow":
+        follow(spark, a.events, a.out, variant(a.variant))
     elif a.job == "predict":
         predict(spark, a.events, a.index, a.out, a.topk, a.type_codes, a.versions, a.refresh_cache, a.single_file)
     elif a.job == "evaluate":

@@ -335,6 +335,30 @@ def test_two_write_entries_at_a_time(spark, tmp_path):
     assert _bag(two.index()) == _full(spark, shards)
 
 
+def test_jobs_on_an_index_that_follows(spark, tmp_path):
+    """follow, predict; then a shard comes, follow and predict again: as a new index per shard would give."""
+    path, shards = _shards(spark, tmp_path, 2)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    job = lambda *a: run.main([x.replace("@", str(tmp_path)) for x in a])
+
+    def predicted():
+        job("follow", "--events", "@/in", "--out", "@/kept", "--variant", "v14")
+        job("predict", "--events", "@/in", "--index", "@/kept", "--out", "@/guess", "--single-file", "--ledger", "@/ledger", "--enabled", "convisitation", "fusion")
+        return sorted(open(f"{tmp_path}/guess/submission/submission_v14.csv").read().splitlines())
+
+    def wanted():
+        run.build_index(spark, f"{tmp_path}/in", f"{tmp_path}/full", [variant("v14")], per_shard=True)
+        run.predict(spark, f"{tmp_path}/in", f"{tmp_path}/full", f"{tmp_path}/again", single=True)
+        return sorted(open(f"{tmp_path}/again/submission/submission_v14.csv").read().splitlines())
+
+    assert predicted() == wanted()
+    _log(spark, [12, 9, 14], seed=77, items=30).coalesce(1).write.parquet(f"{tmp_path}/in/test_parquet/9.parquet")
+    assert predicted() == wanted()
+    lines = spark.read.option("header", True).csv(f"{tmp_path}/ledger").collect()
+    assert {(r["pipeline"], r["enable_fusion"]) for r in lines} == {("submit", "1")} and len(lines) == 2
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 # last times by shard
 
 
