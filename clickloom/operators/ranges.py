@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -9,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
+#: Types of which text is not taken for exact.
+_INEXACT = r"double|float|decimal|timestamp|date|binary|boolean|interval|variant|array|map"
+
+
 def _literal(value: object) -> Column:
     return F.struct(*[_literal(v).alias(k) for k, v in value.asDict().items()]) if isinstance(value, Row) else F.lit(value)
 
@@ -29,6 +35,11 @@ class Ranges:
         return F.struct(*[F.col(k).cast(t).alias(k) for k, t in zip(self.keys, self.types, strict=True)])
 
     def _firsts(self) -> Column:
+        """The least keys, as one constant. As text, where that is exact, so that thousands of ranges are one literal."""
+        if all(re.fullmatch(r"(tinyint|smallint|int|bigint|string|struct<|>|[:,\w])+", t) and not re.search(_INEXACT, t) for t in self.types):
+            told = json.dumps([row.asDict(recursive=True) for row in self.starts])
+            fields = ",".join(f"`{k}`:{t}" for k, t in zip(self.keys, self.types, strict=True))
+            return F.from_json(F.lit(told), f"array<struct<{fields}>>")
         return F.array(*[F.struct(*[_literal(v).cast(t).alias(k) for k, t, v in zip(self.keys, self.types, row, strict=True)]) for row in self.starts])
 
     def range_of(self) -> Column:
