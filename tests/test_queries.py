@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def con():
 
 
 def _rows(frame, columns):
-    tidy = lambda x: None if x != x else round(x, 9) if isinstance(x, float) else x
+    tidy = lambda x: None if pd.isna(x) else round(x, 9) if isinstance(x, float) else x
     return sorted((tuple(tidy(x) for x in r) for r in frame[columns].itertuples(index=False, name=None)), key=repr)
 
 
