@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from clickloom.operators import covisit, prepare, recommend, sweep
 from clickloom.schema import INDEX, SCORES, TOP_ITEMS, Variant
@@ -32,14 +32,16 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 class IndexStore:
     """The candidate index of one variant over the shards that count, under a folder that driver and executors share.
 
-    partials/data=*/bucket=*/ hold the pair scores of a shard, parted by a hash of aid_key. log/ numbers the changes: a
-    shard comes to count, or no longer, from the moment its entry is there, and an entry is claimed by one writer alone.
-    index/bucket=*/ hold the candidate lists, and applied/ tells up to which entry. A bucket is rebuilt from the partial
-    sums of all shards that count, where entries that are not applied yet touch it; the others keep their files.
+    partials/*/bucket=*/ hold the pair scores of a shard, parted by a hash of aid_key. log/ numbers the changes: a shard
+    comes to count, or no longer, from the moment its entry is there, and an entry is claimed by one writer alone.
+    totals/*/bucket=*/ hold the sums over the shards that count, index/bucket=*/ the candidate lists; applied/ tells up to
+    which entry, and where the totals of each bucket lie. Only buckets that new entries touch are rebuilt, from their
+    totals and the partial sums of the new entries' shards, added or taken off; the others keep their files. So a change
+    costs what the buckets that it touches hold, however many shards there are.
 
     Adding a shard that counts already changes nothing, nor does withdrawing one that does not. After a crash, partial
-    sums without an entry are never read, and entries that are not applied are applied by the next call. Several may
-    write entries at a time; one at a time may apply them. Events pair inside one shard.
+    sums without an entry are never read, totals without a mark neither, and entries that are not applied are applied by
+    the next call. Several may write entries at a time; one at a time may apply them. Events pair inside one shard.
     """
 
     def __init__(self, spark: SparkSession, folder: str, variant: Variant, buckets: int = BUCKETS):
@@ -84,12 +86,12 @@ class IndexStore:
             return False
         data = uuid.uuid4().hex
         scores = sweep.direct_scores(read_events(self.spark, path), self.variant).select("*", self._bucket())
-        scores.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/partials/data={data}")
-        touched = [int(x.partition("=")[2]) for x in _children(self.spark, f"{self.folder}/partials/data={data}") if x.startswith("bucket=")]
+        scores.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/partials/{data}")
+        touched = [int(x.partition("=")[2]) for x in _children(self.spark, f"{self.folder}/partials/{data}") if x.startswith("bucket=")]
         entry = {"change": "add", "shard": shard, "path": path, "data": data, "buckets": touched}
         if self._write(entry, lambda active: shard not in active):
             return True
-        remove(self.spark, f"{self.folder}/partials/data={data}")
+        remove(self.spark, f"{self.folder}/partials/{data}")
         return False
 
     def _withdraw(self, shard: str) -> bool:
@@ -118,26 +120,49 @@ class IndexStore:
         self.apply()
         return new, gone
 
-    def _partials(self, active: dict[str, dict], buckets: set[int]) -> DataFrame:
-        paths = [f"{self.folder}/partials/data={e['data']}/bucket={b}" for e in active.values() for b in e["buckets"] if b in buckets]
-        schema = StructType([*SCORES.fields, StructField("data", StringType()), StructField("bucket", IntegerType())])
-        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/partials").parquet(*paths)
+    def _changes(self, entries: list[dict], done: int) -> list[tuple[int, str, list[int]]]:
+        """(1 or -1, where the partial sums lie, their buckets) of the entries from number done on."""
+        out, active = [], {}
+        for k, e in enumerate(entries):
+            if e["change"] == "add":
+                sign, added = 1, e
+                active[e["shard"]] = e
+            else:
+                sign, added = -1, active.pop(e["shard"])
+            if k >= done:
+                out.append((sign, added["data"], added["buckets"]))
+        return out
+
+    def _signed(self, sign: int, paths: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(SCORES).parquet(*paths) if paths else self.spark.createDataFrame([], SCORES)
+        return rows.withColumn("score", F.col("score") * sign)
 
     def apply(self) -> list[int]:
         """Rebuild the buckets that entries touch which are not applied yet; their numbers."""
         entries = self.entries()
         done = max((int(x) for x in _children(self.spark, f"{self.folder}/applied") if not x.startswith("_")), default=0)
-        touched = {b for e in entries[done:] for b in e["buckets"]}
-        active = self.active(entries)
-        filled = {b for e in active.values() for b in e["buckets"]} & touched
+        if done == len(entries):
+            return []
+        totals = json.loads(claimed(self.spark, f"{self.folder}/applied/{done:09d}")) if done else {}
+        changes = self._changes(entries, done)
+        touched = {b for _, _, buckets in changes for b in buckets}
+        before = [f"{self.folder}/totals/{name}/bucket={b}" for b, name in totals.items() if int(b) in touched]
+        parts = [self._signed(1, before)]
+        parts += [self._signed(sign, [f"{self.folder}/partials/{data}/bucket={b}" for x, data, buckets in changes if x == sign for b in buckets]) for sign in (1, -1)]
+        now, path = uuid.uuid4().hex, f"{self.folder}/totals"
+        sums = covisit.merge_scores(*parts).where("score <> 0")  # weights are positive: a sum of 0 is a pair that is gone
+        sums.select("*", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/{now}")
+        filled = {int(x.partition("=")[2]) for x in _children(self.spark, f"{path}/{now}") if x.startswith("bucket=")}
         if filled:
-            best = covisit.topk_per_key(covisit.merge_scores(self._partials(active, filled).select(*SCORES.names)), self.variant.topk)
+            best = covisit.topk_per_key(self._signed(1, [f"{path}/{now}/bucket={b}" for b in sorted(filled)]), self.variant.topk)
             lists = covisit.candidate_index(best).select("*", self._bucket())
             lists.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/index")
         for b in touched - filled:
             remove(self.spark, f"{self.folder}/index/bucket={b}")
-        if len(entries) > done:
-            claim(self.spark, f"{self.folder}/applied/{len(entries):09d}", "")
+        totals = {b: name for b, name in totals.items() if int(b) not in touched} | {str(b): now for b in filled}
+        claim(self.spark, f"{self.folder}/applied/{len(entries):09d}", json.dumps(totals))
+        for name in set(_children(self.spark, path)) - set(totals.values()):
+            remove(self.spark, f"{path}/{name}")
         return sorted(touched)
 
     def index(self) -> DataFrame:

@@ -296,6 +296,27 @@ def test_only_touched_buckets_are_rebuilt(spark, tmp_path):
     assert _bag(store.index()) == _full(spark, [shards[0], f"{tmp_path}/small.parquet"])
 
 
+def test_a_change_reads_totals_and_its_own_shard(spark, tmp_path):
+    """Partial sums of shards that are applied are read again only to take them off."""
+    _, shards = _shards(spark, tmp_path)
+    store = upkeep.IndexStore(spark, f"{tmp_path}/ix", variant("base"), buckets=8)
+    for s in shards[:3]:
+        store.add(s)
+    gone = [e["data"] for e in store.entries()]
+    for data in gone[:2]:
+        os.rename(f"{tmp_path}/ix/partials/{data}", f"{tmp_path}/{data}")
+    store.add(shards[3])
+    assert _bag(store.index()) == _full(spark, shards)
+    assert store.withdraw(store.entries()[2]["shard"]) and _bag(store.index()) == _full(spark, [*shards[:2], shards[3]])
+    assert len(os.listdir(f"{tmp_path}/ix/totals")) <= 2 + 8  # those that no bucket lies in any more are gone
+    # several entries at once, one shard added and withdrawn among them
+    for data in gone[:2]:
+        os.rename(f"{tmp_path}/{data}", f"{tmp_path}/ix/partials/{data}")
+    ((digest, at),) = sources.shard_fingerprints(spark, shards[2]).items()
+    assert store._add(digest, at) and store._withdraw(digest) and store._withdraw(store.entries()[0]["shard"]) and store._add(digest, at)
+    assert store.apply() and _bag(store.index()) == _full(spark, shards[1:])
+
+
 def test_index_after_crashes(spark, tmp_path, monkeypatch):
     _, shards = _shards(spark, tmp_path)
     store = upkeep.IndexStore(spark, f"{tmp_path}/ix", variant("base"), buckets=8)
