@@ -21,14 +21,15 @@ _SMALL, _TINY = 64, 16
 _PLACE = 31
 #: From so many code points on, an edited text's fingerprint reuses what its unchanged part has.
 _REUSE = 200
+#: Windows that are computed at a time.
+_STRETCH = 1 << 15
 
 
-def _grams(raw: Column, base: Column) -> Column:
-    """Packed hashes of the grams of a text in UTF-32; the first stands at base. A text shorter than a gram is one."""
-    last = F.greatest((F.octet_length(raw) / 4).cast("int") - GRAM, F.lit(0))
+def _grams(raw: Column, first: Column, end: Column, base: Column) -> Column:
+    """Packed hashes of the grams from number first to end, exclusive, of a text in UTF-32, whose own place is base."""
     high = F.lit(((1 << 32) - 1) << _PLACE)
     number = lambda i: F.shiftrightunsigned(F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * GRAM))), 1).bitwiseAND(high)
-    return let(F.lit((1 << _PLACE) - 1) - base, lambda top: F.transform(F.sequence(F.lit(0), last), lambda i: number(i).bitwiseOR(top - i)))
+    return let(F.lit((1 << _PLACE) - 1) - base, lambda top: F.transform(F.sequence(first, end - 1), lambda i: number(i).bitwiseOR(top - i)))
 
 
 def _least(numbers: Column, step: int) -> Column:
@@ -47,10 +48,20 @@ def _minima(grams: Column, total: Column) -> Column:
 
 
 def _winnowed(text: Column, begin: Column) -> Column:
-    """The distinct minima of a text's windows from the begin-th on, by place."""
-    total = F.greatest(F.char_length(text) - (GRAM - 1), F.lit(1)).cast("int")
-    raw = F.encode(F.substring(text, begin + 1, F.char_length(text)), "UTF-32")
-    return let(raw, lambda x: F.array_distinct(let(_grams(x, begin), lambda grams: _minima(grams, total))))
+    """The distinct minima of a text's windows from the begin-th on, by place. A text shorter than a gram is one gram.
+
+    Windows are computed _STRETCH at a time, so that a long text needs memory for its characters and fingerprints, and
+    not for a number at every place.
+    """
+    grams = lambda n: F.greatest(n - (GRAM - 1), F.lit(1)).cast("int")
+    total = grams(F.char_length(text))
+
+    def stretches(raw: Column) -> Column:
+        size = grams((F.octet_length(raw) / 4).cast("int"))
+        of = lambda s: let(_grams(raw, s, F.least(s + (_STRETCH + WINDOW - 1), size), begin), lambda x: F.array_distinct(_minima(x, total)))
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), size - 1, F.lit(_STRETCH)), of)))
+
+    return let(F.encode(F.substring(text, begin + 1, F.char_length(text)), "UTF-32"), stretches)
 
 
 def _place(packed: Column) -> Column:

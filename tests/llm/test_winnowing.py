@@ -85,6 +85,21 @@ def test_shared_passages_share_a_fingerprint(spark):
         assert inside[0] & inside[1]
 
 
+def test_stretches_make_no_difference(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(_texts())), "doc_id long, text string")
+    columns = ["id", "edited", "packed", "edited_packed"]
+    whole = sorted(map(tuple, winnowing.compare_packed(docs).select(*columns).collect()), key=lambda r: r[0])
+    monkeypatch.setattr(winnowing, "_STRETCH", 64)
+    assert sorted(map(tuple, winnowing.compare_packed(docs).select(*columns).collect()), key=lambda r: r[0]) == whole
+
+
+def test_a_very_long_text(spark):
+    """8 million code points: the fingerprints are about an eighth of them, and the rest is not held at once."""
+    docs = spark.range(1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 1000000), x -> substr(sha2(cast(x AS string), 256), 1, 7)), ' ') AS text")
+    row = winnowing.fingerprints(docs).selectExpr("n_chars", "size(prints) AS n").first()
+    assert row["n_chars"] == 7_999_999 and 0.1 < row["n"] / row["n_chars"] < 0.14
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert winnowing.compare_with_edits(none).collect() == [] and winnowing.fingerprints(none).collect() == []
