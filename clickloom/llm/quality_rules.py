@@ -10,8 +10,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.shared import let, words
+from clickloom.llm.shared import cut, let, words
 
+#: Trusted ids of at most so many bytes, as measured, go to all executors; with more of them texts are shuffled.
+BROADCAST_BYTES = 16 << 20
+#: What an id takes in a hash table besides its own bytes, at most.
+_ID_BYTES = 64
 BUCKETS = 16_384
 SMOOTHING = 4.0
 #: A document is kept where its mean log ratio over its n-grams is at least this.
@@ -59,6 +63,18 @@ def _word_hashes(found: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
+def _marked(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(target, text) of every row of docs; target is 1 where trusted names the row's id, else null.
+
+    The trusted ids are kept and measured. Up to BROADCAST_BYTES they are broadcast, and no text is moved. Beyond that
+    texts meet them in one shuffle, by a hash join on the narrow side, which does not sort texts. Both give the same rows.
+    """
+    known = cut(trusted.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().withColumn("target", F.lit(1)))
+    size = known.agg(F.sum(F.octet_length(F.col("id").cast("string")) + _ID_BYTES)).first()[0] or 0
+    near = F.broadcast(known) if size <= BROADCAST_BYTES else known.hint("shuffle_hash")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(near, "id", "left").select("target", "text")
+
+
 def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """log(p_target / p_raw) of each of BUCKETS buckets.
 
@@ -66,10 +82,7 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     cover every document: rows of docs are raw, those that trusted names are also target. Both counts are smoothed
     by SMOOTHING a bucket, so that buckets of neither weigh 0 once both are empty. The result has a fixed size.
     """
-    # a hash join on the narrow side: the texts are moved once, and not sorted
-    known = trusted.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().withColumn("target", F.lit(1)).hint("shuffle_hash")
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id", "left")
-    grams = marked.select("target", F.explode(let(_word_hashes(words(F.col("text"))), _grams)).alias("bucket"))
+    grams = _marked(docs, trusted, id_col, text_col).select("target", F.explode(let(_word_hashes(words(F.col("text"))), _grams)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target")).collect()  # at most BUCKETS rows
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in counts:

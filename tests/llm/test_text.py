@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -76,6 +77,20 @@ def test_quality_rules_edges(spark, odd, some):
     assert kept.columns == odd.columns and 0 < kept.count() < some.count()
 
 
+@pytest.mark.parametrize("ids", ["doc_id", "concat('d', doc_id)"])
+def test_texts_meet_trusted_ids_either_way(spark, odd, some, monkeypatch, ids):
+    docs = some.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    trusted = odd.unionByName(some, allowMissingColumns=True).where("doc_id IS NULL OR doc_id % 3 = 0").selectExpr(f"{ids} AS doc_id")
+    docs = docs.selectExpr(f"{ids} AS doc_id", "text")
+    plan = lambda: quality_rules._marked(docs, trusted, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    near = quality_rules.ratio_weights(docs, trusted)
+    assert "BroadcastHashJoin" in plan() and "Exchange hashpartitioning" not in plan()
+    monkeypatch.setattr(quality_rules, "BROADCAST_BYTES", 1_000)
+    far = quality_rules.ratio_weights(docs, trusted)
+    assert "ShuffledHashJoin" in plan() and "Broadcast" not in plan() and "Sort" not in plan()
+    assert near == far and any(near)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
