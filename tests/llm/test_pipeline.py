@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,25 @@ def test_stages(spark, tmp_path):
     _check_packing(packed, [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_near_dedup_beyond_one_bucket(spark):
+    """The stage with production parameters on more fingerprints than a bucket has, against all pairs of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", simhash.wide_fingerprint_udf("text").alias("fp")).orderBy("doc_id").collect()
+    ids, lanes = [r["doc_id"] for r in rows], np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+    assert len(set(ids)) == len(ids) and len(np.unique(lanes, axis=0)) > 2 * simhash.WIDE_CELL
+    least = np.arange(len(ids))
+    near = np.bitwise_count(lanes[:, None] ^ lanes[None]).sum(axis=2, dtype=np.int64) <= simhash.WIDE_BUDGET
+    while True:
+        now = np.where(near, least[None], len(ids)).min(axis=1)
+        if (now == least).all():
+            break
+        least = now
+    want = {ids[i] for i in set(least.tolist())}
+    got = {r["doc_id"] for r in pipeline.near_dedup_stage(spark, docs, "").select("doc_id").collect()}
+    assert want <= got and len(ids) - len(want) > 40
+    assert len(got - want) <= 0.05 * (len(ids) - len(want))
+
+
 def test_run(spark):
     assert pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
