@@ -233,7 +233,8 @@ def _by_parts(rows: DataFrame, depth: int) -> tuple[DataFrame, int]:
 def _join(rows: DataFrame, depth: int) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     unsigned = F.expr("turned ^ (-9223372036854775807L - 1L)")
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key", unsigned)
+    # by another expression than the join before it: Spark would leave the repartition out, and then may part one key's rows
+    dealt = rows.repartition(n, F.xxhash64("key")).sortWithinPartitions("key", unsigned)
     return dealt.select("key", "turned", "fp").mapInPandas(_join_blocks(depth), "a long, b long")
 
 

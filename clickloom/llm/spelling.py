@@ -183,7 +183,9 @@ def near_words(vocabulary: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
         hot = cut(counts.select("key"))
         last = hot.isEmpty()
         cold = rows if last else rows.join(hot, "key", "left_anti")
-        dealt = cold.select("key", "l", "lo", "hi", "word", "n", F.char_length("word").alias("size")).repartition("key").sortWithinPartitions("key", "l", "lo", "hi", "size")
+        # by more than the join's own column: Spark leaves out a repartition that a join before it has made already, and then
+        # may part one key's rows, by a skewed join's splits or where a broadcast lets tasks read shuffled rows as they lie
+        dealt = cold.select("key", "l", "lo", "hi", "word", "n", F.char_length("word").alias("size")).repartition("key", "l", "lo", "hi").sortWithinPartitions("key", "l", "lo", "hi", "size")
         links = dealt.drop("size").mapInArrow(_join, "word string, other string, other_n long")
         found = links if found is None else found.unionByName(links)
         if last:

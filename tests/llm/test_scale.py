@@ -134,3 +134,11 @@ def test_invalid_utf8_counts_as_the_replacement_character(spark, tmp_path):
     same(token_rollup.count_tokens(docs, BYTE, "v"), "n_tokens", "n_chars")
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int")
     same(quality_cnn.score(docs, quality_cnn.fit(docs, labels)).withColumnRenamed("id", "doc_id"), "score")
+
+
+def test_blocks_stay_whole_behind_the_cut(spark):
+    """What is left of hot blocks is dealt out by key anew, so that Spark may not split a key of the join before it."""
+    fps = spark.createDataFrame([((7 << 48) | (k * 0x9E3779B97F4A7C15 & ((1 << 40) - 1)),) for k in range(200)], "fp long")
+    found = simhash.link_fingerprints(fps, hot_block=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftAnti") and plan.count("REPARTITION_BY_NUM") == plan.count("MapInPandas")

@@ -124,3 +124,27 @@ def test_chains_of_forms(spark):
     rows = [("aaaaaaaa", 2), ("aaaaaaab", 20), ("aaaaaabb", 200), ("aaaaabbb", 2000), ("aaaabbbb", 20_000), ("aaabbbbb", 200_000)]
     got = spelling.group_variants(spark.createDataFrame(rows, "word string, n long")).collect()
     assert {r["root"] for r in got} == {"aaabbbbb"}
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_keys_stay_whole_behind_the_cut(spark, broadcast):
+    """Hot keys among many others: whichever way Spark drops them, the words of one key that stay reach one task."""
+    rng = random.Random(12)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randrange(7, 9))) for _ in range(6000)}
+    words |= {"".join(rng.choice("efghijkl") for _ in range(rng.randrange(7, 9))) for _ in range(20_000)}
+    gaps = {}
+    for w in words:
+        for i in range(len(w)):
+            gaps.setdefault((i, w[:i] + w[i + 1 :]), set()).add(w)
+    pairs = {(a, b) for s in gaps.values() for a in s for b in s if a != b} | {p for (_, rest), s in gaps.items() if rest in words for w in s for p in ((w, rest), (rest, w))}
+    rows = spelling.cut(spark.createDataFrame([(w, 2) for w in sorted(words)], "word string, n long").repartition(7))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": broadcast, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = [(r["word"], r["other"]) for r in spelling.near_words(rows, hot_key=40).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(set(got)) and set(got) == pairs
