@@ -3,7 +3,8 @@
 Two rules. The narrow one takes 64 bits of three-word shingles, of which 3 may differ: it finds all such pairs. The wide
 one is for near copies: 256 bits of five-word shingles, of which 44 may differ; where two documents share 0.8 of their
 shingles about 39 do, give or take 6. Such pairs agree in no long block for sure, so the wide rule deals fingerprints out
-by sampled bits, in as many tables as its recall wants, and joins a trie with itself inside each bucket.
+by sampled bits, in as many tables as its recall wants, and joins a trie with itself inside each bucket. The bits are
+the same for any input, so that whether two fingerprints link depends on these two alone.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ SHINGLE, SEED, BUDGET, BLOCK = 3, 42, 3, 16
 HOT_BLOCK = 4_096
 #: Bits that agree at a key which is not dealt out any further.
 _DEEPEST = 43
-#: The wide rule: words of a shingle, 64-bit lanes of a fingerprint, bits that may differ; fingerprints of a bucket on
-#: average at most, and the share of pairs of just that many bits that some table keeps together.
+#: The wide rule: words of a shingle, 64-bit lanes of a fingerprint, bits that may differ; its tables and the sampled bits
+#: of each, all of which two fingerprints share in some table: 0.99 of pairs of just that many differing bits do.
 WIDE_SHINGLE, LANES, WIDE_BUDGET = 5, 4, 44
+WIDE_TABLES, WIDE_BITS = 42, 12
+#: Where a caller asks for buckets of a size: fingerprints of one on average at most, and the share of such pairs.
 WIDE_CELL, WIDE_RECALL = 256, 0.95
 _PIECE = 65_536
 #: Keys of a trie node that the wide rule compares one by one; pairs of two nodes from which they are compared as a
@@ -257,16 +260,21 @@ def link_fingerprints(fps: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
 
 
 def tables(n: int, cell: int = WIDE_CELL) -> tuple[int, int]:
-    """(tables, sampled bits of each) of the wide rule for n fingerprints. One bit more halves the buckets."""
+    """(tables, sampled bits of each) for n fingerprints in buckets of about cell. One bit more halves the buckets."""
     bits = max(0, math.ceil(math.log2(max(1, n) / cell)))
     alike = (1 - WIDE_BUDGET / (64 * LANES)) ** bits
     return (1, 0) if not bits else (math.ceil(math.log(1 - WIDE_RECALL) / math.log(1 - alike)), bits)
 
 
+def sampled_bits(count: int, bits: int) -> np.ndarray:
+    """The bits that each table looks at, from the highest of the first lane on."""
+    rng = np.random.default_rng([SEED, bits])
+    return np.stack([rng.permutation(64 * LANES)[:bits] for _ in range(count)])
+
+
 def _bucket_keys(count: int, bits: int):
     """mapInArrow over (node, fp): a row (tab, key, node, fp) for each table."""
-    rng = np.random.default_rng([SEED, bits])
-    places = np.stack([rng.permutation(64 * LANES)[:bits] for _ in range(count)])
+    places = sampled_bits(count, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,15 +332,18 @@ def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(wait)
 
 
-def link_wide(classes: DataFrame, cell: int = WIDE_CELL, hot_block: int = HOT_BLOCK, exact: bool = False) -> DataFrame:
-    """Links (a, b) between nodes (node, fp) of distinct wide fingerprints at WIDE_BUDGET or fewer differing bits.
+def link_wide(classes: DataFrame, cell: int | None = None, hot_block: int = HOT_BLOCK, exact: bool = False) -> DataFrame:
+    """Links (a, b) between nodes (node, fp) of distinct wide fingerprints at WIDE_BUDGET or fewer differing bits that
+    share all sampled bits of some table: all such pairs, whatever the input's size.
 
     As many links as join what is connected: those of a bucket come as stars. Buckets of more than twice hot_block
-    fingerprints are cut into tiles by a hash, and each pair of tiles is a bucket of its own. exact: all fingerprints are
-    one such bucket, whatever their number, so that no pair is lost; the work is then the square of their number.
+    fingerprints are cut into tiles by a hash, and each pair of tiles is a bucket of its own. cell: tables for buckets
+    of that size instead, so that the rule changes with the number of fingerprints. exact: all fingerprints are
+    one bucket, whatever their number, so that no pair is lost; the work is then the square of their number.
     """
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = classes.select("node", "fp").mapInArrow(_bucket_keys(*((1, 0) if exact else tables(classes.count(), cell))), "tab int, key long, node long, fp array<long>")
+    looks = (1, 0) if exact else (WIDE_TABLES, WIDE_BITS) if cell is None else tables(classes.count(), cell)
+    placed = classes.select("node", "fp").mapInArrow(_bucket_keys(*looks), "tab int, key long, node long, fp array<long>")
     hot = cut(placed.groupBy("tab", "key").agg(F.count("*").alias("size")).where(F.col("size") > 2 * hot_block))
     if hot.isEmpty():
         dealt = placed.withColumns({"ta": F.lit(0), "tb": F.lit(0), "side": F.lit(0)})
@@ -373,7 +384,7 @@ def _named(marked: DataFrame, rooted: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("id", "fp", "component_id")
 
 
-def group_wide(marked: DataFrame, cell: int = WIDE_CELL, hot_block: int = HOT_BLOCK, exact: bool = False) -> DataFrame:
+def group_wide(marked: DataFrame, cell: int | None = None, hot_block: int = HOT_BLOCK, exact: bool = False) -> DataFrame:
     """As group_fingerprints, by the wide rule."""
     classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     found = connected_components(link_wide(classes, cell, hot_block, exact))

@@ -62,6 +62,27 @@ def test_near_dedup_beyond_one_bucket(spark):
     assert len(got - want) <= 0.05 * (len(ids) - len(want))
 
 
+def test_near_dedup_does_not_depend_on_the_size(spark):
+    """120 pairs of just WIDE_BUDGET differing bits alone, which would fit one bucket, and among 12,000 other fingerprints:
+    the same links, those that the rule's sampled bits give."""
+    rng = np.random.default_rng(45)
+    lanes = rng.integers(0, 1 << 64, (120, simhash.LANES), dtype=np.uint64)
+    ones = np.unpackbits(lanes.astype(">u8").view(np.uint8).reshape(120, -1), axis=1)
+    copies = ones.copy()
+    for row in copies:
+        row[rng.choice(64 * simhash.LANES, simhash.WIDE_BUDGET, replace=False)] ^= 1
+    places = simhash.sampled_bits(simhash.WIDE_TABLES, simhash.WIDE_BITS)
+    want = {i for i in range(120) if (ones[i][places] == copies[i][places]).all(axis=1).any()}
+    few = np.concatenate([lanes, np.packbits(copies, axis=1).view(">u8").astype(np.uint64)])
+    many = np.concatenate([few, rng.integers(0, 1 << 64, (12_000, simhash.LANES), dtype=np.uint64)])
+    assert len(few) < simhash.WIDE_CELL and 110 < len(want)
+    for fps in (few, many):
+        marked = spark.createDataFrame(list(enumerate(fps.view(np.int64).tolist())), "id long, fp array<long>")
+        found = {r["id"]: r["component_id"] for r in simhash.group_wide(marked).collect()}
+        assert {i for i in range(120) if found[120 + i] == i} == want
+        assert all(found[i] == i for i in found if not 120 <= i < 240)
+
+
 def test_run(spark):
     assert pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
