@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from clickloom.operators.ranges import numbered
 from clickloom.sources.shared import kept
 
 TIES = ("aid", "type")
+#: Pairs of one task, where they are dealt out to a number of parts.
+PAIRS_A_TASK = 1_000_000
 
 
 def session_order(ties: Sequence[str] = TIES, shard_col: str | None = None):
@@ -74,9 +76,22 @@ def covisit_pairs(events: DataFrame, lookback: int, keep: Sequence[str] = ("weig
     return _lagged(short, lookback, keep, session_order(ties, shard_col)).unionByName(more)
 
 
-def covisit_scores(pairs: DataFrame) -> DataFrame:
-    """(aid_key, aid_future, score). Pairs whose current event weighs 0 go here, after they have taken their places."""
-    return pairs.where("weight <> 0").groupBy("aid_key", "aid_future").agg(F.sum("weight").cast("bigint").alias("score"))
+def parts_for(spark: SparkSession, n_events: int, lookback: int) -> int:
+    """The parts that pairs of n_events events are dealt out to, so that a task has PAIRS_A_TASK of them however many
+    events there are; fewer of them keep all cores busy."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_events * lookback // PAIRS_A_TASK))
+
+
+def covisit_scores(pairs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(aid_key, aid_future, score). Pairs whose current event weighs 0 go here, after they have taken their places.
+
+    Pairs are summed before the shuffle, and Spark packs partitions by their bytes; packed pairs are few, so that one task
+    may hold many millions. With parts, for wide item spaces, whose pairs are nearly all distinct, they are dealt out as
+    they are to that many partitions, which Spark does not pack, and summed there alone.
+    """
+    rows = pairs.where("weight <> 0").select("aid_key", "aid_future", "weight")
+    dealt = rows.repartition(parts, "aid_key", "aid_future") if parts else rows
+    return dealt.groupBy("aid_key", "aid_future").agg(F.sum("weight").cast("bigint").alias("score"))
 
 
 def merge_scores(*parts: DataFrame) -> DataFrame:

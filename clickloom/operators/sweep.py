@@ -12,14 +12,14 @@ from clickloom.operators import covisit, evaluate, prepare, recommend
 from clickloom.schema import TOP_ITEMS, VARIANTS, Variant
 
 
-def direct_scores(events: DataFrame, v: Variant, threshold: int | Column | None = None, shard_col: str | None = None, ties: Sequence[str] = covisit.TIES, longest: int | None = None) -> DataFrame:
+def direct_scores(events: DataFrame, v: Variant, threshold: int | Column | None = None, shard_col: str | None = None, ties: Sequence[str] = covisit.TIES, longest: int | None = None, parts: int | None = None) -> DataFrame:
     """Scores of one variant. Where it wants recent events alone and no threshold is given, it is found from all rows of
     events, those without an item too. With shard_col, events pair inside one file only; ties order events of one time;
-    sessions of more than longest events are cut, which changes no score."""
+    sessions of more than longest events are cut, which changes no score; parts is as in covisit_scores."""
     if v.recent and threshold is None:
         threshold = prepare.recent_threshold(events).scalar()
     ready = prepare.prepare(events, v.weights, threshold if v.recent else None)
-    return covisit.covisit_scores(covisit.covisit_pairs(ready, v.lookback, ties=ties, shard_col=shard_col, longest=longest))
+    return covisit.covisit_scores(covisit.covisit_pairs(ready, v.lookback, ties=ties, shard_col=shard_col, longest=longest), parts)
 
 
 def _sums(variants: Iterable[Variant]) -> dict[tuple, str]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.functions.columns import key_type, parse_items, sanitize_field, session_key
-from clickloom.jobs import run, sinks
+from clickloom.jobs import queries, run, sinks
 from clickloom.operators import covisit, evaluate, fuse, prepare, recommend, sweep
 from clickloom.schema import VARIANTS, variant
 from clickloom.sources import events as sources
@@ -312,3 +312,20 @@ def test_longer_lookback_never_lowers_a_score(spark, m1):
     ready = prepare.prepare(m1, variant("base").weights)
     scores = [scores_of(covisit.covisit_scores(covisit.covisit_pairs(ready, n))) for n in (1, 2, 5, 20)]
     assert all(b.get(k, 0) >= v for a, b in zip(scores, scores[1:], strict=False) for k, v in a.items())
+
+
+def test_pairs_of_a_wide_item_space_are_dealt_out_by_their_number(spark, monkeypatch):
+    """However many pairs there are, one task sums up about as many, and the scores are the same."""
+    lines = queries.queries()["covisit_scores_lineitem"]
+    want = scores_of(lines(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(covisit, "PAIRS_A_TASK", 500, raising=False)
+    found = lines(spark, "/root/testdata/sf0.001").withColumn("task", F.spark_partition_id()).cache()
+    assert scores_of(found) == want and len(want) > 8_000
+    assert found.groupBy("task").count().agg(F.max("count")).first()[0] < 1_000
+    found.unpersist()
+
+
+@pytest.mark.parametrize("name", ["covisit_topk_100"])
+def test_queries_on_order_lines_deal_pairs_out(spark, name):
+    plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "WindowGroupLimit" in plan
