@@ -325,7 +325,7 @@ def test_pairs_of_a_wide_item_space_are_dealt_out_by_their_number(spark, monkeyp
     found.unpersist()
 
 
-@pytest.mark.parametrize("name", ["covisit_topk_100", "covisit_topk_300"])
+@pytest.mark.parametrize("name", ["covisit_topk_100", "covisit_topk_300", "predictions_lineitem"])
 def test_queries_on_order_lines_deal_pairs_out(spark, name):
     plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "WindowGroupLimit" in plan
