@@ -7,7 +7,7 @@ averaged into one probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from clickloom.llm import text_ids
 from clickloom.llm.shared import cut
 
 
@@ -25,7 +26,8 @@ WIDTH, BLOCK, FILTERS, EMBEDDING = 8, 256, 32, 8
 SAMPLE, SAMPLE_BYTES, LONGEST = 1000, 1 << 24, 1 << 20
 THRESHOLD = 0.3
 LEAST_STEPS = 300
-_SLAB, _SLAB_CHUNKS = 1 << 18, 512
+#: Bytes of text that are scored at a time, few enough for a core's cache; chunks that are learned from at a time.
+_SLAB, _SLAB_CHUNKS = 1 << 15, 512
 
 
 @dataclass
@@ -51,33 +53,34 @@ def _windows(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return z
 
 
-def _logits(texts: list[bytes], model: Model, tables: np.ndarray) -> np.ndarray:
-    """One value for each text. Memory is bounded by _SLAB bytes of text, however long one is."""
+def _logits(texts: Iterable[bytes], model: Model, tables: np.ndarray) -> np.ndarray:
+    """One value for each text. Memory is bounded by _SLAB bytes of text and the longest text, however many there are."""
     tail = bytes(WIDTH)
-    out = np.full(len(texts), model.offset)
+    out: list[float] = []
 
     def finish(blocks: np.ndarray) -> float:
         if len(blocks) > 1:
             blocks = np.maximum(blocks[:-1], blocks[1:])
         return float(np.maximum(blocks + model.bias, 0).mean(axis=0, dtype=np.float64) @ model.out) if len(blocks) else 0.0
 
-    def slab(group: list[int]) -> None:
+    def slab(group: list[tuple[int, bytes]]) -> None:
         parts, starts, owners, at = [], [], [], 0
-        for i in group:
-            size = len(texts[i]) + len(texts[i]) % 2
+        for _, text in group:
+            size = len(text) + len(text) % 2
             begin = list(range(at // 2, (at + size) // 2, BLOCK // 2))
             starts += [*begin, (at + size) // 2]  # the last stands for the padding
             owners.append(len(begin))
-            parts.append(texts[i].ljust(size, b"\0") + tail)
+            parts.append(text.ljust(size, b"\0") + tail)
             at += size + WIDTH
         z = _windows(np.frombuffer(b"".join(parts) + tail, ">u2").astype(np.intp), tables)
         top, k = np.maximum.reduceat(z, starts, axis=0), 0
-        for i, n in zip(group, owners, strict=True):
+        for (i, _), n in zip(group, owners, strict=True):
             out[i] += finish(top[k : k + n])
             k += n + 1
 
     group, held = [], 0
     for i, text in enumerate(texts):
+        out.append(model.offset)
         if len(text) > _SLAB:
             tops = []
             for at in range(0, len(text), _SLAB):  # _SLAB is a multiple of BLOCK
@@ -87,14 +90,14 @@ def _logits(texts: list[bytes], model: Model, tables: np.ndarray) -> np.ndarray:
                 tops.append(np.maximum.reduceat(z, np.arange(0, n, BLOCK // 2), axis=0))
             out[i] += finish(np.concatenate(tops))
         elif text:
-            group.append(i)
+            group.append((i, text))
             held += len(text)
         if held > _SLAB:
             slab(group)
             group, held = [], 0
     if group:
         slab(group)
-    return out
+    return np.array(out, np.float64)
 
 
 def _tops(raw: np.ndarray, lengths: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,9 +238,10 @@ def scorer(model: Model):
     """A pandas UDF from a text to its probability of label 1; a null text counts as empty."""
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        text_ids.forget()
         tables = model.tables()
         for texts in batches:
-            logit = _logits([(t or "").encode() for t in texts], model, tables)
+            logit = _logits(((t or "").encode() for t in texts), model, tables)
             yield pd.Series(1 / (1 + np.exp(-logit)), index=texts.index)
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

@@ -15,6 +15,7 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Fixed value: how vocabularies with word ends part a text, in their files.
 _WORD_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -146,3 +147,10 @@ def encoder(path: str) -> TextEncoder:
     if path not in _kept:
         _kept[path] = TextEncoder(path)
     return _kept[path]
+
+
+def forget() -> None:
+    """Give up this process's encoders and Arrow's unused memory: Spark uses a Python worker for one stage after another,
+    and the next ones that need memory of their own should not pay for the words of those before."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()

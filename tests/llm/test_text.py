@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from clickloom.llm import licenses, pii, quality_cnn, quality_rules, simhash
 from clickloom.llm.components import connected_components
+from clickloom.llm.text_ids import encoder
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -202,6 +206,27 @@ def test_scores_against_a_naive_forward_pass(monkeypatch):
         assert np.isclose(model.offset + (h @ model.out).mean(), logit)
 
 
+def test_scoring_many_texts_takes_the_memory_of_a_few():
+    model = _some_model(np.random.default_rng(13))
+    tables, texts = model.tables(), pd.Series(["the quiet river runs past old stone houses " * 60] * 6000)  # 15 MB
+    tracemalloc.start()
+    try:
+        own = tracemalloc.get_traced_memory()[0]
+        out = pd.concat(quality_cnn.scorer(model).func(iter([texts])))
+        peak = tracemalloc.get_traced_memory()[1] - own - tables.nbytes
+    finally:
+        tracemalloc.stop()
+    assert len(out) == 6000 and out.nunique() == 1 and peak < 12 << 20, peak
+
+
+def test_scoring_gives_up_what_encoders_hold():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    kept = encoder(path)
+    assert encoder(path) is kept
+    list(quality_cnn.scorer(_some_model(np.random.default_rng(14))).func(iter([pd.Series(["a b"])])))
+    assert encoder(path) is not kept and encoder(path).encode("a b").tolist() == kept.encode("a b").tolist()
+
+
 def test_gradient_against_differences():
     rng = np.random.default_rng(13)
     p = quality_cnn.start(0.6, rng)
